@@ -85,10 +85,5 @@ def months_apart(earlier: Column | str, later: Column | str) -> Column:
     return ((F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)).cast("int")
 
 
-def year_of(col: Column | str) -> Column:
-    """Four-digit year as a string."""
-    return F.date_format(as_column(col), "yyyy")
-
-
 def _to_date(value: date | str) -> date:
     return value if isinstance(value, date) else date.fromisoformat(value[:10])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,15 @@ def fold_rows(*rows: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
+def first_per(keys: list[str], order: str) -> Column:
+    """True on one row per key, so that counting it counts distinct keys.
+
+    Meant for rows already reduced to a few per key; the flag then adds up under any
+    coarser grouping, where a distinct count would have to copy the rows.
+    """
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
+
+
 def record(**fields: Column | str | int | None) -> Column:
     """A struct of named fields; plain values become literals."""
     return F.struct(

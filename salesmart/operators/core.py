@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DateRange
 from salesmart.functions.ratios import ratio
-from salesmart.functions.rows import fold_rows
+from salesmart.functions.rows import first_per, fold_rows
 from salesmart.operators.staging import first_purchases, sold_tracks
 from salesmart.sources.model import SalesModel
 
@@ -64,21 +64,33 @@ def total_revenue(staged: DataFrame, rng: DateRange | None) -> DataFrame:
 
 
 def _spending(inside: DataFrame, model: SalesModel, window: DateRange) -> DataFrame:
-    # Down to customer and country first: the distinct counts then run on few rows.
+    # Down to customer and country, then to country: every figure adds up on the way.
     spend = inside.groupBy("customer_id", "country").agg(
         F.count(F.lit(1)).alias("purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
         F.sum("revenue").alias("revenue"),
     )
     first = first_purchases(model.invoice).where(window.contains("first_date"))
-    new = first.select("customer_id", F.col("customer_id").alias("new_customer"))
-    return spend.join(new, "customer_id", "left").agg(
-        F.coalesce(F.sum("purchases"), F.lit(0)).cast("long").alias("purchases_num"),
-        F.count_distinct("customer_id").alias("cust_num"),
-        F.count_distinct("new_customer").alias("cust_num_new"),
+    new = first.select("customer_id", F.lit(True).alias("is_new"))
+    per_country = (
+        spend.join(new, "customer_id", "left")
+        .withColumn("counts", first_per(["customer_id"], "country"))
+        .groupBy("country")
+        .agg(
+            F.sum("purchases").alias("purchases"),
+            F.count_if("counts").alias("customers"),
+            F.count_if(F.col("counts") & F.col("is_new")).alias("new_customers"),
+            F.sum("tracks_sold").alias("tracks_sold"),
+            F.sum("revenue").alias("revenue"),
+        )
+    )
+    return per_country.agg(
+        F.sum("purchases").alias("purchases_num"),
+        F.sum("customers").alias("cust_num"),
+        F.sum("new_customers").alias("cust_num_new"),
         F.coalesce(F.sum("tracks_sold"), F.lit(0)).cast("long").alias("tracks_sold_num"),
         F.round(F.coalesce(F.sum("revenue"), F.lit(0)), 2).cast("double").alias("revenue_total"),
-        F.count_distinct("country").alias("country_num"),
+        F.count("country").alias("country_num"),
     )
 
 

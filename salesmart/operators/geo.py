@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmart.functions.dates import DateRange, year_of
+from salesmart.functions.dates import DateRange
 from salesmart.functions.rows import record, unpivot
 from salesmart.operators.metrics import METRICS, check_metric
 
@@ -26,8 +26,9 @@ def geo_metrics(staged: DataFrame, rng: DateRange, mode: str = "yearly") -> Data
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
     whole, yearly = MODES[mode]
-    labels = [F.lit(ALL_YEARS)] * whole + [year_of("dt")] * yearly
-    year = F.explode(F.array(*labels)) if len(labels) > 1 else labels[0]
+    # A null year stands for all years until the end.
+    years = [F.lit(None).cast("int")] * whole + [F.year("dt")] * yearly
+    year = F.explode(F.array(*years)) if len(years) > 1 else years[0]
     inside = staged.where(rng.contains("dt")).withColumn("year", year)
     per_customer = inside.groupBy("customer_id", "country", "year").agg(
         F.count(F.lit(1)).alias("num_purchases"),
@@ -48,9 +49,9 @@ def geo_metrics(staged: DataFrame, rng: DateRange, mode: str = "yearly") -> Data
             F.count_if("is_first").alias("first_time_customers"),
         )
         .select(
-            "year",
-            F.when(F.col("year") == ALL_YEARS, F.lit(rng.full_months))
-            .otherwise(rng.months_of_year(F.expr("try_cast(year AS int)")))
+            F.coalesce(F.col("year").cast("string"), F.lit(ALL_YEARS)).alias("year"),
+            F.when(F.col("year").isNull(), F.lit(rng.full_months))
+            .otherwise(rng.months_of_year(F.col("year")))
             .alias("num_months"),
             "country",
             "num_customers",

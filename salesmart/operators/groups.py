@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmart.functions.dates import DateRange, within, year_of
+from salesmart.functions.dates import DateRange, within
 from salesmart.functions.display import country_label, display
 from salesmart.functions.ratios import ratio
 from salesmart.functions.rows import record
@@ -101,7 +101,7 @@ def group_yearly(staged: DataFrame, model: SalesModel, by: str, rng: DateRange)
         .join(_yearly_tracks(model, inside, by), keys)
         .join(_catalog_sizes(model, by), "group_val", "left")
         .select(
-            "year",
+            F.col("year").cast("string").alias("year"),
             F.col("group_val").alias(by),
             "num_customers",
             "num_purchases",
@@ -118,33 +118,45 @@ def group_yearly(staged: DataFrame, model: SalesModel, by: str, rng: DateRange)
 
 
 def _yearly_customers(sales: DataFrame) -> DataFrame:
-    per_customer = sales.groupBy("customer_id", "country", year_of("dt").alias("year"), "group_val").agg(
+    per_customer = sales.groupBy("customer_id", "country", F.year("dt").alias("year"), "group_val").agg(
         F.count(F.lit(1)).alias("num_purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
         F.sum("revenue").alias("revenue"),
     )
-    # Few rows per customer are left: years times groups times countries.
-    first_year = F.min("year").over(Window.partitionBy("customer_id"))
-    return (
-        per_customer.withColumn(
-            "new_customer", F.when(F.col("year") == first_year, F.col("customer_id"))
+    # Few rows per customer are left: years times groups times countries. In this order
+    # the first row holds the first year, and a customer is counted on the first country
+    # of each year and group, so that the count adds up over countries.
+    in_time = Window.partitionBy("customer_id").orderBy("year", "group_val", "country")
+    first_year = F.first("year").over(in_time.rowsBetween(Window.unboundedPreceding, 0))
+    here, before = F.struct("year", "group_val"), F.lag(F.struct("year", "group_val")).over(in_time)
+    per_country = (
+        per_customer.select(
+            "*",
+            (~here.eqNullSafe(before)).alias("counts"),
+            (F.col("year") == first_year).alias("is_first"),
         )
-        .groupBy("year", "group_val")
+        .groupBy("year", "group_val", "country")
         .agg(
-            F.count_distinct("customer_id").alias("num_customers"),
+            F.count_if("counts").alias("num_customers"),
             F.sum("num_purchases").alias("num_purchases"),
-            F.count_distinct("country").alias("num_countries"),
             F.sum("tracks_sold").alias("tracks_sold"),
-            F.sum("revenue").cast("double").alias("revenue"),
-            F.count_distinct("new_customer").alias("first_time_customers"),
+            F.sum("revenue").alias("revenue"),
+            F.count_if(F.col("counts") & F.col("is_first")).alias("first_time_customers"),
         )
     )
+    return per_country.groupBy("year", "group_val").agg(
+        F.sum("num_customers").alias("num_customers"),
+        F.sum("num_purchases").alias("num_purchases"),
+        F.count("country").alias("num_countries"),
+        F.sum("tracks_sold").alias("tracks_sold"),
+        F.sum("revenue").cast("double").alias("revenue"),
+        F.sum("first_time_customers").alias("first_time_customers"),
+    )
 
 
 def _yearly_tracks(model: SalesModel, inside: DataFrame, by: str) -> DataFrame:
-    invoices = inside.select("invoice_id", year_of("dt").alias("year"))
     groups = model.item.where(F.col(by).isNotNull()).select("track_id", F.col(by).alias("group_val"))
-    sold = sold_tracks(model, invoices, "year")
+    sold = sold_tracks(model, inside.withColumn("year", F.year("dt")), "year")
     # One row per track and year.
     first_year = F.min("year").over(Window.partitionBy("track_id"))
     return (
@@ -169,16 +181,24 @@ def yearly_ratios(yearly: DataFrame) -> DataFrame:
 
 
 def top_groups_yearly(yearly: DataFrame, by: str, metric: str = "revenue", n: int = 20) -> DataFrame:
-    """Yearly rows of the ``n`` groups with the largest metric over all years."""
+    """Yearly rows of the ``n`` groups with the largest metric over all years.
+
+    Each group's rows, one per year, ride along while the totals are ranked, so the
+    yearly result is computed once.
+    """
     check_metric(metric)
-    top = (
+    return (
         yearly.where(F.col(by).isNotNull())
         .groupBy(by)
-        .agg(F.sum(metric).alias("grand_total"))
+        .agg(
+            F.sum(metric).alias("grand_total"),
+            F.collect_list(F.struct(*yearly.columns)).alias("years"),
+        )
         .orderBy(F.desc("grand_total"), by)
         .limit(n)
+        .select(F.inline("years"))
+        .orderBy("year", by)
     )
-    return yearly.join(top, by, "left_semi").orderBy("year", by)
 
 
 def top_n(groups: DataFrame, n: int = 5, metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:

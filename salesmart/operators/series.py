@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmart.functions.dates import DateRange
+from salesmart.functions.dates import DateRange, month_of
 from salesmart.functions.ratios import ratio
 
 
 def monthly_summary(staged: DataFrame, rng: DateRange) -> DataFrame:
     """KPIs per month; firsts are judged by month over the whole staged history."""
     inside = rng.contains("dt")
-    per_customer = staged.groupBy("customer_id", F.date_format("dt", "yyyy-MM").alias("month")).agg(
+    per_customer = staged.groupBy("customer_id", month_of("dt").alias("month")).agg(
         F.count_if(inside).alias("num_purchases"),
         F.sum(F.when(inside, F.col("tracks_sold"))).alias("tracks_sold"),
         F.sum(F.when(inside, F.col("revenue"))).alias("revenue"),
@@ -22,7 +22,7 @@ def monthly_summary(staged: DataFrame, rng: DateRange) -> DataFrame:
     return (
         per_customer.withColumn("is_first", F.col("month") == first_month)
         .where("num_purchases > 0")
-        .groupBy("month")
+        .groupBy(F.date_format("month", "yyyy-MM").alias("month"))
         .agg(
             F.sum("num_purchases").alias("num_purchases"),
             F.count("customer_id").alias("num_customers"),

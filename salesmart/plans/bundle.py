@@ -55,8 +55,9 @@ def topn_all(
     countries: DataFrame | None = None,
 ) -> DataFrame:
     """Every ranking for genres, artists and countries in one frame, with display columns."""
+    total = mart.total_revenue(rng)
     parts = [
-        display_top_n(mart.top_n(by, rng, n, metrics), countries if by == "country" else None)
+        display_top_n(mart.top_n(by, rng, n, metrics, total), countries if by == "country" else None)
         .withColumn("section", F.lit(f"topn_{by}"))
         for by in GROUPS
     ]

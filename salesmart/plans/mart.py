@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from salesmart.functions.dates import DateRange
 from salesmart.functions.fingerprint import key_fingerprint
@@ -40,12 +40,16 @@ class SalesMart:
     @property
     def sales(self) -> DataFrame:
         """Staged invoices with their line totals."""
-        return self._stored or staging.staged_sales(self.model, self.filter)
+        if self._stored is not None:
+            return self._stored
+        return staging.staged_sales(self.model, self.filter)
 
     @property
     def invoices(self) -> DataFrame:
         """Staged invoices; line totals only if stored."""
-        return self._stored or staging.staged_invoices(self.model, self.filter)
+        if self._stored is not None:
+            return self._stored
+        return staging.staged_invoices(self.model, self.filter)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> SalesMart:
         """Cache the staged set on first use."""
@@ -90,6 +94,10 @@ class SalesMart:
     def core_kpis(self, rng: DateRange) -> DataFrame:
         return core.core_kpis(self.sales, self.model, rng)
 
+    def total_revenue(self, rng: DateRange | None = None) -> Column:
+        """Revenue of the range as a scalar subquery, for use in expressions."""
+        return core.total_revenue(self.sales, rng).scalar()
+
     def group_kpis(self, by: str, rng: DateRange | None = None) -> DataFrame:
         staged = self.sales if by == "country" else self.invoices
         return groups.group_kpis(staged, self.model, by, rng)
@@ -106,10 +114,15 @@ class SalesMart:
         rng: DateRange | None = None,
         n: int = 5,
         metrics: Sequence[str] = tuple(METRICS),
+        total: Column | None = None,
     ) -> DataFrame:
-        """Top groups per metric with averages, share of revenue and catalog coverage."""
+        """Top groups per metric with averages, share of revenue and catalog coverage.
+
+        ``total`` saves working out the revenue of the range again; see
+        :meth:`total_revenue`.
+        """
         best = groups.top_n(self.group_kpis(by, rng), n, metrics)
-        total = core.total_revenue(self.sales, rng).scalar()
+        total = self.total_revenue(rng) if total is None else total
         coverage = self.catalog_sales(by, rng) if by in groups.CATALOGED else None
         return groups.enrich_top_n(best, total, coverage)
 

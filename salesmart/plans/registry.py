@@ -98,7 +98,7 @@ RETENTION_RATIOS = (
 
 
 def _top_n(mart: SalesMart, v: Variant, by: str) -> DataFrame:
-    df = rounded(rounded(mart.top_n(by, v.rng), 2, "revenue"), 4, *TOP_RATIOS)
+    df = rounded(rounded(mart.persist().top_n(by, v.rng), 2, "revenue"), 4, *TOP_RATIOS)
     return df if by == "country" else rounded(df, 4, "pct_catalog_sold")
 
 
