@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Where every partition of the smaller side stays under this size, hash it instead
+    # of sorting both sides. Checked at run time on the shuffled sizes.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
 
