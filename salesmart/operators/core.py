@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DateRange
+from salesmart.functions.money import HIGH, LOW, revenue, sum_revenue
 from salesmart.functions.ratios import ratio
 from salesmart.functions.rows import first_per, fold_rows
 from salesmart.operators.staging import first_purchases, sold_tracks
@@ -60,7 +61,7 @@ def core_kpis(staged: DataFrame, model: SalesModel, rng: DateRange) -> DataFrame
 def total_revenue(staged: DataFrame, rng: DateRange | None) -> DataFrame:
     """One row, one column: revenue in cents precision over the month-aligned range."""
     inside = staged.where(rng.month_aligned().contains("dt")) if rng else staged
-    return inside.agg(F.round(F.sum("revenue"), 2).cast("double").alias("total"))
+    return inside.agg(*sum_revenue()).select(_in_cents().alias("total"))
 
 
 def _spending(inside: DataFrame, model: SalesModel, window: DateRange) -> DataFrame:
@@ -68,7 +69,7 @@ def _spending(inside: DataFrame, model: SalesModel, window: DateRange) -> DataFr
     spend = inside.groupBy("customer_id", "country").agg(
         F.count(F.lit(1)).alias("purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
-        F.sum("revenue").alias("revenue"),
+        *sum_revenue(),
     )
     first = first_purchases(model.invoice).where(window.contains("first_date"))
     new = first.select("customer_id", F.lit(True).alias("is_new"))
@@ -81,17 +82,22 @@ def _spending(inside: DataFrame, model: SalesModel, window: DateRange) -> DataFr
             F.count_if("counts").alias("customers"),
             F.count_if(F.col("counts") & F.col("is_new")).alias("new_customers"),
             F.sum("tracks_sold").alias("tracks_sold"),
-            F.sum("revenue").alias("revenue"),
+            *sum_revenue(),
         )
     )
-    return per_country.agg(
+    totals = per_country.agg(
         F.sum("purchases").alias("purchases_num"),
         F.sum("customers").alias("cust_num"),
         F.sum("new_customers").alias("cust_num_new"),
         F.coalesce(F.sum("tracks_sold"), F.lit(0)).cast("long").alias("tracks_sold_num"),
-        F.round(F.coalesce(F.sum("revenue"), F.lit(0)), 2).cast("double").alias("revenue_total"),
         F.count("country").alias("country_num"),
+        *sum_revenue(),
     )
+    return totals.withColumn("revenue_total", _in_cents()).drop(HIGH, LOW)
+
+
+def _in_cents() -> Column:
+    return F.round(F.coalesce(revenue(), F.lit(0)), 2).cast("double")
 
 
 def _breadth(inside: DataFrame, model: SalesModel) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DateRange
+from salesmart.functions.money import revenue, sum_revenue
 from salesmart.functions.rows import record, unpivot
 from salesmart.operators.metrics import METRICS, check_metric
 
@@ -33,7 +34,7 @@ def geo_metrics(staged: DataFrame, rng: DateRange, mode: str = "yearly") -> Data
     per_customer = inside.groupBy("customer_id", "country", "year").agg(
         F.count(F.lit(1)).alias("num_purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
-        F.sum("revenue").alias("revenue"),
+        *sum_revenue(),
         F.min("dt").alias("first_here"),
     )
     # Years times countries bound the rows per customer in this window.
@@ -45,7 +46,7 @@ def geo_metrics(staged: DataFrame, rng: DateRange, mode: str = "yearly") -> Data
             F.count("customer_id").alias("num_customers"),
             F.sum("num_purchases").alias("num_purchases"),
             F.sum("tracks_sold").alias("tracks_sold"),
-            F.sum("revenue").cast("double").alias("revenue"),
+            *sum_revenue(),
             F.count_if("is_first").alias("first_time_customers"),
         )
         .select(
@@ -57,7 +58,7 @@ def geo_metrics(staged: DataFrame, rng: DateRange, mode: str = "yearly") -> Data
             "num_customers",
             "num_purchases",
             "tracks_sold",
-            "revenue",
+            revenue().cast("double").alias("revenue"),
             "first_time_customers",
         )
         # "All" sorts after the digits of any year.

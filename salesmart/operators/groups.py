@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DateRange, within
 from salesmart.functions.display import country_label, display
+from salesmart.functions.money import revenue, sum_revenue
 from salesmart.functions.ratios import ratio
 from salesmart.functions.rows import record
 from salesmart.operators.metrics import METRICS, check_metric
@@ -37,7 +38,7 @@ def group_kpis(
     per_customer = sales.groupBy("customer_id", "group_val").agg(
         F.count(F.lit(1)).alias("num_purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
-        F.sum("revenue").alias("revenue"),
+        *sum_revenue(),
         F.min("dt").alias("first_in_group"),
     )
     # At most one row per group and customer enters this window.
@@ -49,9 +50,17 @@ def group_kpis(
             F.count("customer_id").alias("num_customers"),
             F.sum("num_purchases").alias("num_purchases"),
             F.sum("tracks_sold").alias("tracks_sold"),
-            F.sum("revenue").cast("double").alias("revenue"),
+            *sum_revenue(),
             F.count_if("is_first").alias("first_time_customers"),
         )
+        .select(
+            "group_val",
+            "num_customers",
+            "num_purchases",
+            "tracks_sold",
+            revenue().cast("double").alias("revenue"),
+            "first_time_customers",
+        )
         .orderBy("group_val")
     )
 
@@ -107,7 +116,7 @@ def group_yearly(staged: DataFrame, model: SalesModel, by: str, rng: DateRange)
             "num_purchases",
             "num_countries",
             "tracks_sold",
-            "revenue",
+            revenue().cast("double").alias("revenue"),
             "first_time_customers",
             "unique_tracks_sold",
             "first_tracks_sold",
@@ -121,7 +130,7 @@ def _yearly_customers(sales: DataFrame) -> DataFrame:
     per_customer = sales.groupBy("customer_id", "country", F.year("dt").alias("year"), "group_val").agg(
         F.count(F.lit(1)).alias("num_purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
-        F.sum("revenue").alias("revenue"),
+        *sum_revenue(),
     )
     # Few rows per customer are left: years times groups times countries. In this order
     # the first row holds the first year, and a customer is counted on the first country
@@ -140,7 +149,7 @@ def _yearly_customers(sales: DataFrame) -> DataFrame:
             F.count_if("counts").alias("num_customers"),
             F.sum("num_purchases").alias("num_purchases"),
             F.sum("tracks_sold").alias("tracks_sold"),
-            F.sum("revenue").alias("revenue"),
+            *sum_revenue(),
             F.count_if(F.col("counts") & F.col("is_first")).alias("first_time_customers"),
         )
     )
@@ -149,7 +158,7 @@ def _yearly_customers(sales: DataFrame) -> DataFrame:
         F.sum("num_purchases").alias("num_purchases"),
         F.count("country").alias("num_countries"),
         F.sum("tracks_sold").alias("tracks_sold"),
-        F.sum("revenue").cast("double").alias("revenue"),
+        *sum_revenue(),
         F.sum("first_time_customers").alias("first_time_customers"),
     )
 

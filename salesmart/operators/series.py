@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DateRange, month_of
+from salesmart.functions.money import revenue, sum_revenue
 from salesmart.functions.ratios import ratio
 
 
@@ -15,7 +16,7 @@ def monthly_summary(staged: DataFrame, rng: DateRange) -> DataFrame:
     per_customer = staged.groupBy("customer_id", month_of("dt").alias("month")).agg(
         F.count_if(inside).alias("num_purchases"),
         F.sum(F.when(inside, F.col("tracks_sold"))).alias("tracks_sold"),
-        F.sum(F.when(inside, F.col("revenue"))).alias("revenue"),
+        *sum_revenue(where=inside),
     )
     # At most one row per calendar month and customer enters this window.
     first_month = F.min("month").over(Window.partitionBy("customer_id"))
@@ -27,9 +28,17 @@ def monthly_summary(staged: DataFrame, rng: DateRange) -> DataFrame:
             F.sum("num_purchases").alias("num_purchases"),
             F.count("customer_id").alias("num_customers"),
             F.sum("tracks_sold").alias("tracks_sold"),
-            F.sum("revenue").cast("double").alias("revenue"),
+            *sum_revenue(),
             F.count_if("is_first").alias("first_time_customers"),
         )
+        .select(
+            "month",
+            "num_purchases",
+            "num_customers",
+            "tracks_sold",
+            revenue().cast("double").alias("revenue"),
+            "first_time_customers",
+        )
         .orderBy("month")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DateRange, within
+from salesmart.functions.money import sum_amounts
 from salesmart.operators.filters import SalesFilter
 from salesmart.sources.model import SalesModel
 
@@ -27,7 +28,7 @@ def staged_invoices(model: SalesModel, flt: SalesFilter) -> DataFrame:
 def staged_sales(model: SalesModel, flt: SalesFilter) -> DataFrame:
     """Qualifying invoices with their line totals, from one pass over the lines.
 
-    Adds ``num_lines``, ``tracks_sold`` and ``revenue``. Lines are summed per invoice
+    Adds ``num_lines``, ``tracks_sold`` and the two parts of the revenue. Lines are summed per invoice
     before they meet the invoices, so an invoice with very many lines costs no more
     than any other.
     """
@@ -39,7 +40,7 @@ def staged_sales(model: SalesModel, flt: SalesFilter) -> DataFrame:
             F.count("hit").alias("hits"),
             F.count(F.lit(1)).alias("num_lines"),
             F.sum("quantity").alias("tracks_sold"),
-            F.sum("amount").alias("revenue"),
+            *sum_amounts("amount"),
         )
         .where("hits > 0")
         .drop("hits")
@@ -85,6 +86,6 @@ def group_sales(model: SalesModel, invoices: DataFrame, by: str) -> DataFrame:
     totals = (
         model.line.join(groups, "track_id")
         .groupBy("invoice_id", "group_val")
-        .agg(F.sum("quantity").alias("tracks_sold"), F.sum("amount").alias("revenue"))
+        .agg(F.sum("quantity").alias("tracks_sold"), *sum_amounts("amount"))
     )
     return totals.join(invoices.select("invoice_id", "customer_id", "dt", "country"), "invoice_id")

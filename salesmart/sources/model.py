@@ -10,7 +10,8 @@ genre       name
 artist      name
 ==========  =======================================================================
 
-``amount`` is decimal so that sums do not depend on the order of tasks.
+``amount`` is a whole number of ten-thousandths, so that sums are exact and do not
+depend on the order of tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesmart.functions.money import units_of_decimal, units_of_double
 from salesmart.sources.schemas import STORE, WHOLESALE
 from salesmart.sources.tables import load_tables
 
@@ -55,7 +57,7 @@ class SalesModel:
             F.col("InvoiceId").alias("invoice_id"),
             F.col("TrackId").alias("track_id"),
             F.col("Quantity").cast("long").alias("quantity"),
-            (F.col("Quantity") * F.col("UnitPrice")).cast("decimal(18,4)").alias("amount"),
+            (F.col("Quantity") * units_of_decimal(F.col("UnitPrice"))).alias("amount"),
         )
         # Left joins: a track without a genre or an artist stays in the catalog.
         genre = tables["Genre"].select(F.col("GenreId"), F.col("Name").alias("genre"))
@@ -109,7 +111,7 @@ class SalesModel:
             F.col("l_orderkey").alias("invoice_id"),
             F.col("l_partkey").alias("track_id"),
             F.col("l_quantity").cast("long").alias("quantity"),
-            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("amount"),
+            units_of_double(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"),
         )
         item = tables["part"].select(
             F.col("p_partkey").alias("track_id"),

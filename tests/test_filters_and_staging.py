@@ -4,6 +4,7 @@ from conftest import YEAR, rows
 
 from salesmart import DateRange, SalesFilter, SalesMart
 from salesmart.functions.fingerprint import frame_fingerprint, key_fingerprint
+from salesmart.functions.money import revenue
 from salesmart.operators.staging import staged_invoices, staged_sales
 
 
@@ -18,7 +19,7 @@ def test_no_filter_drops_invoices_without_a_complete_line(model):
 
 def test_genre_filter_selects_invoices_and_keeps_all_their_lines(model):
     flt = SalesFilter(genres=("Rock",))
-    sales = {r[0]: r[1:] for r in rows(staged_sales(model, flt), "invoice_id", "num_lines", "revenue")}
+    sales = {r[0]: r[1:] for r in rows(staged_sales(model, flt), "invoice_id", "num_lines", revenue())}
     assert sorted(sales) == staged_ids(model, flt)
     assert sales[2][0] == 2 and float(sales[2][1]) == 4.0
     assert 3 not in sales
