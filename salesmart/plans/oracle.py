@@ -15,12 +15,11 @@ from salesmart.operators.metrics import METRICS
 from salesmart.operators.retention import RETENTION_KPIS, RETENTION_LINES
 from salesmart.plans.insights import CARDS, RANKED, SCOPES
 from salesmart.plans.registry import (
-    CORE_RATIOS,
+    DIGITS,
     FILTERED,
+    MEANS,
     PLAIN,
-    RETENTION_RATIOS,
     SCOPED,
-    TOP_RATIOS,
     Variant,
     variants_of,
 )
@@ -127,10 +126,10 @@ def monthly(rng: DateRange) -> str:
     return f"""
 SELECT strftime(dt, '%Y-%m') AS month, count(DISTINCT invoice_id) AS num_purchases,
        count(DISTINCT customer_id) AS num_customers, CAST(sum(quantity) AS BIGINT) AS tracks_sold,
-       round(CAST(sum(amount) AS DOUBLE), 2) AS revenue,
+       CAST(sum(amount) AS DOUBLE) AS revenue,
        count(DISTINCT customer_id) FILTER (date_trunc('month', dt) = date_trunc('month', day_one))
          AS first_time_customers,
-       round(CAST(sum(amount) AS DOUBLE) / count(DISTINCT customer_id), 2) AS rev_per_cust
+       CAST(sum(amount) AS DOUBLE) / count(DISTINCT customer_id) AS rev_per_cust
 FROM sl JOIN (SELECT customer_id, min(dt) AS day_one FROM st GROUP BY 1) USING (customer_id)
 WHERE {_between(rng)} GROUP BY 1"""
 
@@ -188,12 +187,12 @@ def cohort(rng: DateRange, p: str = "", reach: str | None = None) -> str:
   WHERE month_offset > 0 GROUP BY cohort_month, month_offset, cohort_size)"""
 
 
-def decay(digits: int, scale: int = 1) -> str:
+def decay(scale: int = 1) -> str:
     return f"""
 SELECT month_offset, count(DISTINCT customer_id) AS num_retained,
        (SELECT count(DISTINCT customer_id) FROM act) AS num_customers,
-       round({scale} * (CAST(count(DISTINCT customer_id) AS DOUBLE)
-         / (SELECT count(DISTINCT customer_id) FROM act)), {digits}) AS retention_rate
+       CAST(count(DISTINCT customer_id) AS DOUBLE) / (SELECT count(DISTINCT customer_id) FROM act) * {scale}
+         AS retention_rate
 FROM act WHERE month_offset > 0 GROUP BY month_offset"""
 
 
@@ -211,7 +210,7 @@ def grid() -> str:
     return """
 grid AS (
   SELECT m.cohort_month, o.month_offset, strftime(m.cohort_month, '%b %Y') AS cohort_label,
-         num_active_customers, cohort_size, round(retention_pct * 100, 2) AS retention_pct
+         num_active_customers, cohort_size, retention_pct * 100 AS retention_pct
   FROM (SELECT CAST(unnest(generate_series((SELECT min(cohort_month) FROM co),
           (SELECT max(cohort_month) FROM co), INTERVAL 1 MONTH)) AS DATE) AS cohort_month) m
   JOIN (SELECT CAST(unnest(generate_series((SELECT min(month_offset) FROM co),
@@ -362,8 +361,8 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join([MODEL, *parts])
 
 
-def _replace(table: str, digits: dict[str, int]) -> str:
-    swaps = ", ".join(f"round({c}, {d}) AS {c}" for c, d in digits.items())
+def _replace(table: str, swaps: dict[str, str]) -> str:
+    swaps = ", ".join(f"{text.replace('{}', c)} AS {c}" for c, text in swaps.items())
     return f" SELECT * REPLACE ({swaps}) FROM {table}"
 
 
@@ -396,45 +395,40 @@ def _scoped(name: str, v: Variant) -> str:
             f"FROM st WHERE {_between(rng.month_aligned())}"
         )
     if name == "core_kpis":
-        return _with(st, core(rng)) + _replace("core", dict.fromkeys(CORE_RATIOS, 4))
+        return _with(st, core(rng)) + " FROM core"
     if name.startswith("group_kpis_"):
         by = name.rsplit("_", 1)[1]
-        return _with(st, group_base(rng, by)) + _replace(f"g_{by}", {"revenue": 2})
+        return _with(st, group_base(rng, by)) + f" FROM g_{by}"
     if name.startswith("catalog_sales_"):
         by = name.rsplit("_", 1)[1]
-        return _with(st, group_base(rng, by)) + _replace(f"cs_{by}", {"pct_catalog_sold": 4})
+        return _with(st, group_base(rng, by)) + f" FROM cs_{by}"
     if name.startswith("topn_"):
         by = name.rsplit("_", 1)[1]
-        digits = {"revenue": 2, **dict.fromkeys(TOP_RATIOS, 4)}
-        if by != "country":
-            digits["pct_catalog_sold"] = 4
-        return _with(st, core(rng), group_base(rng, by), top(by, 5)) + _replace(f"t_{by}", digits)
+        return _with(st, core(rng), group_base(rng, by), top(by, 5)) + f" FROM t_{by}"
     if name == "monthly_summary":
         return _with(st) + monthly(rng)
     if name == "geo_aggregate":
         return _with(st, geo(rng)) + (
-            " SELECT * REPLACE (round(revenue, 2) AS revenue), "
-            "round(revenue / num_customers, 2) AS rev_per_cust FROM geo_a"
+            " SELECT *, revenue / num_customers AS rev_per_cust FROM geo_a"
         )
     if name == "geo_metric_bounds":
         rows = [
-            f"SELECT '{m}' AS metric, round(CAST(min({m}) AS DOUBLE), 2) AS min_value, "
-            f"round(CAST(max({m}) AS DOUBLE), 2) AS max_value FROM geo_f"
+            f"SELECT '{m}' AS metric, CAST(min({m}) AS DOUBLE) AS min_value, "
+            f"CAST(max({m}) AS DOUBLE) AS max_value FROM geo_f"
             for m in METRICS
         ]
         return _with(st, geo(rng)) + " " + " UNION ALL ".join(rows)
     if name in ("geo_yearly", "geo_frames"):
-        return _with(st, geo(rng)) + _replace("geo_y" if name == "geo_yearly" else "geo_f", {"revenue": 2})
+        return _with(st, geo(rng)) + (" FROM geo_y" if name == "geo_yearly" else " FROM geo_f")
     if name.startswith("group_yearly_"):
         by = name.rsplit("_", 1)[1]
         return _with(st, yearly(rng, by)) + (
-            " SELECT * REPLACE (round(revenue, 2) AS revenue), "
-            "round(revenue / catalog_size, 4) AS revenue_per_track, "
-            "round(CAST(unique_tracks_sold AS DOUBLE) / catalog_size, 4) AS pct_catalog_sold FROM yr"
+            " SELECT *, revenue / catalog_size AS revenue_per_track, "
+            "CAST(unique_tracks_sold AS DOUBLE) / catalog_size AS pct_catalog_sold FROM yr"
         )
     if name == "top_groups_yearly":
-        return _with(st, yearly(rng, "artist")) + _replace("yr", {"revenue": 2}) + (
-            " WHERE artist IN (SELECT artist FROM yr GROUP BY 1 ORDER BY sum(revenue) DESC, artist LIMIT 20)"
+        return _with(st, yearly(rng, "artist")) + (
+            " FROM yr WHERE artist IN (SELECT artist FROM yr GROUP BY 1 ORDER BY sum(revenue) DESC, artist LIMIT 20)"
         )
     if name == "cohort_retention":
         return _with(st, co) + " FROM co"
@@ -454,22 +448,22 @@ def _scoped(name: str, v: Variant) -> str:
     if name == "top_cohorts":
         return _with(st, co, best_cohorts()) + " FROM best"
     if name == "retention_decay":
-        return _with(st, co) + decay(6)
+        return _with(st, co) + decay()
     if name == "retention_decay_percent":
-        return _with(st, cohort(rng, reach="24")) + decay(4, 100)
+        return _with(st, cohort(rng, reach="24")) + decay(100)
     if name == "customer_bounds":
         return _with(st, bounds(rng)) + " FROM bd"
     if name == "customer_metrics":
-        return _with(st, bounds(rng)) + _replace(
-            "cm", dict.fromkeys(("avg_gap_life", "avg_gap_window", "avg_gap_bound"), 4)
-        )
+        return _with(st, bounds(rng)) + " FROM cm"
     if name == "retention_kpis":
-        return _with(st, bounds(rng), retention()) + _replace("rt", dict.fromkeys(RETENTION_RATIOS, 4))
+        return _with(st, bounds(rng), retention()) + _replace("rt", dict.fromkeys(MEANS, f"round({{}}, {DIGITS})"))
     if name == "filter_fingerprint":
         return _with(st) + _fingerprint("SELECT CAST(invoice_id AS VARCHAR) AS t FROM st")
     if name == "kpi_bundle_long":
         parts = [st, core(rng), co, best_cohorts(), bounds(rng), retention(), bundle_rows()]
-        return _with(*parts) + _replace("bu", {"value": 4})
+        return _with(*parts) + _replace(
+            "bu", {"value": f"CASE WHEN {_in('kpi', MEANS)} THEN round({{}}, {DIGITS}) ELSE {{}} END"}
+        )
     raise KeyError(name)
 
 
@@ -518,12 +512,11 @@ def _insights() -> str:
 def build_oracle() -> dict[str, str]:
     found = {name + v.suffix: _scoped(name, v) for name in SCOPED for v in variants_of(name)}
     found.update(_unscoped())
-    digits = {"revenue": 2, **dict.fromkeys((*TOP_RATIOS, "pct_catalog_sold"), 4)}
     for v in (PLAIN, FILTERED):
-        found["topn_all" + v.suffix] = _with(CODES, *_everything(v), ranking_rows()) + _replace("ta", digits)
+        found["topn_all" + v.suffix] = _with(CODES, *_everything(v), ranking_rows()) + " FROM ta"
         found["geo_iso" + v.suffix] = (
             _with(CODES, staged(v.filter), geo(v.rng))
-            + " SELECT geo_f.* REPLACE (round(revenue, 2) AS revenue), iso_alpha FROM geo_f JOIN codes USING (country)"
+            + " SELECT geo_f.*, iso_alpha FROM geo_f JOIN codes USING (country)"
         )
     found["insights_compare"] = _insights()
     return found

@@ -2,8 +2,8 @@
 
 Each result is registered over the whole calendar without a filter; results that read
 a window or a filter differently are registered again as ``*_window`` (dates that start
-and end inside a month) and ``*_filtered``. Figures are rounded here, for comparison
-only; the operators return them unrounded.
+and end inside a month) and ``*_filtered``. Means of fractions depend on the order of
+summation in their last digits; they are rounded here, for comparison only.
 """
 
 from __future__ import annotations
@@ -65,50 +65,14 @@ def country_codes(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-# Figures to round, by kind.
-CORE_RATIOS = (
-    "cust_per_new",
-    "tracks_per_purchase",
-    "revenue_per_month",
-    "revenue_per_cust",
-    "revenue_per_purchase",
-)
-TOP_RATIOS = (
-    "avg_revenue_per_cust",
-    "avg_revenue_per_purchase",
-    "avg_tracks_per_purchase",
-    "revenue_share",
-)
-RETENTION_RATIOS = (
-    "pct_new",
-    "ret_rate_any",
-    "ret_rate_return",
-    "ret_rate_conv",
-    "ret_rate_window",
-    "avg_life_mo_tot",
-    "avg_life_mo_win",
-    "avg_gap_life",
-    "avg_gap_window",
-    "avg_gap_bound",
-)
-
-
-def _top_n(mart: SalesMart, v: Variant, by: str) -> DataFrame:
-    df = rounded(rounded(mart.persist().top_n(by, v.rng), 2, "revenue"), 4, *TOP_RATIOS)
-    return df if by == "country" else rounded(df, 4, "pct_catalog_sold")
+# Means of fractions, and the digits kept of them.
+MEANS = ("avg_gap_life", "avg_gap_window", "avg_gap_bound")
+DIGITS = 6
 
 
 def _bundle(mart: SalesMart, v: Variant) -> DataFrame:
-    return rounded(kpi_bundle(mart.persist(), v.rng), 4, "value")
-
-
-def _topn_all(mart: SalesMart, v: Variant, codes: DataFrame) -> DataFrame:
-    df = topn_all(mart.persist(), v.rng, countries=codes)
-    return rounded(rounded(df, 2, "revenue"), 4, *TOP_RATIOS, "pct_catalog_sold")
+    short = F.when(F.col("kpi").isin(*MEANS), F.round("value", DIGITS)).otherwise(F.col("value"))
+    return kpi_bundle(mart.persist(), v.rng).withColumn("value", short)
 
 
 def _cohorts(mart: SalesMart, v: Variant) -> DataFrame:
@@ -116,56 +80,46 @@ def _cohorts(mart: SalesMart, v: Variant) -> DataFrame:
 
 
 def _matrix(mart: SalesMart, v: Variant) -> DataFrame:
-    wide = cohorts.cohort_matrix(cohorts.cohort_grid(_cohorts(mart, v)), v.reach)
-    return rounded(wide, 2, *[c for c in wide.columns if c.startswith("m")])
+    return cohorts.cohort_matrix(cohorts.cohort_grid(_cohorts(mart, v)), v.reach)
 
 
 def _yearly(mart: SalesMart, v: Variant, by: str) -> DataFrame:
-    df = groups.yearly_ratios(mart.group_yearly(by, v.rng))
-    return rounded(rounded(df, 2, "revenue"), 4, "revenue_per_track", "pct_catalog_sold")
+    return groups.yearly_ratios(mart.group_yearly(by, v.rng))
 
 
 # Results that depend on a filter and a date range.
 SCOPED: dict[str, Callable[[SalesMart, Variant], DataFrame]] = {
     "filtered_invoices": lambda m, v: m.filtered_invoices(),
     "invoice_details": lambda m, v: m.invoice_details(v.rng).withColumn("total", F.col("total").cast("double")),
-    "core_kpis": lambda m, v: rounded(m.core_kpis(v.rng), 4, *CORE_RATIOS),
-    "group_kpis_genre": lambda m, v: rounded(m.group_kpis("genre", v.rng), 2, "revenue"),
-    "group_kpis_artist": lambda m, v: rounded(m.group_kpis("artist", v.rng), 2, "revenue"),
-    "group_kpis_country": lambda m, v: rounded(m.group_kpis("country", v.rng), 2, "revenue"),
-    "topn_genre": partial(_top_n, by="genre"),
-    "topn_artist": partial(_top_n, by="artist"),
-    "topn_country": partial(_top_n, by="country"),
-    "catalog_sales_genre": lambda m, v: rounded(m.catalog_sales("genre", v.rng), 4, "pct_catalog_sold"),
-    "catalog_sales_artist": lambda m, v: rounded(m.catalog_sales("artist", v.rng), 4, "pct_catalog_sold"),
-    "monthly_summary": lambda m, v: rounded(
-        series.revenue_per_customer(m.monthly_summary(v.rng)), 2, "revenue", "rev_per_cust"
-    ),
-    "geo_yearly": lambda m, v: rounded(m.geo_metrics(v.rng, "yearly"), 2, "revenue"),
-    "geo_aggregate": lambda m, v: rounded(
-        series.revenue_per_customer(m.geo_metrics(v.rng, "aggregate")), 2, "revenue", "rev_per_cust"
-    ),
-    "geo_frames": lambda m, v: rounded(m.geo_metrics(v.rng, "frames"), 2, "revenue"),
-    "geo_metric_bounds": lambda m, v: rounded(
-        geo.metric_bounds(m.geo_metrics(v.rng, "frames")), 2, "min_value", "max_value"
-    ),
+    "core_kpis": lambda m, v: m.core_kpis(v.rng),
+    "group_kpis_genre": lambda m, v: m.group_kpis("genre", v.rng),
+    "group_kpis_artist": lambda m, v: m.group_kpis("artist", v.rng),
+    "group_kpis_country": lambda m, v: m.group_kpis("country", v.rng),
+    "topn_genre": lambda m, v: m.persist().top_n("genre", v.rng),
+    "topn_artist": lambda m, v: m.persist().top_n("artist", v.rng),
+    "topn_country": lambda m, v: m.persist().top_n("country", v.rng),
+    "catalog_sales_genre": lambda m, v: m.catalog_sales("genre", v.rng),
+    "catalog_sales_artist": lambda m, v: m.catalog_sales("artist", v.rng),
+    "monthly_summary": lambda m, v: series.revenue_per_customer(m.monthly_summary(v.rng)),
+    "geo_yearly": lambda m, v: m.geo_metrics(v.rng, "yearly"),
+    "geo_aggregate": lambda m, v: series.revenue_per_customer(m.geo_metrics(v.rng, "aggregate")),
+    "geo_frames": lambda m, v: m.geo_metrics(v.rng, "frames"),
+    "geo_metric_bounds": lambda m, v: geo.metric_bounds(m.geo_metrics(v.rng, "frames")),
     "group_yearly_genre": partial(_yearly, by="genre"),
     "group_yearly_artist": partial(_yearly, by="artist"),
-    "top_groups_yearly": lambda m, v: rounded(m.top_groups_yearly("artist", v.rng), 2, "revenue"),
+    "top_groups_yearly": lambda m, v: m.top_groups_yearly("artist", v.rng),
     "cohort_retention": _cohorts,
-    "cohort_grid": lambda m, v: rounded(cohorts.cohort_grid(_cohorts(m, v)), 2, "retention_pct"),
+    "cohort_grid": lambda m, v: cohorts.cohort_grid(_cohorts(m, v)),
     "cohort_matrix": _matrix,
     "cohort_fingerprint": lambda m, v: frame_fingerprint(_cohorts(m, v)),
     "top_cohorts": lambda m, v: cohorts.top_cohorts(_cohorts(m, v)),
-    "retention_decay": lambda m, v: rounded(m.retention_decay(v.rng), 6, "retention_rate"),
-    "retention_decay_percent": lambda m, v: rounded(
-        cohorts.decay_percent(m.retention_decay(v.rng, 24)), 4, "retention_rate"
-    ),
+    "retention_decay": lambda m, v: m.retention_decay(v.rng),
+    "retention_decay_percent": lambda m, v: cohorts.decay_percent(m.retention_decay(v.rng, 24)),
     "customer_bounds": lambda m, v: m.customer_bounds(v.rng),
-    "customer_metrics": lambda m, v: rounded(
-        m.customer_metrics(v.rng), 4, "avg_gap_life", "avg_gap_window", "avg_gap_bound"
+    "customer_metrics": lambda m, v: m.customer_metrics(v.rng),
+    "retention_kpis": lambda m, v: m.retention_kpis(v.rng).withColumns(
+        {c: F.round(c, DIGITS) for c in MEANS}
     ),
-    "retention_kpis": lambda m, v: rounded(m.retention_kpis(v.rng), 4, *RETENTION_RATIOS),
     "filter_fingerprint": lambda m, v: m.fingerprint(),
     "kpi_bundle_long": _bundle,
 }
@@ -232,8 +186,12 @@ def _coded(build, v: Variant, spark: SparkSession, directory: str) -> DataFrame:
     return build(mart_for(spark, directory, v.filter), v, country_codes(spark, directory))
 
 
+def _topn_all(mart: SalesMart, v: Variant, codes: DataFrame) -> DataFrame:
+    return topn_all(mart.persist(), v.rng, countries=codes)
+
+
 def _geo_iso(mart: SalesMart, v: Variant, codes: DataFrame) -> DataFrame:
-    return rounded(geo.with_iso3(mart.geo_metrics(v.rng, "frames"), codes), 2, "revenue")
+    return geo.with_iso3(mart.geo_metrics(v.rng, "frames"), codes)
 
 
 def _insights(spark: SparkSession, directory: str) -> DataFrame:
