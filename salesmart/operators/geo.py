@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesmart.functions.countries import resolve_country
 from salesmart.functions.dates import DateRange
 from salesmart.functions.money import revenue, sum_revenue
 from salesmart.functions.rows import record, unpivot
@@ -67,9 +68,9 @@ def geo_metrics(staged: DataFrame, rng: DateRange, mode: str = "yearly") -> Data
 
 
 def with_iso3(geo: DataFrame, countries: DataFrame) -> DataFrame:
-    """Add ``iso_alpha`` from a (country, iso3) dimension; unresolved countries drop out."""
-    codes = countries.where(F.col("iso3").isNotNull()).select("country", F.col("iso3").alias("iso_alpha"))
-    return geo.join(codes, "country")
+    """Add ``iso_alpha`` from a country dimension; unresolved countries drop out."""
+    known = countries.where(F.col("iso3").isNotNull()).withColumn("iso_alpha", F.col("iso3"))
+    return resolve_country(geo, "country", known, "inner", "iso_alpha")
 
 
 def metric_bounds(df: DataFrame, metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:

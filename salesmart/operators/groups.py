@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesmart.functions.countries import resolve_country
 from salesmart.functions.dates import DateRange, within
 from salesmart.functions.display import country_label, display
 from salesmart.functions.money import revenue, sum_revenue
@@ -269,15 +270,14 @@ TOP_N_DISPLAY = {
 def display_top_n(top: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     """Add a ``*_fmt`` text column for every figure and for the group name.
 
-    ``countries`` (country, iso2, label) turns country names into flag and label;
-    without it names are shown as they are.
+    ``countries``, a country dimension with iso2 and label, turns countries into flag
+    and label; without it names are shown as they are.
     """
     texts = {f"{c}_fmt": display(c, kind) for c, kind in TOP_N_DISPLAY.items() if c in top.columns}
     if countries is None:
         return top.withColumns({**texts, "group_val_fmt": F.col("group_val")})
-    names = countries.select(F.col("country").alias("group_val"), "iso2", "label")
     return (
-        top.join(names, "group_val", "left")
+        resolve_country(top, "group_val", countries, "left", "iso2", "label")
         .withColumns({**texts, "group_val_fmt": country_label("iso2", "label")})
         .drop("iso2", "label")
     )

@@ -70,7 +70,7 @@ class SalesMart:
 
     def register(self, view: str = "filtered_invoices") -> None:
         """Create or replace temporary views of the staged set and both catalogs."""
-        self.filtered_invoices().createOrReplaceTempView(view)
+        self.invoices.select("customer_id", "dt", "invoice_id").createOrReplaceTempView(view)
         self.catalog("genre").createOrReplaceTempView("genre_catalog")
         self.catalog("artist").createOrReplaceTempView("artist_catalog")
 

@@ -83,6 +83,11 @@ def test_iso_codes_drop_unknown_countries_only(mart, codes):
     assert got == {"USA": "USA", "France": "FRA", "Brazil": "BRA"}
 
 
+def test_countries_resolve_by_name_or_code(spark, codes):
+    given = spark.createDataFrame([("usa",), ("FR",), ("Brazil",), ("Atlantis",)], "country string")
+    assert sorted(rows(with_iso3(given, codes))) == [("Brazil", "BRA"), ("FR", "FRA"), ("usa", "USA")]
+
+
 def test_metric_bounds(mart):
     got = {r[0]: r[1:] for r in rows(metric_bounds(mart.geo_metrics(YEAR)))}
     assert got["revenue"] == (3.0, 9.0)
