@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import decontamination, packing, quality_classifier, quality_rules
+from salesmart.llm import decontamination, ngram_join, packing, quality_classifier, quality_rules
 from salesmart.llm.columns import private_name, quoted
 from salesmart.llm.labelled import label_sample
 from salesmart.llm.queries import table, tokenizer_path
@@ -29,6 +29,11 @@ def apply_rules(spark: SparkSession, documents: DataFrame, directory: str) -> Da
     return quality_rules.kept_documents(documents)
 
 
+def join_ngrams(spark: SparkSession, documents: DataFrame, directory: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return ngram_join.distinct_documents(documents)
+
+
 def decontaminate(spark: SparkSession, documents: DataFrame, directory: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontamination.clean_documents(documents, table(spark, directory, "benchmark"))
@@ -42,6 +47,7 @@ def pack(spark: SparkSession, documents: DataFrame, directory: str) -> DataFrame
 STAGES = [
     ("quality classifier", classify_quality),
     ("quality rules", apply_rules),
+    ("n-gram Jaccard join", join_ngrams),
     ("benchmark decontamination", decontaminate),
     ("packing", pack),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, packing, quality_classifier, quality_rules, token_files, toxicity, urls
+from . import chat, decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, urls
 from .columns import crc_of_id
 from .labelled import label_sample
 
@@ -90,10 +90,22 @@ def op7_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack(table(spark, directory, "documents"), tokenizer_path())
 
 
+def op8_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, directory, "documents"))
+
+
 def op9_token_files(spark: SparkSession, directory: str) -> DataFrame:
     return token_files.write_and_read(table(spark, directory, "documents"), tokenizer_path())
 
 
+def op10_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents").select("doc_id", "text")
+    held_out = crc_of_id(F.col("doc_id")) % 7 == 2
+    model = lm_scoring.train(documents.where(~held_out))
+    scored = lm_scoring.score(documents, model, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_chat_formatting, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_quality_rules, op6_toxicity, op7_packing, op9_token_files]
+    own = [op1_chat_formatting, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_quality_rules, op6_toxicity, op7_packing, op8_ngram_join, op9_token_files, op10_lm_scoring]
     return {query.__name__: query for query in own}
