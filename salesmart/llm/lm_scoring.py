@@ -490,7 +490,7 @@ def score(documents: DataFrame, model: Trained, keep: list[str], text: str = "te
                 p = np.where(known, a3 + m2 * (a2 + m1 * unigram), m2 * m1)
                 logs = np.log10(np.maximum(p, 1e-300))
                 base_logs = np.log10(count + 1.0) - whole
-                per_text = lambda values, mask: np.bincount(s.text[mask], values[mask], s.rows)
+                per_text = lambda values, mask: np.bincount(s.text[mask], values[mask], s.rows).astype(np.float64)
                 tail = np.flatnonzero(token & ~known)
                 order = np.lexsort((s.hashes[tail], s.text[tail]))
                 tail = tail[order]
