@@ -7,9 +7,10 @@ their counts through a join.
 
 The trie holds the bigrams and trigrams of head tokens that occur at least `gram_share` of
 all tokens often (twice at least), so at most 1 / gram_share of each. Tasks count them in
-sorted runs, cut by the range of their first token; a run is shuffled as one delta-coded
-block of bytes, and each range is merged and pruned on its own. What is left is dealt out
-to a few shards of the trie, each written as a file. A level is an Elias-Fano sequence
+sorted runs, cut by hash, so that no frequent word or pair brings its n-grams to one task;
+a run is shuffled as one delta-coded block of bytes, and each part is merged and pruned on
+its own. What is left is dealt out by first token to a few shards of the trie, each written
+as a file. A level is an Elias-Fano sequence
 of token numbers, made monotone by adding the last value of the range before; another of
 pointers to where the children of each entry begin; and a byte each for the discounted
 probability and for the mass left to shorter contexts, on a logarithmic scale.
@@ -55,14 +56,15 @@ ID_BITS = 21
 
 @dataclass(frozen=True)
 class LmSettings:
-    """Shares are of all training tokens. `range_tokens` is the size of the ranges n-grams
-    are counted in, `held` how many counts a task holds before it passes them on, and
-    `shard_grams` about how many n-grams go to a shard."""
+    """Shares are of all training tokens. `part_tokens` is the number of n-grams that are
+    merged in one go, `held` how many counts a task holds before it passes them on, and
+    `shard_grams` about how many kept n-grams go to a shard, cut from `ranges` ranges."""
 
     head_share: float = 2e-7
     gram_share: float = 5e-8
     discount: float = 0.75
-    range_tokens: int = 4_000_000
+    part_tokens: int = 4_000_000
+    ranges: int = 4096
     held: int = 1 << 21
     shard_grams: int = 2_000_000
 
@@ -220,13 +222,12 @@ def _ranges(by_rank: np.ndarray, texts: int, settings: LmSettings) -> np.ndarray
     weights = by_rank.astype(np.float64)
     weights[0] = texts
     before = np.cumsum(weights) - weights
-    count = max(1, int(np.ceil(weights.sum() / settings.range_tokens)))
+    count = settings.ranges
     return np.unique(np.searchsorted(before, np.arange(count) * weights.sum() / count))
 
 
-def _grams(documents: DataFrame, text: str, folder: str, head: str, cuts: np.ndarray, settings: LmSettings) -> DataFrame:
+def _grams(documents: DataFrame, text: str, folder: str, head: str, parts_wanted: int, settings: LmSettings) -> DataFrame:
     """part, length of n-grams and a block of them with counts, from every training text."""
-    limits = cuts[1:].astype(np.uint64)
 
     def run(batches):
         own = _Head(_mapped(folder, head))
@@ -239,8 +240,10 @@ def _grams(documents: DataFrame, text: str, folder: str, head: str, cuts: np.nda
                 if not keys:
                     continue
                 distinct, counts = np.unique(np.concatenate(keys), return_counts=True)
-                bounds = np.searchsorted(distinct, limits << np.uint64(ID_BITS * (length - 1)))
-                bounds = [0, *bounds.tolist(), len(distinct)]
+                hashed = (mix(distinct) % np.uint64(parts_wanted)).astype(np.int64)
+                order = np.argsort(hashed, kind="stable")  # still rising within a part
+                distinct, counts = distinct[order], counts[order]
+                bounds = np.searchsorted(hashed[order], np.arange(parts_wanted + 1)).tolist()
                 for part, (begin, end) in enumerate(zip(bounds, bounds[1:])):
                     if begin < end:
                         parts.append(part)
@@ -413,32 +416,34 @@ def train(documents: DataFrame, text: str = "text", settings: LmSettings | None
     cuts = _ranges(by_rank, texts, settings)
     lowest = _lowest_count(settings.gram_share, tokens)
     discount = settings.discount
-    blocks = _grams(documents, text, folder, head, cuts, settings)
+    parts = max(1, int(np.ceil(2 * tokens / settings.part_tokens)))
+    blocks = _grams(documents, text, folder, head, parts, settings)
 
-    def merge(key, group):
+    def merge(group):
         lengths, held = group["length"].to_numpy(), group["block"].to_pylist()
-        columns = {"part": [], "length": [], "gram": [], "n": []}
+        columns = {"range": [], "length": [], "gram": [], "n": []}
         for length in (2, 3):
             keys, numbers = _merged([b for b, k in zip(held, lengths) if k == length])
             keys, numbers = keys[numbers >= lowest], numbers[numbers >= lowest]
-            columns["part"].append(np.full(len(keys), key[0].as_py(), dtype=np.int32))
+            first = (keys >> np.uint64(ID_BITS * (length - 1))).astype(np.int64)
+            columns["range"].append((np.searchsorted(cuts, first, side="right") - 1).astype(np.int32))
             columns["length"].append(np.full(len(keys), length, dtype=np.int32))
             columns["gram"].append(keys.view(np.int64))
             columns["n"].append(numbers)
         return pa.table({name: np.concatenate(c) for name, c in columns.items()})
 
-    kept = written(blocks.groupBy("part").applyInArrow(merge, "part int, length int, gram long, n long"))
+    kept = written(blocks.groupBy("part").applyInArrow(merge, "range int, length int, gram long, n long"))
     # One number per range: where the next shard begins.
-    sizes = {r["part"]: r["count"] for r in kept.groupBy("part").count().collect()}
+    sizes = {r["range"]: r["count"] for r in kept.groupBy("range").count().collect()}
     begins, size = [0], 0
-    for part in range(len(cuts)):
+    for k in range(len(cuts)):
         if size >= settings.shard_grams:
-            begins.append(part)
+            begins.append(k)
             size = 0
-        size += sizes.get(part, 0)
+        size += sizes.get(k, 0)
     firsts = cuts[begins]
     lasts = np.append(firsts[1:], len(by_rank))
-    shard_of = sum((F.col("part") >= b).cast("int") for b in begins) - 1
+    shard_of = sum((F.col("range") >= b).cast("int") for b in begins) - 1
     arrays = _mapped(folder, head)
     place = _Head(arrays).find(np.array([END_HASH]))[0]
     end_rank = int(arrays["rank"][place]) if place >= 0 else -1

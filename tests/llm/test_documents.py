@@ -234,7 +234,7 @@ def test_scores_are_those_of_the_model_said_by_hand(spark, nothing):
     texts = [" ".join(word() for _ in range(draw.randrange(60))) for _ in range(300)] + [None, "", "A a A", "never seen words here"]
     training = [zlib.crc32(str(k).encode()) % 7 != 2 for k in range(len(texts))]
     documents = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, score string").repartition(5)
-    settings = lm_scoring.LmSettings(head_share=8e-4, gram_share=4e-4, range_tokens=500, held=300, shard_grams=40)
+    settings = lm_scoring.LmSettings(head_share=8e-4, gram_share=4e-4, part_tokens=500, held=300, shard_grams=40)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     model = lm_scoring.train(documents.where(~held_out), settings=settings)
     total, want = brute.language_model(texts, training, settings.head_share, settings.gram_share, settings.discount)
