@@ -28,6 +28,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") > F.col("b")).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link at most to a smaller one, and that one has none."""
+    down = links.select(F.col("a").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("linked"))
+    up = links.select(F.col("b").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("linked"))
+    nodes = down.unionByName(up).groupBy("node").agg(F.sum("links").alias("links"), F.max("linked").alias("linked"))
+    return nodes.where("links > 1 OR links + linked > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of every linked node.
 
@@ -36,13 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     first, second = links.columns
     own = links.select(F.greatest(first, second).alias("a"), F.least(first, second).alias("b"))
     own = written(own.where(F.col("a") > F.col("b")).distinct())
-    before = None
-    while True:
-        own = written(_star(_star(own, large=True), large=False))
-        # The same links as after the round before: nothing moves any more.
-        state = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+    while not _settled(own):
+        own = written(_star(written(_star(own, large=True)), large=False))
     roots = own.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return own.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
