@@ -1,9 +1,9 @@
 """Words of whole Arrow text columns as flat numpy arrays.
 
-Tasks never loop over words in Python. A column is cut into pieces of about a megabyte (at
+Tasks never loop over words in Python. A column is cut into pieces of about half a megabyte (at
 least one whole text), a piece is one byte array with the bounds of its texts, and words are
 runs of bytes between separators, each with a 64-bit polynomial hash. Memory per task is a
-few dozen times the longer of a megabyte and the longest text.
+few dozen times the longer of that and the longest text.
 
 Texts are UTF-8, so a word class whose separators are ASCII can be told byte by byte.
 """
@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 WHITE_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALPHANUMERIC = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
