@@ -1,7 +1,8 @@
 """Calendar arithmetic on DATE columns.
 
-Ranges are known when the plan is built, so their bounds become literals that the
-optimizer pushes into the scan.
+A given range is known when the plan is built, so its bounds become literals that the
+optimizer pushes into the scan. Without one, the range is that of the data: nothing is cut,
+and the bounds are scalars the plan works out where it needs them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import calendar
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,13 +55,13 @@ class DateRange:
     def contains(self, col: Column | str) -> Column:
         return as_column(col).between(F.lit(self.start), F.lit(self.end))
 
-    def ends_before(self, col: Column | str) -> Column:
-        """True where the day lies after the range."""
-        return as_column(col) > F.lit(self.end)
+    def lies_before(self, col: Column | str) -> Column:
+        """True where the range ends before the day."""
+        return F.lit(self.end) < as_column(col)
 
-    def starts_after(self, col: Column | str) -> Column:
-        """True where the day lies before the range."""
-        return as_column(col) < F.lit(self.start)
+    def lies_after(self, col: Column | str) -> Column:
+        """True where the range starts after the day."""
+        return F.lit(self.start) > as_column(col)
 
     def months_of_year(self, year: Column) -> Column:
         """How many months of the integer ``year`` the range touches."""
@@ -69,6 +70,44 @@ class DateRange:
         return (last - first + 1).cast("int")
 
 
+@dataclass(frozen=True)
+class DataRange:
+    """From the first to the last day of the data, as scalars of the plan.
+
+    Offers what operators ask of a :class:`DateRange`. Every day is inside, so nothing is
+    compared, and only results that count months read the bounds.
+    """
+
+    start: Column
+    end: Column
+
+    @classmethod
+    def of(cls, invoice: DataFrame) -> DataRange:
+        ends = invoice.agg(F.struct(F.min("dt").alias("first"), F.max("dt").alias("last")).alias("ends")).scalar()
+        return cls(ends["first"], ends["last"])
+
+    def month_aligned(self) -> DataRange:
+        """Itself: there is no further day in its first and last month."""
+        return self
+
+    @property
+    def months(self) -> Column:
+        return months_apart(self.start, self.end) + 1
+
+    @property
+    def full_months(self) -> Column:
+        complete = F.day(self.end) >= F.least(F.day(self.start), F.day(F.last_day(self.end)))
+        return self.months - F.when(complete, 0).otherwise(1)
+
+    def contains(self, col: Column | str) -> Column:
+        return as_column(col).isNotNull()
+
+    def months_of_year(self, year: Column) -> Column:
+        first = F.when(year == F.year(self.start), F.month(self.start)).otherwise(1)
+        last = F.when(year == F.year(self.end), F.month(self.end)).otherwise(12)
+        return (last - first + 1).cast("int")
+
+
 def within(rng: DateRange | None, col: Column | str) -> Column:
     """Range predicate; no range means no bound."""
     return F.lit(True) if rng is None else rng.contains(col)

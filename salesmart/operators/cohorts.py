@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmart.functions.dates import DateRange, month_of, months_apart
+from salesmart.functions.dates import DataRange, DateRange, month_of, months_apart
 from salesmart.operators.staging import first_purchases
 from salesmart.sources.model import SalesModel
 
 
 def cohort_activity(
-    staged: DataFrame, model: SalesModel, rng: DateRange, max_offset: int | None = None
+    staged: DataFrame, model: SalesModel, rng: DateRange | DataRange, max_offset: int | None = None
 ) -> DataFrame:
     """Active customers per cohort month and month offset, offset 0 included.
 
@@ -54,7 +54,7 @@ def cohort_activity(
 
 
 def cohort_retention(
-    staged: DataFrame, model: SalesModel, rng: DateRange, max_offset: int | None = None
+    staged: DataFrame, model: SalesModel, rng: DateRange | DataRange, max_offset: int | None = None
 ) -> DataFrame:
     """Share of each cohort active at each month offset after the first month."""
     sizes = (
@@ -74,12 +74,11 @@ def cohort_retention(
             "cohort_size",
             F.round(share, 4).alias("retention_pct"),
         )
-        .orderBy("cohort_month", "month_offset")
     )
 
 
 def retention_decay(
-    staged: DataFrame, model: SalesModel, rng: DateRange, max_offset: int | None = None
+    staged: DataFrame, model: SalesModel, rng: DateRange | DataRange, max_offset: int | None = None
 ) -> DataFrame:
     """Share of the customers active in range who buy at each month offset."""
     by_offset = (
@@ -98,7 +97,6 @@ def retention_decay(
             "num_customers",
             (F.col("num_retained").cast("double") / F.col("num_customers")).alias("retention_rate"),
         )
-        .orderBy("month_offset")
     )
 
 
@@ -152,9 +150,17 @@ def cohort_grid(cohorts: DataFrame) -> DataFrame:
     )
 
 
-def cohort_matrix(grid: DataFrame, max_offset: int) -> DataFrame:
-    """The grid as one row per cohort in time order, a column per offset 1..max_offset."""
-    offsets = list(range(1, max_offset + 1))
-    wide = grid.groupBy("cohort_month", "cohort_label").pivot("month_offset", offsets).agg(F.max("retention_pct"))
-    named = [F.col(f"`{o}`").alias(f"m{o}") for o in offsets]
-    return wide.select("cohort_month", "cohort_label", *named).orderBy("cohort_month")
+def cohort_matrix(grid: DataFrame) -> DataFrame:
+    """The grid as one row per cohort in time order, with all its offsets in an array.
+
+    ``offsets`` and ``retention_pct`` run side by side, from the least to the greatest
+    offset of the data, so no column has to be known beforehand and none can be missing.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("month_offset", "retention_pct")))
+    wide = grid.groupBy("cohort_month", "cohort_label").agg(cells.alias("cells"))
+    return wide.select(
+        "cohort_month",
+        "cohort_label",
+        F.col("cells.month_offset").alias("offsets"),
+        F.col("cells.retention_pct").alias("retention_pct"),
+    ).orderBy("cohort_month")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.functions.dates import DateRange
+from salesmart.functions.dates import DataRange, DateRange
 from salesmart.functions.money import HIGH, LOW, revenue, sum_revenue
 from salesmart.functions.ratios import ratio
 from salesmart.functions.rows import first_per, fold_rows
@@ -30,7 +30,7 @@ CORE_KPIS = {
 }
 
 
-def core_kpis(staged: DataFrame, model: SalesModel, rng: DateRange) -> DataFrame:
+def core_kpis(staged: DataFrame, model: SalesModel, rng: DateRange | DataRange) -> DataFrame:
     """One row of KPIs over the month-aligned range; no row when it holds no invoice.
 
     New customers are those whose first purchase of all, staged or not, falls in range.
@@ -64,9 +64,9 @@ def total_revenue(staged: DataFrame, rng: DateRange | None) -> DataFrame:
     return inside.agg(*sum_revenue()).select(_in_cents().alias("total"))
 
 
-def _spending(inside: DataFrame, model: SalesModel, window: DateRange) -> DataFrame:
+def _spending(inside: DataFrame, model: SalesModel, window: DateRange | DataRange) -> DataFrame:
     # Down to customer and country, then to country: every figure adds up on the way.
-    spend = inside.groupBy("customer_id", "country").agg(
+    spend = inside.groupBy(*model.customer_keys).agg(
         F.count(F.lit(1)).alias("purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
         *sum_revenue(),
@@ -74,7 +74,7 @@ def _spending(inside: DataFrame, model: SalesModel, window: DateRange) -> DataFr
     first = first_purchases(model.invoice).where(window.contains("first_date"))
     new = first.select("customer_id", F.lit(True).alias("is_new"))
     per_country = (
-        spend.join(new, "customer_id", "left")
+        model.with_country(spend.join(new, "customer_id", "left"))
         .withColumn("counts", first_per(["customer_id"], "country"))
         .groupBy("country")
         .agg(
@@ -89,7 +89,7 @@ def _spending(inside: DataFrame, model: SalesModel, window: DateRange) -> DataFr
         F.sum("purchases").alias("purchases_num"),
         F.sum("customers").alias("cust_num"),
         F.sum("new_customers").alias("cust_num_new"),
-        F.coalesce(F.sum("tracks_sold"), F.lit(0)).cast("long").alias("tracks_sold_num"),
+        F.coalesce(F.sum("tracks_sold"), F.lit(0)).alias("tracks_sold_num"),
         F.count("country").alias("country_num"),
         *sum_revenue(),
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DateRange
+from salesmart.sources.model import SalesModel
 
 
 @dataclass(frozen=True)
@@ -25,13 +26,17 @@ class SalesFilter:
     artists: Sequence[str] = ()
     dates: DateRange | None = None
 
-    def invoice_predicate(self) -> Column:
-        tests = []
+    def invoices(self, model: SalesModel) -> DataFrame:
+        """The invoices that the dates and countries leave."""
+        rows = model.invoice
         if self.dates is not None:
-            tests.append(self.dates.month_aligned().contains("dt"))
-        if self.countries:
-            tests.append(F.col("country").isin(*self.countries))
-        return _all_of(tests)
+            rows = rows.where(self.dates.month_aligned().contains("dt"))
+        if not self.countries:
+            return rows
+        chosen = F.col("country").isin(*self.countries)
+        if model.homes is None:
+            return rows.where(chosen)
+        return rows.join(model.homes.where(chosen).select("customer_id"), "customer_id", "left_semi")
 
     def item_predicate(self) -> Column:
         """A line only counts towards staging when its item has a genre and an artist."""

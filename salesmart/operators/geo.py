@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesmart.functions.countries import resolve_country
-from salesmart.functions.dates import DateRange
+from salesmart.functions.dates import DataRange, DateRange
+from salesmart.sources.model import SalesModel
 from salesmart.functions.money import revenue, sum_revenue
 from salesmart.functions.rows import record, unpivot
 from salesmart.operators.metrics import METRICS, check_metric
@@ -19,25 +20,39 @@ ALL_YEARS = "All"
 MODES = {"yearly": (False, True), "aggregate": (True, False), "frames": (True, True)}
 
 
-def geo_metrics(staged: DataFrame, rng: DateRange, mode: str = "yearly") -> DataFrame:
+def geo_metrics(
+    staged: DataFrame, model: SalesModel, rng: DateRange | DataRange, mode: str = "yearly"
+) -> DataFrame:
     """KPIs per country and year ("yearly"), over all years ("aggregate"), or both ("frames").
 
-    A customer is a first-timer where the first purchase day in range falls. "frames"
-    feeds every invoice to its year and to the total, so one pass serves both.
+    A customer is a first-timer where the first purchase day in range falls. For "frames"
+    the few rows that are left per customer go to their year and to the total.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
     whole, yearly = MODES[mode]
     # A null year stands for all years until the end.
-    years = [F.lit(None).cast("int")] * whole + [F.year("dt")] * yearly
-    year = F.explode(F.array(*years)) if len(years) > 1 else years[0]
-    inside = staged.where(rng.contains("dt")).withColumn("year", year)
-    per_customer = inside.groupBy("customer_id", "country", "year").agg(
+    year = F.year("dt") if yearly else F.lit(None).cast("int")
+    inside = staged.where(rng.contains("dt"))
+    spend = inside.groupBy(*model.customer_keys, year.alias("year")).agg(
         F.count(F.lit(1)).alias("num_purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
         *sum_revenue(),
         F.min("dt").alias("first_here"),
     )
+    if whole and yearly:
+        both = F.explode(F.array(F.lit(None).cast("int"), F.col("year")))
+        spend = (
+            spend.withColumn("year", both)
+            .groupBy(*model.customer_keys, "year")
+            .agg(
+                F.sum("num_purchases").alias("num_purchases"),
+                F.sum("tracks_sold").alias("tracks_sold"),
+                *sum_revenue(),
+                F.min("first_here").alias("first_here"),
+            )
+        )
+    per_customer = model.with_country(spend)
     # Years times countries bound the rows per customer in this window.
     first = F.min("first_here").over(Window.partitionBy("customer_id"))
     return (
@@ -62,8 +77,6 @@ def geo_metrics(staged: DataFrame, rng: DateRange, mode: str = "yearly") -> Data
             revenue().cast("double").alias("revenue"),
             "first_time_customers",
         )
-        # "All" sorts after the digits of any year.
-        .orderBy("year", F.asc_nulls_last("country"))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesmart.functions.countries import resolve_country
-from salesmart.functions.dates import DateRange, within
+from salesmart.functions.dates import DataRange, DateRange, within
 from salesmart.functions.display import country_label, display
 from salesmart.functions.money import revenue, sum_revenue
 from salesmart.functions.ratios import ratio
@@ -31,17 +31,18 @@ def group_kpis(
     """
     _check(by, GROUPS)
     inside = staged.where(within(rng.month_aligned() if rng else None, "dt"))
-    if by == "country":
-        sales = inside.withColumn("group_val", F.col("country"))
-    else:
-        sales = group_sales(model, inside, by)
-    # sales holds one row per invoice and group, so rows count as purchases.
-    per_customer = sales.groupBy("customer_id", "group_val").agg(
+    # One row per invoice and group, so rows count as purchases.
+    figures = [
         F.count(F.lit(1)).alias("num_purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
         *sum_revenue(),
         F.min("dt").alias("first_in_group"),
-    )
+    ]
+    if by == "country":
+        spend = inside.groupBy(*model.customer_keys).agg(*figures)
+        per_customer = model.with_country(spend).withColumnRenamed("country", "group_val")
+    else:
+        per_customer = group_sales(model, inside, by).groupBy("customer_id", "group_val").agg(*figures)
     # At most one row per group and customer enters this window.
     first = F.min("first_in_group").over(Window.partitionBy("customer_id"))
     return (
@@ -62,7 +63,6 @@ def group_kpis(
             revenue().cast("double").alias("revenue"),
             "first_time_customers",
         )
-        .orderBy("group_val")
     )
 
 
@@ -93,11 +93,10 @@ def catalog_sales(
     return (
         sold.join(_catalog_sizes(model, by), "group_val", "left")
         .withColumn("pct_catalog_sold", ratio("unique_tracks_sold", "catalog_size"))
-        .orderBy("group_val")
     )
 
 
-def group_yearly(staged: DataFrame, model: SalesModel, by: str, rng: DateRange) -> DataFrame:
+def group_yearly(staged: DataFrame, model: SalesModel, by: str, rng: DateRange | DataRange) -> DataFrame:
     """Yearly performance per genre or artist, with firsts judged by year.
 
     Customers and tracks are counted in separate branches, each reduced to its own grain
@@ -107,7 +106,7 @@ def group_yearly(staged: DataFrame, model: SalesModel, by: str, rng: DateRange)
     inside = staged.where(rng.contains("dt"))
     keys = ["year", "group_val"]
     return (
-        _yearly_customers(group_sales(model, inside, by))
+        _yearly_customers(group_sales(model, inside, by), model)
         .join(_yearly_tracks(model, inside, by), keys)
         .join(_catalog_sizes(model, by), "group_val", "left")
         .select(
@@ -123,16 +122,16 @@ def group_yearly(staged: DataFrame, model: SalesModel, by: str, rng: DateRange)
             "first_tracks_sold",
             "catalog_size",
         )
-        .orderBy("year", by)
     )
 
 
-def _yearly_customers(sales: DataFrame) -> DataFrame:
-    per_customer = sales.groupBy("customer_id", "country", F.year("dt").alias("year"), "group_val").agg(
+def _yearly_customers(sales: DataFrame, model: SalesModel) -> DataFrame:
+    spend = sales.groupBy(*model.customer_keys, F.year("dt").alias("year"), "group_val").agg(
         F.count(F.lit(1)).alias("num_purchases"),
         F.sum("tracks_sold").alias("tracks_sold"),
         *sum_revenue(),
     )
+    per_customer = model.with_country(spend)
     # Few rows per customer are left: years times groups times countries. In this order
     # the first row holds the first year, and a customer is counted on the first country
     # of each year and group, so that the count adds up over countries.
@@ -267,19 +266,20 @@ TOP_N_DISPLAY = {
 }
 
 
-def display_top_n(top: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+def display_top_n(top: DataFrame, countries: DataFrame | None = None, label: str = "label") -> DataFrame:
     """Add a ``*_fmt`` text column for every figure and for the group name.
 
-    ``countries``, a country dimension with iso2 and label, turns countries into flag
-    and label; without it names are shown as they are.
+    ``countries``, a country dimension with iso2, iso3 and label, turns countries into flag
+    and label, or flag and code with ``label="iso3"``; without it names are shown as they
+    are.
     """
     texts = {f"{c}_fmt": display(c, kind) for c, kind in TOP_N_DISPLAY.items() if c in top.columns}
     if countries is None:
         return top.withColumns({**texts, "group_val_fmt": F.col("group_val")})
     return (
-        resolve_country(top, "group_val", countries, "left", "iso2", "label")
-        .withColumns({**texts, "group_val_fmt": country_label("iso2", "label")})
-        .drop("iso2", "label")
+        resolve_country(top, "group_val", countries, "left", "iso2", label)
+        .withColumns({**texts, "group_val_fmt": country_label("iso2", label)})
+        .drop("iso2", label)
     )
 
 

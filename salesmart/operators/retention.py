@@ -60,8 +60,8 @@ def customer_bounds(staged: DataFrame, rng: DateRange | None) -> DataFrame:
     )
     day_inside = F.when(F.col("in_window"), F.col("dt"))
     second_inside = F.when(within(rng, "second"), F.col("second"))
-    before = F.lit(None).cast("date") if rng is None else F.when(rng.starts_after("dt"), F.col("dt"))
-    after = F.lit(None).cast("date") if rng is None else F.when(rng.ends_before("dt"), F.col("dt"))
+    before = F.lit(None).cast("date") if rng is None else F.when(rng.lies_after("dt"), F.col("dt"))
+    after = F.lit(None).cast("date") if rng is None else F.when(rng.lies_before("dt"), F.col("dt"))
     return (
         following.groupBy("customer_id")
         .agg(

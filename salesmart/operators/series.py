@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmart.functions.dates import DateRange, month_of
+from salesmart.functions.dates import DataRange, DateRange, month_of
 from salesmart.functions.money import revenue, sum_revenue
 from salesmart.functions.ratios import ratio
 
 
-def monthly_summary(staged: DataFrame, rng: DateRange) -> DataFrame:
+def monthly_summary(staged: DataFrame, rng: DateRange | DataRange) -> DataFrame:
     """KPIs per month; firsts are judged by month over the whole staged history."""
     inside = rng.contains("dt")
     per_customer = staged.groupBy("customer_id", month_of("dt").alias("month")).agg(
@@ -39,7 +39,6 @@ def monthly_summary(staged: DataFrame, rng: DateRange) -> DataFrame:
             revenue().cast("double").alias("revenue"),
             "first_time_customers",
         )
-        .orderBy("month")
     )
 
 

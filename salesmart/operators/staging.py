@@ -22,7 +22,7 @@ def staged_invoices(model: SalesModel, flt: SalesFilter) -> DataFrame:
     """
     items = model.item.where(flt.item_predicate()).select("track_id")
     keys = model.line.join(items, "track_id", "left_semi").select("invoice_id").distinct()
-    return model.invoice.where(flt.invoice_predicate()).join(keys, "invoice_id", "left_semi")
+    return flt.invoices(model).join(keys, "invoice_id", "left_semi")
 
 
 def staged_sales(model: SalesModel, flt: SalesFilter) -> DataFrame:
@@ -45,7 +45,7 @@ def staged_sales(model: SalesModel, flt: SalesFilter) -> DataFrame:
         .where("hits > 0")
         .drop("hits")
     )
-    return model.invoice.where(flt.invoice_predicate()).join(totals, "invoice_id")
+    return flt.invoices(model).join(totals, "invoice_id")
 
 
 def filtered_invoices(staged: DataFrame) -> DataFrame:
@@ -53,10 +53,10 @@ def filtered_invoices(staged: DataFrame) -> DataFrame:
     return staged.select("customer_id", "dt", "invoice_id").orderBy("customer_id", "dt", "invoice_id")
 
 
-def invoice_details(staged: DataFrame, rng: DateRange | None) -> DataFrame:
+def invoice_details(staged: DataFrame, model: SalesModel, rng: DateRange | None) -> DataFrame:
     """Header listing of the staged invoices, range widened to whole months."""
     window = rng.month_aligned() if rng else None
-    return staged.where(within(window, "dt")).select(
+    return model.with_country(staged.where(within(window, "dt"))).select(
         "invoice_id", "customer_id", "invoice_date", "country", "total"
     )
 
@@ -67,9 +67,14 @@ def first_purchases(invoice: DataFrame) -> DataFrame:
 
 
 def sold_tracks(model: SalesModel, invoices: DataFrame, *keys: str) -> DataFrame:
-    """Distinct tracks on the given invoices, per extra invoice column in ``keys``."""
+    """Distinct tracks on the given invoices, per extra invoice column in ``keys``.
+
+    An invoice may hold a large share of the lines: made distinct first, it leaves no more
+    than one row per track of the catalog to the join.
+    """
     return (
         model.line.select("invoice_id", "track_id")
+        .distinct()
         .join(invoices.select("invoice_id", *keys), "invoice_id")
         .select("track_id", *keys)
         .distinct()
@@ -88,4 +93,5 @@ def group_sales(model: SalesModel, invoices: DataFrame, by: str) -> DataFrame:
         .groupBy("invoice_id", "group_val")
         .agg(F.sum("quantity").alias("tracks_sold"), *sum_amounts("amount"))
     )
-    return totals.join(invoices.select("invoice_id", "customer_id", "dt", "country"), "invoice_id")
+    own = [c for c in ("invoice_id", "customer_id", "dt", "country") if c in invoices.columns]
+    return totals.join(invoices.select(*own), "invoice_id")

@@ -17,14 +17,14 @@ def static_summary(model: SalesModel) -> DataFrame:
     artists count catalog entries, sold or not.
     """
     # Down to customer and country, then to country: every figure adds up on the way.
-    spend = model.invoice.groupBy("customer_id", "country").agg(
+    spend = model.invoice.groupBy(*model.customer_keys).agg(
         F.min("dt").alias("first_date"),
         F.max("dt").alias("last_date"),
         F.sum("total").alias("revenue"),
         F.count("invoice_id").alias("purchases"),
     )
     per_country = (
-        spend.withColumn("counts", first_per(["customer_id"], "country"))
+        model.with_country(spend).withColumn("counts", first_per(["customer_id"], "country"))
         .groupBy("country")
         .agg(
             F.min("first_date").alias("first_date"),
@@ -67,8 +67,10 @@ def static_summary(model: SalesModel) -> DataFrame:
 
 def filter_values(model: SalesModel) -> DataFrame:
     """Sorted choices of each filter, as ``kind, value``."""
+    # Down to customers first: one of them may have a large share of the invoices.
+    homes = model.with_country(model.invoice.select(*model.customer_keys).distinct())
     choices = [
-        ("country", model.invoice.select(F.col("country").alias("value"))),
+        ("country", homes.select(F.col("country").alias("value"))),
         ("genre", model.genre.select(F.col("name").alias("value"))),
         ("artist", model.artist.select(F.col("name").alias("value"))),
     ]

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from salesmart.functions.dates import DateRange
 from salesmart.functions.display import display
 from salesmart.functions.rows import fold_rows, record, unpivot
-from salesmart.operators.cohorts import top_cohorts
 from salesmart.operators.core import CORE_KPIS
 from salesmart.operators.groups import GROUPS, display_top_n
 from salesmart.operators.metrics import METRICS
@@ -33,7 +32,7 @@ TOP_N = 5
 
 def kpi_bundle(
     mart: SalesMart,
-    rng: DateRange,
+    rng: DateRange | None = None,
     offsets: Sequence[int] = OFFSETS,
     max_offset: int | None = None,
 ) -> DataFrame:
@@ -42,7 +41,7 @@ def kpi_bundle(
     The three sources are single rows; they merge into one, which is then unpivoted.
     """
     kpis = mart.retention_kpis(rng)
-    best = top_cohorts(mart.cohort_retention(rng, max_offset), offsets)
+    best = mart.top_cohorts(rng, offsets, max_offset)
     row = fold_rows(mart.core_kpis(rng), kpis, retention_lines(kpis), _snapshot_row(best, offsets))
     return unpivot(row.where("purchases_num > 0"), _records(offsets)).where("section IS NOT NULL")
 

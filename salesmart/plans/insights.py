@@ -32,7 +32,7 @@ SCOPES = ("All Data", "Filtered View")
 
 
 def insights(
-    mart: SalesMart, rng: DateRange, scope: str, countries: DataFrame | None = None
+    mart: SalesMart, rng: DateRange | None, scope: str, countries: DataFrame | None = None
 ) -> DataFrame:
     """Card entries of one mart as ``scope, card, label, rank, name, value_fmt``."""
     labels = {kpi: label for card in CARDS.values() for kpi, label in card.items()}
@@ -58,9 +58,9 @@ def insights(
 
 def insights_compare(
     everything: SalesMart,
-    full: DateRange,
+    full: DateRange | None,
     view: SalesMart,
-    rng: DateRange,
+    rng: DateRange | None,
     countries: DataFrame | None = None,
 ) -> DataFrame:
     """The cards of the whole dataset and of a filtered view, told apart by ``scope``."""

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from salesmart.functions.dates import DateRange
+from salesmart.functions.dates import DataRange, DateRange
 from salesmart.functions.fingerprint import key_fingerprint
 from salesmart.operators import cohorts, core, geo, groups, retention, series, staging
 from salesmart.operators.filters import SalesFilter
@@ -18,6 +19,8 @@ from salesmart.sources.model import SalesModel
 class SalesMart:
     """Lazy results over the invoices a filter selects.
 
+    Results over a date range take that of the data where none is given.
+
     Without storing, each result plans its own staging, reading only the columns it
     needs. When several results share a filter, call :meth:`persist` (cached, rebuilt
     from the tables if executors are lost) or :meth:`checkpoint` (written to the
@@ -83,22 +86,28 @@ class SalesMart:
         return staging.filtered_invoices(self.invoices)
 
     def invoice_details(self, rng: DateRange | None = None) -> DataFrame:
-        return staging.invoice_details(self.invoices, rng)
+        return staging.invoice_details(self.invoices, self.model, rng)
 
     def fingerprint(self) -> DataFrame:
         """Identity of the staged invoice set."""
         return key_fingerprint(self.invoices, "invoice_id")
 
+    def _range(self, rng: DateRange | None) -> DateRange | DataRange:
+        return DataRange.of(self.model.invoice) if rng is None else rng
+
     # KPIs ------------------------------------------------------------------------
 
-    def core_kpis(self, rng: DateRange) -> DataFrame:
-        return core.core_kpis(self.sales, self.model, rng)
+    def core_kpis(self, rng: DateRange | None = None) -> DataFrame:
+        return core.core_kpis(self.sales, self.model, self._range(rng))
 
     def total_revenue(self, rng: DateRange | None = None) -> Column:
         """Revenue of the range as a scalar subquery, for use in expressions."""
         return core.total_revenue(self.sales, rng).scalar()
 
     def group_kpis(self, by: str, rng: DateRange | None = None) -> DataFrame:
+        return self._group_kpis(by, rng).orderBy("group_val")
+
+    def _group_kpis(self, by: str, rng: DateRange | None) -> DataFrame:
         staged = self.sales if by == "country" else self.invoices
         return groups.group_kpis(staged, self.model, by, rng)
 
@@ -106,7 +115,7 @@ class SalesMart:
         return groups.catalog(self.model, by)
 
     def catalog_sales(self, by: str, rng: DateRange | None = None) -> DataFrame:
-        return groups.catalog_sales(self.invoices, self.model, by, rng)
+        return groups.catalog_sales(self.invoices, self.model, by, rng).orderBy("group_val")
 
     def top_n(
         self,
@@ -121,34 +130,53 @@ class SalesMart:
         ``total`` saves working out the revenue of the range again; see
         :meth:`total_revenue`.
         """
-        best = groups.top_n(self.group_kpis(by, rng), n, metrics)
+        best = groups.top_n(self._group_kpis(by, rng), n, metrics)
         total = self.total_revenue(rng) if total is None else total
-        coverage = self.catalog_sales(by, rng) if by in groups.CATALOGED else None
+        coverage = None
+        if by in groups.CATALOGED:
+            coverage = groups.catalog_sales(self.invoices, self.model, by, rng)
         return groups.enrich_top_n(best, total, coverage)
 
-    def group_yearly(self, by: str, rng: DateRange) -> DataFrame:
-        return groups.group_yearly(self.invoices, self.model, by, rng)
+    def group_yearly(self, by: str, rng: DateRange | None = None) -> DataFrame:
+        return self._group_yearly(by, rng).orderBy("year", by)
+
+    def _group_yearly(self, by: str, rng: DateRange | None) -> DataFrame:
+        return groups.group_yearly(self.invoices, self.model, by, self._range(rng))
 
     def top_groups_yearly(
-        self, by: str, rng: DateRange, metric: str = "revenue", n: int = 20
+        self, by: str, rng: DateRange | None = None, metric: str = "revenue", n: int = 20
     ) -> DataFrame:
-        return groups.top_groups_yearly(self.group_yearly(by, rng), by, metric, n)
+        return groups.top_groups_yearly(self._group_yearly(by, rng), by, metric, n)
 
     # Series and geography ----------------------------------------------------------
 
-    def monthly_summary(self, rng: DateRange) -> DataFrame:
-        return series.monthly_summary(self.sales, rng)
+    def monthly_summary(self, rng: DateRange | None = None) -> DataFrame:
+        return series.monthly_summary(self.sales, self._range(rng)).orderBy("month")
 
-    def geo_metrics(self, rng: DateRange, mode: str = "yearly") -> DataFrame:
-        return geo.geo_metrics(self.sales, rng, mode)
+    def geo_metrics(self, rng: DateRange | None = None, mode: str = "yearly") -> DataFrame:
+        """``All`` sorts after the digits of any year."""
+        metrics = geo.geo_metrics(self.sales, self.model, self._range(rng), mode)
+        return metrics.orderBy("year", F.asc_nulls_last("country"))
 
     # Retention -----------------------------------------------------------------------
 
-    def cohort_retention(self, rng: DateRange, max_offset: int | None = None) -> DataFrame:
-        return cohorts.cohort_retention(self.invoices, self.model, rng, max_offset)
+    def cohort_retention(self, rng: DateRange | None = None, max_offset: int | None = None) -> DataFrame:
+        return self._cohorts(rng, max_offset).orderBy("cohort_month", "month_offset")
+
+    def _cohorts(self, rng: DateRange | None, max_offset: int | None) -> DataFrame:
+        return cohorts.cohort_retention(self.invoices, self.model, self._range(rng), max_offset)
+
+    def top_cohorts(
+        self, rng: DateRange | None = None, offsets: Sequence[int] = (3, 6, 9), max_offset: int | None = None
+    ) -> DataFrame:
+        return cohorts.top_cohorts(self._cohorts(rng, max_offset), offsets)
+
+    def cohort_grid(self, rng: DateRange | None = None, max_offset: int | None = None) -> DataFrame:
+        return cohorts.cohort_grid(self._cohorts(rng, max_offset))
 
-    def retention_decay(self, rng: DateRange, max_offset: int | None = None) -> DataFrame:
-        return cohorts.retention_decay(self.invoices, self.model, rng, max_offset)
+    def retention_decay(self, rng: DateRange | None = None, max_offset: int | None = None) -> DataFrame:
+        decay = cohorts.retention_decay(self.invoices, self.model, self._range(rng), max_offset)
+        return decay.orderBy("month_offset")
 
     def customer_bounds(self, rng: DateRange | None = None) -> DataFrame:
         return retention.customer_bounds(self.invoices, rng)

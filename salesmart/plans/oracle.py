@@ -6,23 +6,107 @@ library's pre-aggregated plans, so that an error in either shows up as a differe
 
 from __future__ import annotations
 
-from salesmart.functions.dates import DateRange
-from salesmart.functions.display import INDICATORS, LETTERS
-from salesmart.operators.core import CORE_KPIS
-from salesmart.operators.filters import SalesFilter
-from salesmart.operators.groups import TOP_N_DISPLAY
-from salesmart.operators.metrics import METRICS
-from salesmart.operators.retention import RETENTION_KPIS, RETENTION_LINES
-from salesmart.plans.insights import CARDS, RANKED, SCOPES
-from salesmart.plans.registry import (
-    DIGITS,
-    FILTERED,
-    MEANS,
-    PLAIN,
-    SCOPED,
-    Variant,
-    variants_of,
-)
+from dataclasses import dataclass
+from datetime import date
+
+# Fixed values, said again here on purpose: nothing is taken from the code under test.
+METRICS = ("revenue", "num_customers", "first_time_customers", "num_purchases", "tracks_sold")
+CORE_KPIS = {
+    "purchases_num": "number", "cust_num": "number", "cust_num_new": "number", "cust_per_new": "percent",
+    "tracks_sold_num": "number", "tracks_per_purchase": "float", "revenue_total": "dollar",
+    "revenue_per_month": "dollar", "revenue_per_cust": "dollar", "revenue_per_purchase": "dollar",
+    "genre_num": "number", "artist_num": "number", "country_num": "number",
+}
+RETENTION_KPIS = {
+    "num_cust": "number", "num_new": "number", "pct_new": "percent", "ret_n_any": "number",
+    "ret_rate_any": "percent", "ret_n_return": "number", "ret_rate_return": "percent",
+    "ret_n_conv": "number", "ret_rate_conv": "percent", "ret_n_window": "number",
+    "ret_rate_window": "percent", "avg_life_mo_tot": "float", "avg_life_mo_win": "float",
+    "med_gap_life": "float", "med_gap_window": "float", "med_gap_winback": "float",
+    "med_gap_ret": "float", "avg_gap_life": "float", "avg_gap_window": "float", "avg_gap_bound": "float",
+}
+RETENTION_LINES = {
+    "cust_line": ("num_cust", "pct_new"), "ret_any_line": ("ret_n_any", "ret_rate_any"),
+    "ret_return_line": ("ret_n_return", "ret_rate_return"), "ret_conv_line": ("ret_n_conv", "ret_rate_conv"),
+    "ret_window_line": ("ret_n_window", "ret_rate_window"),
+}
+TOP_N_DISPLAY = {
+    "num_customers": "number", "num_purchases": "number", "tracks_sold": "number", "revenue": "dollar",
+    "first_time_customers": "number", "avg_revenue_per_cust": "dollar", "avg_revenue_per_purchase": "dollar",
+    "avg_tracks_per_purchase": "float", "revenue_share": "percent", "unique_tracks_sold": "number",
+    "catalog_size": "number", "pct_catalog_sold": "percent",
+}
+CARDS = {
+    "revenue": {"revenue_total": "Total Revenue"},
+    "purchases": {
+        "purchases_num": "Total Orders", "revenue_per_purchase": "Avg Revenue per Order",
+        "tracks_sold_num": "Total Tracks Sold", "tracks_per_purchase": "Avg Tracks per Order",
+    },
+    "customers": {
+        "cust_num": "Total Customers", "cust_per_new": "% New Customers",
+        "revenue_per_cust": "Avg Revenue per Customer", "top_cohort_line_3": "Top 3-Month Retention",
+        "top_cohort_line_6": "Top 6-Month Retention",
+    },
+}
+RANKED = {"topn_country": ("Top Markets", 3), "topn_genre": ("Top Genre", 1), "topn_artist": ("Top Artist", 1)}
+SCOPES = ("All Data", "Filtered View")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+INDICATORS = "".join(chr(0x1F1E6 + k) for k in range(26))
+MEANS = ("avg_gap_life", "avg_gap_window", "avg_gap_bound")
+DIGITS = 6
+
+
+@dataclass(frozen=True)
+class Span:
+    """SQL dates that bound a range, and how they widen to whole months."""
+
+    start: str
+    end: str
+
+    def month_aligned(self) -> Span:
+        return Span(f"date_trunc('month', {self.start})::DATE", f"last_day({self.end})")
+
+    @property
+    def months(self) -> str:
+        return f"(datediff('month', {self.start}, {self.end}) + 1)"
+
+
+@dataclass(frozen=True)
+class Choice:
+    genres: tuple[str, ...] = ()
+    countries: tuple[str, ...] = ()
+    artists: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Variant:
+    suffix: str
+    filter: Choice
+    rng: Span
+
+
+def _days(first: date, last: date) -> Span:
+    return Span(f"DATE '{first}'", f"DATE '{last}'")
+
+
+EVERY_DAY = Span("(SELECT min(dt) FROM inv)", "(SELECT max(dt) FROM inv)")
+PLAIN = Variant("", Choice(), EVERY_DAY)
+WINDOWED = Variant("_window", Choice(), _days(date(1997, 3, 10), date(1998, 11, 20)))
+FILTERED = Variant("_filtered", Choice(("ECONOMY",), ("NATION_2", "NATION_3")), _days(date(1997, 1, 1), date(1998, 12, 31)))
+EMPTY = Variant("_empty", Choice(("NO SUCH GENRE",)), EVERY_DAY)
+
+# Results by the variants they have: plain and filtered, or a window too.
+TWO = (
+    "filtered_invoices", "group_kpis_artist", "topn_genre", "topn_artist", "topn_country", "catalog_sales_genre",
+    "catalog_sales_artist", "geo_yearly", "geo_aggregate", "geo_metric_bounds", "group_yearly_genre",
+    "top_groups_yearly", "top_groups_yearly_genre", "top_groups_yearly_customers", "cohort_grid", "cohort_matrix",
+    "cohort_fingerprint", "retention_decay_percent", "filter_fingerprint", "bundle_fingerprint",
+)
+THREE = (
+    "invoice_details", "core_kpis", "group_kpis_genre", "group_kpis_country", "monthly_summary", "geo_frames",
+    "group_yearly_artist", "cohort_retention", "retention_decay", "top_cohorts", "customer_bounds",
+    "customer_metrics", "retention_kpis", "retention_kpis_strict", "kpi_bundle_long",
+)
 
 # The canonical views.
 MODEL = """
@@ -33,7 +117,7 @@ inv AS (
   FROM orders LEFT JOIN customer ON c_custkey = o_custkey
               LEFT JOIN nation ON n_nationkey = c_nationkey),
 ln AS (
-  SELECT l_orderkey AS invoice_id, l_partkey AS track_id, CAST(l_quantity AS BIGINT) AS quantity,
+  SELECT l_orderkey AS invoice_id, l_partkey AS track_id, l_quantity AS quantity,
          CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS amount
   FROM lineitem),
 it AS (SELECT p_partkey AS track_id, p_type AS genre, p_brand AS artist FROM part)"""
@@ -43,11 +127,11 @@ def _in(column: str, values) -> str:
     return f"{column} IN ({', '.join(repr(v) for v in values)})" if values else "TRUE"
 
 
-def _between(rng: DateRange, column: str = "dt") -> str:
-    return f"{column} BETWEEN DATE '{rng.start}' AND DATE '{rng.end}'"
+def _between(rng: Span, column: str = "dt") -> str:
+    return f"{column} BETWEEN {rng.start} AND {rng.end}"
 
 
-def staged(flt: SalesFilter, p: str = "") -> str:
+def staged(flt: Choice, p: str = "") -> str:
     """``{p}st``: staged invoices; ``{p}sl``: their lines."""
     return f"""
 {p}st AS (
@@ -60,14 +144,14 @@ def staged(flt: SalesFilter, p: str = "") -> str:
   FROM {p}st JOIN ln USING (invoice_id) LEFT JOIN it USING (track_id))"""
 
 
-def core(rng: DateRange, p: str = "") -> str:
+def core(rng: Span, p: str = "") -> str:
     a = rng.month_aligned()
     return f"""
 {p}core0 AS (
   SELECT count(DISTINCT invoice_id) AS purchases_num, count(DISTINCT customer_id) AS cust_num,
          count(DISTINCT customer_id) FILTER (customer_id IN (
            SELECT customer_id FROM inv GROUP BY 1 HAVING {_between(a, 'min(dt)')})) AS cust_num_new,
-         CAST(sum(quantity) AS BIGINT) AS tracks_sold_num,
+         CAST(sum(quantity) AS DOUBLE) AS tracks_sold_num,
          CAST(round(sum(amount), 2) AS DOUBLE) AS revenue_total,
          count(DISTINCT genre) AS genre_num, count(DISTINCT artist) AS artist_num,
          count(DISTINCT country) AS country_num
@@ -80,7 +164,7 @@ def core(rng: DateRange, p: str = "") -> str:
   FROM {p}core0 WHERE purchases_num > 0)"""
 
 
-def group_base(rng: DateRange, by: str, p: str = "") -> str:
+def group_base(rng: Span, by: str, p: str = "") -> str:
     """``{p}g_<by>``: KPIs per group; ``{p}cs_<by>``: catalog coverage."""
     a = rng.month_aligned()
     rows = f"SELECT *, {by} AS group_val FROM {p}sl WHERE {_between(a)}"
@@ -89,7 +173,7 @@ def group_base(rng: DateRange, by: str, p: str = "") -> str:
     text = f"""
 {p}g_{by} AS (
   SELECT group_val, count(DISTINCT customer_id) AS num_customers,
-         count(DISTINCT invoice_id) AS num_purchases, CAST(sum(quantity) AS BIGINT) AS tracks_sold,
+         count(DISTINCT invoice_id) AS num_purchases, CAST(sum(quantity) AS DOUBLE) AS tracks_sold,
          CAST(sum(amount) AS DOUBLE) AS revenue,
          count(DISTINCT customer_id) FILTER (dt = day_one) AS first_time_customers
   FROM (SELECT *, min(dt) OVER (PARTITION BY customer_id) AS day_one FROM ({rows}))
@@ -122,10 +206,10 @@ def top(by: str, n: int, p: str = "") -> str:
   FROM (SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({ranked})) {coverage})"""
 
 
-def monthly(rng: DateRange) -> str:
+def monthly(rng: Span) -> str:
     return f"""
 SELECT strftime(dt, '%Y-%m') AS month, count(DISTINCT invoice_id) AS num_purchases,
-       count(DISTINCT customer_id) AS num_customers, CAST(sum(quantity) AS BIGINT) AS tracks_sold,
+       count(DISTINCT customer_id) AS num_customers, CAST(sum(quantity) AS DOUBLE) AS tracks_sold,
        CAST(sum(amount) AS DOUBLE) AS revenue,
        count(DISTINCT customer_id) FILTER (date_trunc('month', dt) = date_trunc('month', day_one))
          AS first_time_customers,
@@ -134,28 +218,28 @@ FROM sl JOIN (SELECT customer_id, min(dt) AS day_one FROM st GROUP BY 1) USING (
 WHERE {_between(rng)} GROUP BY 1"""
 
 
-def geo(rng: DateRange) -> str:
+def geo(rng: Span) -> str:
     """``geo_y``, ``geo_a`` and their union ``geo_f``."""
     s, e = rng.start, rng.end
     figures = """count(DISTINCT customer_id) AS num_customers, count(DISTINCT invoice_id) AS num_purchases,
-         CAST(sum(quantity) AS BIGINT) AS tracks_sold, CAST(sum(amount) AS DOUBLE) AS revenue,
+         CAST(sum(quantity) AS DOUBLE) AS tracks_sold, CAST(sum(amount) AS DOUBLE) AS revenue,
          count(DISTINCT customer_id) FILTER (dt = day_one) AS first_time_customers"""
     return f"""
 gb AS (SELECT *, min(dt) OVER (PARTITION BY customer_id) AS day_one FROM sl WHERE {_between(rng)}),
 geo_y AS (
   SELECT strftime(dt, '%Y') AS year,
-         CAST(datediff('month', greatest(DATE '{s}', min(date_trunc('year', dt))),
-           least(DATE '{e}', min(date_trunc('year', dt)) + INTERVAL 11 MONTH)) + 1 AS INTEGER) AS num_months,
+         CAST(datediff('month', greatest({s}, min(date_trunc('year', dt))),
+           least({e}, min(date_trunc('year', dt)) + INTERVAL 11 MONTH)) + 1 AS INTEGER) AS num_months,
          country, {figures}
   FROM gb GROUP BY strftime(dt, '%Y'), country),
 geo_a AS (
-  SELECT 'All' AS year, CAST(datesub('month', DATE '{s}', DATE '{e}') + 1 AS INTEGER) AS num_months,
+  SELECT 'All' AS year, CAST(datesub('month', {s}, {e}) + 1 AS INTEGER) AS num_months,
          country, {figures}
   FROM gb GROUP BY country),
 geo_f AS (FROM geo_y UNION ALL FROM geo_a)"""
 
 
-def yearly(rng: DateRange, by: str) -> str:
+def yearly(rng: Span, by: str) -> str:
     return f"""
 yb AS (SELECT *, strftime(dt, '%Y') AS year, {by} AS g,
               min(year(dt)) OVER (PARTITION BY customer_id) AS cy, min(year(dt)) OVER (PARTITION BY track_id) AS ty
@@ -163,7 +247,7 @@ yb AS (SELECT *, strftime(dt, '%Y') AS year, {by} AS g,
 yr AS (
   SELECT year, g AS {by}, count(DISTINCT customer_id) AS num_customers,
          count(DISTINCT invoice_id) AS num_purchases, count(DISTINCT country) AS num_countries,
-         CAST(sum(quantity) AS BIGINT) AS tracks_sold, CAST(sum(amount) AS DOUBLE) AS revenue,
+         CAST(sum(quantity) AS DOUBLE) AS tracks_sold, CAST(sum(amount) AS DOUBLE) AS revenue,
          count(DISTINCT customer_id) FILTER (year(dt) = cy) AS first_time_customers,
          count(DISTINCT track_id) AS unique_tracks_sold,
          count(DISTINCT track_id) FILTER (year(dt) = ty) AS first_tracks_sold,
@@ -171,7 +255,7 @@ yr AS (
   FROM yb GROUP BY year, g)"""
 
 
-def cohort(rng: DateRange, p: str = "", reach: str | None = None) -> str:
+def cohort(rng: Span, p: str = "", reach: str | None = None) -> str:
     """``{p}act``: staged activity with offsets; ``{p}co``: cohort retention."""
     limit = reach or f"(SELECT datediff('month', min(dt), max(dt)) FROM {p}st)"
     return f"""
@@ -218,10 +302,10 @@ grid AS (
   LEFT JOIN co ON co.cohort_month = m.cohort_month AND co.month_offset = o.month_offset)"""
 
 
-def bounds(rng: DateRange, p: str = "") -> str:
+def bounds(rng: Span, p: str = "", strict: bool = False) -> str:
     """``{p}bd``: boundaries from ordered lists; ``{p}cm``: metrics per customer."""
-    inside = _between(rng)
-    s, e = f"DATE '{rng.start}'", f"DATE '{rng.end}'"
+    inside, later = _between(rng), "IS NOT NULL" if strict else "IS NULL"
+    s, e = rng.start, rng.end
     months = lambda a, b: f"CAST(datediff('month', {a}, {b}) AS INTEGER)"
     days = lambda a, b: f"CAST({b} - {a} AS INTEGER)"
     per = lambda a, b, n: f"CAST({b} - {a} AS DOUBLE) / nullif({n}, 0)"
@@ -238,7 +322,7 @@ def bounds(rng: DateRange, p: str = "") -> str:
 {p}cm AS (
   SELECT *, last_before_window IS NULL AS cust_new, total_purchases > 1 AS repeat_any,
          last_before_window IS NOT NULL AS repeat_ret,
-         last_before_window IS NULL AND (num_in_window > 1 OR first_after_window IS NULL) AS repeat_conv,
+         last_before_window IS NULL AND (num_in_window > 1 OR first_after_window {later}) AS repeat_conv,
          num_in_window > 1 AS repeat_window,
          CASE WHEN total_purchases > 1 THEN {months('first_date', 'last_date')} END AS lifespan_mo_total,
          CASE WHEN last_before_window IS NULL AND first_after_window IS NULL AND num_in_window = 1 THEN NULL
@@ -426,19 +510,22 @@ def _scoped(name: str, v: Variant) -> str:
             " SELECT *, revenue / catalog_size AS revenue_per_track, "
             "CAST(unique_tracks_sold AS DOUBLE) / catalog_size AS pct_catalog_sold FROM yr"
         )
-    if name == "top_groups_yearly":
-        return _with(st, yearly(rng, "artist")) + (
-            " FROM yr WHERE artist IN (SELECT artist FROM yr GROUP BY 1 ORDER BY sum(revenue) DESC, artist LIMIT 20)"
+    if name.startswith("top_groups_yearly"):
+        by = "genre" if name.endswith("_genre") else "artist"
+        metric, n = ("num_customers", 7) if name.endswith("_customers") else ("revenue", 20)
+        return _with(st, yearly(rng, by)) + (
+            f" FROM yr WHERE {by} IN (SELECT {by} FROM yr GROUP BY 1 ORDER BY sum({metric}) DESC, {by} LIMIT {n})"
         )
     if name == "cohort_retention":
         return _with(st, co) + " FROM co"
     if name == "cohort_grid":
         return _with(st, co, grid()) + " FROM grid"
     if name == "cohort_matrix":
-        cells = ", ".join(
-            f"max(CASE WHEN month_offset = {o} THEN retention_pct END) AS m{o}" for o in range(1, v.reach + 1)
+        shown = "coalesce(format('{:,.2f}', retention_pct), '-')"
+        return _with(st, co, grid()) + (
+            " SELECT cohort_month, cohort_label, string_agg(CAST(month_offset AS VARCHAR), ' ' ORDER BY month_offset)"
+            f" AS offsets, string_agg({shown}, ' ' ORDER BY month_offset) AS retention_pct FROM grid GROUP BY 1, 2"
         )
-        return _with(st, co, grid()) + f" SELECT cohort_month, cohort_label, {cells} FROM grid GROUP BY 1, 2"
     if name == "cohort_fingerprint":
         return _with(st, co) + _fingerprint(
             "SELECT concat_ws('|', CAST(cohort_month AS VARCHAR), CAST(cohort_size AS VARCHAR), "
@@ -450,17 +537,22 @@ def _scoped(name: str, v: Variant) -> str:
     if name == "retention_decay":
         return _with(st, co) + decay()
     if name == "retention_decay_percent":
-        return _with(st, cohort(rng, reach="24")) + decay(100)
+        return _with(st, co) + decay(100)
     if name == "customer_bounds":
         return _with(st, bounds(rng)) + " FROM bd"
     if name == "customer_metrics":
         return _with(st, bounds(rng)) + " FROM cm"
-    if name == "retention_kpis":
-        return _with(st, bounds(rng), retention()) + _replace("rt", dict.fromkeys(MEANS, f"round({{}}, {DIGITS})"))
+    if name in ("retention_kpis", "retention_kpis_strict"):
+        return _with(st, bounds(rng, strict=name.endswith("_strict")), retention()) + _replace("rt", dict.fromkeys(MEANS, f"round({{}}, {DIGITS})"))
     if name == "filter_fingerprint":
         return _with(st) + _fingerprint("SELECT CAST(invoice_id AS VARCHAR) AS t FROM st")
-    if name == "kpi_bundle_long":
+    if name in ("kpi_bundle_long", "bundle_fingerprint"):
         parts = [st, core(rng), co, best_cohorts(), bounds(rng), retention(), bundle_rows()]
+    if name == "bundle_fingerprint":
+        return _with(*parts) + _fingerprint(
+            "SELECT concat_ws('|', coalesce(kpi, '~'), coalesce(section, '~'), coalesce(value_fmt, '~')) AS t FROM bu"
+        )
+    if name == "kpi_bundle_long":
         return _with(*parts) + _replace(
             "bu", {"value": f"CASE WHEN {_in('kpi', MEANS)} THEN round({{}}, {DIGITS}) ELSE {{}} END"}
         )
@@ -509,8 +601,17 @@ def _insights() -> str:
     return _with(*parts) + " " + " UNION ALL ".join(rows)
 
 
+def _code_labels() -> str:
+    name = f"(SELECT translate(iso2, '{LETTERS}', '{INDICATORS}') || ' ' || iso_alpha FROM codes WHERE country = group_val)"
+    parts = [CODES, staged(PLAIN.filter), core(PLAIN.rng), group_base(PLAIN.rng, "country"), top("country", 5)]
+    return _with(*parts) + f" SELECT metric, rank, group_val, {name} AS group_val_fmt FROM t_country"
+
+
 def build_oracle() -> dict[str, str]:
-    found = {name + v.suffix: _scoped(name, v) for name in SCOPED for v in variants_of(name)}
+    found = {name + v.suffix: _scoped(name, v) for name in TWO + THREE for v in (PLAIN, FILTERED)}
+    found |= {name + WINDOWED.suffix: _scoped(name, WINDOWED) for name in THREE}
+    empty = ("core_kpis", "group_kpis_genre", "monthly_summary", "geo_frames", "retention_kpis")
+    found |= {name + EMPTY.suffix: _scoped(name, EMPTY) for name in empty}
     found.update(_unscoped())
     for v in (PLAIN, FILTERED):
         found["topn_all" + v.suffix] = _with(CODES, *_everything(v), ranking_rows()) + " FROM ta"
@@ -519,4 +620,5 @@ def build_oracle() -> dict[str, str]:
             + " SELECT geo_f.*, iso_alpha FROM geo_f JOIN codes USING (country)"
         )
     found["insights_compare"] = _insights()
+    found["country_codes_topn"] = _code_labels()
     return found

@@ -1,6 +1,6 @@
 """Every result as a named query over a directory of wholesale tables.
 
-Each result is registered over the whole calendar without a filter; results that read
+Each result is registered over all dates of the data without a filter; results that read
 a window or a filter differently are registered again as ``*_window`` (dates that start
 and end inside a month) and ``*_filtered``. Means of fractions depend on the order of
 summation in their last digits; they are rounded here, for comparison only.
@@ -8,6 +8,7 @@ summation in their last digits; they are rounded here, for comparison only.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
@@ -27,7 +28,6 @@ from salesmart.sources.model import SalesModel
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FULL = DateRange.of("1995-01-01", "2001-12-31")
 WINDOW = DateRange.of("1997-03-10", "1998-11-20")
 YEARS = DateRange.of("1997-01-01", "1998-12-31")
 CHOICE = SalesFilter(genres=("ECONOMY",), countries=("NATION_2", "NATION_3"))
@@ -37,18 +37,14 @@ CHOICE = SalesFilter(genres=("ECONOMY",), countries=("NATION_2", "NATION_3"))
 class Variant:
     suffix: str
     filter: SalesFilter
-    rng: DateRange
+    rng: DateRange | None
 
-    @property
-    def reach(self) -> int:
-        """Largest month offset possible from the first calendar month to the range's end."""
-        return DateRange(FULL.start, self.rng.end).months - 1
 
-
-PLAIN = Variant("", SalesFilter(), FULL)
+PLAIN = Variant("", SalesFilter(), None)
 WINDOWED = Variant("_window", SalesFilter(), WINDOW)
 FILTERED = Variant("_filtered", CHOICE, YEARS)
 VARIANTS = (PLAIN, WINDOWED, FILTERED)
+NOTHING = SalesFilter(genres=("NO SUCH GENRE",))
 
 
 def country_codes(spark: SparkSession, directory: str) -> DataFrame:
@@ -56,10 +52,12 @@ def country_codes(spark: SparkSession, directory: str) -> DataFrame:
     nation = spark.read.schema("n_nationkey int, n_name string, n_regionkey int").parquet(
         f"{directory.rstrip('/')}/nation.parquet"
     )
-    letter = lambda key: F.chr(F.col(key) + 65)
+    letter = lambda key: F.chr(F.pmod(F.col(key), F.lit(26)) + 65)
+    # Without a letter of its own a nation has no code, and so no flag.
+    iso2 = F.when(F.col("n_nationkey").between(0, 25), F.concat(letter("n_regionkey"), letter("n_nationkey")))
     return nation.select(
         F.col("n_name").alias("country"),
-        F.concat(letter("n_regionkey"), letter("n_nationkey")).alias("iso2"),
+        iso2.alias("iso2"),
         F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("iso3"),
         F.col("n_name").alias("label"),
     )
@@ -70,9 +68,27 @@ MEANS = ("avg_gap_life", "avg_gap_window", "avg_gap_bound")
 DIGITS = 6
 
 
+def released(result: DataFrame, *marts: SalesMart) -> DataFrame:
+    """The result; when it is let go, so are the staged sets it shares."""
+    for mart in marts:
+        weakref.finalize(result, mart.unpersist).atexit = False
+    return result
+
+
 def _bundle(mart: SalesMart, v: Variant) -> DataFrame:
     short = F.when(F.col("kpi").isin(*MEANS), F.round("value", DIGITS)).otherwise(F.col("value"))
-    return kpi_bundle(mart.persist(), v.rng).withColumn("value", short)
+    kept = mart.persist()
+    return released(kpi_bundle(kept, v.rng).withColumn("value", short), kept)
+
+
+def _bundle_fingerprint(mart: SalesMart, v: Variant) -> DataFrame:
+    kept = mart.persist()
+    return released(frame_fingerprint(kpi_bundle(kept, v.rng).select("section", "kpi", "value_fmt")), kept)
+
+
+def _top_n(mart: SalesMart, v: Variant, by: str) -> DataFrame:
+    kept = mart.persist()
+    return released(kept.top_n(by, v.rng), kept)
 
 
 def _cohorts(mart: SalesMart, v: Variant) -> DataFrame:
@@ -80,7 +96,19 @@ def _cohorts(mart: SalesMart, v: Variant) -> DataFrame:
 
 
 def _matrix(mart: SalesMart, v: Variant) -> DataFrame:
-    return cohorts.cohort_matrix(cohorts.cohort_grid(_cohorts(mart, v)), v.reach)
+    """The arrays of the matrix as text, so that engines with other lists can be compared."""
+    shown = F.transform("retention_pct", lambda p: F.coalesce(F.format_number(p, 2), F.lit("-")))
+    return cohorts.cohort_matrix(mart.cohort_grid(v.rng)).select(
+        "cohort_month",
+        "cohort_label",
+        F.array_join(F.col("offsets").cast("array<string>"), " ").alias("offsets"),
+        F.array_join(shown, " ").alias("retention_pct"),
+    )
+
+
+def _strict(mart: SalesMart, v: Variant) -> DataFrame:
+    rounded = {c: F.round(c, DIGITS) for c in MEANS}
+    return mart.retention_kpis(v.rng, strict=True).withColumns(rounded)
 
 
 def _yearly(mart: SalesMart, v: Variant, by: str) -> DataFrame:
@@ -95,9 +123,9 @@ SCOPED: dict[str, Callable[[SalesMart, Variant], DataFrame]] = {
     "group_kpis_genre": lambda m, v: m.group_kpis("genre", v.rng),
     "group_kpis_artist": lambda m, v: m.group_kpis("artist", v.rng),
     "group_kpis_country": lambda m, v: m.group_kpis("country", v.rng),
-    "topn_genre": lambda m, v: m.persist().top_n("genre", v.rng),
-    "topn_artist": lambda m, v: m.persist().top_n("artist", v.rng),
-    "topn_country": lambda m, v: m.persist().top_n("country", v.rng),
+    "topn_genre": partial(_top_n, by="genre"),
+    "topn_artist": partial(_top_n, by="artist"),
+    "topn_country": partial(_top_n, by="country"),
     "catalog_sales_genre": lambda m, v: m.catalog_sales("genre", v.rng),
     "catalog_sales_artist": lambda m, v: m.catalog_sales("artist", v.rng),
     "monthly_summary": lambda m, v: series.revenue_per_customer(m.monthly_summary(v.rng)),
@@ -108,20 +136,24 @@ SCOPED: dict[str, Callable[[SalesMart, Variant], DataFrame]] = {
     "group_yearly_genre": partial(_yearly, by="genre"),
     "group_yearly_artist": partial(_yearly, by="artist"),
     "top_groups_yearly": lambda m, v: m.top_groups_yearly("artist", v.rng),
+    "top_groups_yearly_genre": lambda m, v: m.top_groups_yearly("genre", v.rng),
+    "top_groups_yearly_customers": lambda m, v: m.top_groups_yearly("artist", v.rng, "num_customers", 7),
     "cohort_retention": _cohorts,
-    "cohort_grid": lambda m, v: cohorts.cohort_grid(_cohorts(m, v)),
+    "cohort_grid": lambda m, v: m.cohort_grid(v.rng),
     "cohort_matrix": _matrix,
     "cohort_fingerprint": lambda m, v: frame_fingerprint(_cohorts(m, v)),
-    "top_cohorts": lambda m, v: cohorts.top_cohorts(_cohorts(m, v)),
+    "top_cohorts": lambda m, v: m.top_cohorts(v.rng),
     "retention_decay": lambda m, v: m.retention_decay(v.rng),
-    "retention_decay_percent": lambda m, v: cohorts.decay_percent(m.retention_decay(v.rng, 24)),
+    "retention_decay_percent": lambda m, v: cohorts.decay_percent(m.retention_decay(v.rng)),
     "customer_bounds": lambda m, v: m.customer_bounds(v.rng),
     "customer_metrics": lambda m, v: m.customer_metrics(v.rng),
     "retention_kpis": lambda m, v: m.retention_kpis(v.rng).withColumns(
         {c: F.round(c, DIGITS) for c in MEANS}
     ),
+    "retention_kpis_strict": _strict,
     "filter_fingerprint": lambda m, v: m.fingerprint(),
     "kpi_bundle_long": _bundle,
+    "bundle_fingerprint": _bundle_fingerprint,
 }
 
 # Results of which a window inside months takes a branch of its own.
@@ -139,6 +171,7 @@ WINDOW_SENSITIVE = {
     "customer_bounds",
     "customer_metrics",
     "retention_kpis",
+    "retention_kpis_strict",
     "kpi_bundle_long",
 }
 
@@ -171,6 +204,9 @@ def build_queries() -> dict[str, Query]:
         found["topn_all" + v.suffix] = partial(_coded, _topn_all, v)
         found["geo_iso" + v.suffix] = partial(_coded, _geo_iso, v)
     found["insights_compare"] = _insights
+    found["country_codes_topn"] = partial(_coded, _code_labels, PLAIN)
+    for name in ("core_kpis", "group_kpis_genre", "monthly_summary", "geo_frames", "retention_kpis"):
+        found[f"{name}_empty"] = partial(_scoped, SCOPED[name], Variant("_empty", NOTHING, None))
     return found
 
 
@@ -187,7 +223,15 @@ def _coded(build, v: Variant, spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _topn_all(mart: SalesMart, v: Variant, codes: DataFrame) -> DataFrame:
-    return topn_all(mart.persist(), v.rng, countries=codes)
+    kept = mart.persist()
+    return released(topn_all(kept, v.rng, countries=codes), kept)
+
+
+def _code_labels(mart: SalesMart, v: Variant, codes: DataFrame) -> DataFrame:
+    """The ranking of countries with codes for labels."""
+    kept = mart.persist()
+    shown = groups.display_top_n(kept.top_n("country", v.rng), codes, label="iso3")
+    return released(shown.select("metric", "rank", "group_val", "group_val_fmt"), kept)
 
 
 def _geo_iso(mart: SalesMart, v: Variant, codes: DataFrame) -> DataFrame:
@@ -197,4 +241,5 @@ def _geo_iso(mart: SalesMart, v: Variant, codes: DataFrame) -> DataFrame:
 def _insights(spark: SparkSession, directory: str) -> DataFrame:
     everything = mart_for(spark, directory, PLAIN.filter).persist()
     view = SalesMart(everything.model, FILTERED.filter).persist()
-    return insights_compare(everything, PLAIN.rng, view, FILTERED.rng, country_codes(spark, directory))
+    cards = insights_compare(everything, PLAIN.rng, view, FILTERED.rng, country_codes(spark, directory))
+    return released(cards, everything, view)

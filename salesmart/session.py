@@ -13,14 +13,19 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Where every partition of the smaller side stays under this size, hash it instead
-    # of sorting both sides. Checked at run time on the shuffled sizes.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # of sorting both sides. Checked at run time on the shuffled sizes, which are
+    # compressed; hash tables do not spill, so this stays far below a task's memory.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a running session. Parallelism stays the cluster's choice."""
+    """Apply the settings that the session leaves open. What its owner has set stays.
+
+    Parallelism is the cluster's choice.
+    """
+    chosen = spark.conf.getAll
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if key not in chosen:
+            spark.conf.set(key, value)
     return spark

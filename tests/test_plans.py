@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 import pytest
 
 from salesmart import SalesMart, SalesModel
 from salesmart.plans.registry import build_queries
+from salesmart.session import configure
 
 QUERIES = build_queries()
 
@@ -21,7 +23,7 @@ def plans(spark, tables_dir):
     ran = jobs() - before
     spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
     texts = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in frames.items()}
-    spark.catalog.clearCache()
+    frames.clear()
     return texts, ran
 
 
@@ -75,3 +77,50 @@ def test_persisted_staging_is_shared(spark, tables_dir):
     text = mart.retention_kpis()._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" in text
     mart.unpersist()
+
+
+@pytest.mark.parametrize("name", ["topn_artist", "kpi_bundle_long", "topn_all", "insights_compare"])
+def test_shared_sets_are_let_go_with_the_result(spark, tables_dir, name):
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs
+    gc.collect()
+    before = held().size()
+    result = QUERIES[name](spark, tables_dir)
+    result.collect()
+    assert held().size() > before
+    del result
+    gc.collect()
+    assert held().size() == before
+
+
+def test_settings_of_the_caller_stay(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        configure(spark)
+        assert spark.conf.get(key) == "false"
+    finally:
+        spark.conf.set(key, before)
+
+
+def under(lines, at):
+    """The lines below a node of a plan's text."""
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    for line in lines[at + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            return
+        yield line
+
+
+@pytest.mark.parametrize("name", ["top_groups_yearly", "topn_artist", "topn_country", "top_cohorts", "cohort_grid"])
+def test_nothing_is_sorted_as_a_whole_below_the_edge(plans, name):
+    lines = plans[0][name].splitlines()
+    for at, line in enumerate(lines):
+        if re.search(r"Aggregate\(|Window |HashJoin|SortMergeJoin", line):
+            assert not any("rangepartitioning" in below for below in under(lines, at))
+
+
+def test_years_are_copied_after_the_first_aggregate(plans):
+    lines = plans[0]["geo_frames"].splitlines()
+    at = next(k for k, line in enumerate(lines) if "Generate" in line)
+    assert any("HashAggregate" in line for line in under(lines, at))

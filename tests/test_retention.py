@@ -137,9 +137,10 @@ def test_grid_is_dense_and_matrix_in_time_order(mart):
     assert grid.count() == 9 * 13  # May 2009 to January 2010, offsets 1 to 13
     cells = {(r[0], r[1]): r[2] for r in rows(grid, "cohort_label", "month_offset", "retention_pct")}
     assert cells[("Jan 2010", 1)] == 50.0 and cells[("Jun 2009", 1)] is None
-    matrix = rows(cohort_matrix(grid, 13), "cohort_label", "m1", "m13")
+    matrix = rows(cohort_matrix(grid), "cohort_label", "offsets", "retention_pct")
     assert [r[0] for r in matrix[:2]] == ["May 2009", "Jun 2009"]
-    assert matrix[0][2] == 100.0 and matrix[-1] == ("Jan 2010", 50.0, None)
+    assert all(r[1] == list(range(1, 14)) for r in matrix)
+    assert matrix[0][2][12] == 100.0 and (matrix[-1][0], matrix[-1][2][0], matrix[-1][2][12]) == ("Jan 2010", 50.0, None)
 
 
 def test_empty_selection(empty_mart):
