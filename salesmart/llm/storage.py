@@ -10,6 +10,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
 _shipped: set[str] = set()
 _own_folder: list[str] = []
 
@@ -43,7 +45,13 @@ def written(frame: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per application."""
+    """Give this package to the Python workers, once per application.
+
+    Where the session leaves it open, batches on their way to Python are bounded as well:
+    with Spark's own bound, long texts take hundreds of megabytes of each executor.
+    """
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
