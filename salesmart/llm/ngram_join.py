@@ -46,8 +46,10 @@ from .texts import PLAIN_WORD, mix, pieces
 @dataclass(frozen=True)
 class JoinSettings:
     """`crowd`: band values with more sets than this make families at once. `block` and
-    `block_shingles` bound the groups of verification; `compared` MinHash values at most are
-    compared, `step` at a time, before a pair is verified."""
+    `block_shingles` bound the groups of verification; up to `spread` blocks of a family are
+    made of `fine_block` sets already, so that families of a few thousand are spread as well.
+    `compared` MinHash values at most are compared, `step` at a time, before a pair is
+    verified."""
 
     shingle: int = 5
     threshold: Fraction = Fraction(4, 5)
@@ -59,6 +61,8 @@ class JoinSettings:
     crowd: int = 32
     block: int = 1024
     block_shingles: int = 1 << 20
+    fine_block: int = 128
+    spread: int = 32
     seed: int = 97
 
     @property
@@ -312,7 +316,8 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def _verified(sets: DataFrame, settings: JoinSettings) -> DataFrame:
     """set, n_links (documents linked in one group of blocks) and root (a set)."""
     total = sets.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingle_sum"))
-    blocks = F.ceil(F.greatest(F.col("members") / settings.block, F.col("shingle_sum") / settings.block_shingles)).cast("int")
+    fine = F.least(F.col("members") / settings.fine_block, F.lit(float(settings.spread)))
+    blocks = F.ceil(F.greatest(fine, F.col("members") / settings.block, F.col("shingle_sum") / settings.block_shingles)).cast("int")
     total = written(total.where(F.col("members") > 1).select("family", blocks.alias("blocks")))
     placed = sets.join(total, "family").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
