@@ -76,17 +76,18 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
     level = written(start.select("tree", "id", F.col("p").alias("above"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")))
     levels, rounds = [level], max(1, level.count()).bit_length()
     while len(levels) <= rounds and not level.where(F.col("above").isNotNull()).isEmpty():
+        # Only nodes that have not reached the root take part; there are ever fewer of them.
         far = level.select(*[F.col(c).alias(f"far_{c}") for c in level.columns])
         met = F.col("tree").eqNullSafe(F.col("far_tree")) & (F.col("above") == F.col("far_id"))
-        level = written(
-            level.join(far, met, "left").select(
-                "tree",
-                "id",
-                F.col("far_above").alias("above"),
-                (F.col("total") + F.coalesce("far_total", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"),
-            )
+        moved = level.where(F.col("above").isNotNull()).join(far, met)
+        moved = moved.select(
+            "tree",
+            "id",
+            F.col("far_above").alias("above"),
+            (F.col("total") + F.col("far_total")).alias("total"),
+            (F.col("depth") + F.col("far_depth")).alias("depth"),
         )
+        level = written(moved.unionByName(level.where(F.col("above").isNull())))
         levels.append(level)
     return levels
 
