@@ -66,7 +66,7 @@ _SHAPE = _shapes()
 
 
 def trigram_counts(piece: Piece, bits: int) -> np.ndarray:
-    """Per text: counts of hashed byte trigrams, then of shape trigrams."""
+    """Per text: counts of hashed byte trigrams, then of shape trigrams, 65,535 at most."""
     size = 1 << bits
     out = np.zeros((piece.rows, 2 * size), dtype=np.float32)
     if len(piece.data) < 3:
@@ -79,14 +79,14 @@ def trigram_counts(piece: Piece, bits: int) -> np.ndarray:
         hashed ^= hashed >> np.uint32(15)
         hashed *= np.uint32(0x2C1B3C6D)
         place = (hashed >> np.uint32(32 - bits)).astype(np.int64)[same]
-        counts = np.bincount(at + place, minlength=piece.rows * size)
+        counts = np.minimum(np.bincount(at + place, minlength=piece.rows * size), 65_535)
         out[:, k * size : (k + 1) * size] = counts.reshape(piece.rows, size)
     return out
 
 
 def weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """Damped counts times rarity; bytes and shapes at unit length each."""
-    out = np.log1p(counts) * rarity
+    out = np.log1p(counts, dtype=np.float32) * rarity
     half = out.shape[1] // 2
     for part in (out[:, :half], out[:, half:]):
         part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
@@ -146,17 +146,25 @@ def fit(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str
     def run(batches):
         for batch in batches:
             for piece in pieces(batch["text"]):
-                counts = trigram_counts(piece, settings.bits)
+                counts = trigram_counts(piece, settings.bits).astype("<u2")
                 own = batch.slice(piece.row, piece.rows)
-                packed = [np.ascontiguousarray(c).tobytes() for c in counts]
+                packed = [c.tobytes() for c in counts]
                 yield pa.RecordBatch.from_arrays([own["key"], own["label"].cast(pa.int32()), pa.array(packed, pa.binary())], names=["key", "label", "counts"])
 
     kind = sample.schema["key"].dataType.simpleString()
     rows = labelled_texts(documents, sample, key, text).mapInArrow(run, f"key {kind}, label int, counts binary").toArrow()
-    rows = rows.take(pa.compute.sort_indices(rows["key"]))
-    size = 2 << settings.bits
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), dtype=np.float32).reshape(-1, size)
-    return fit_arrays(counts, rows["label"].to_numpy().astype(np.float32), settings)
+    # Held as they came, two bytes a count; in the order of the ids for the sake of ties.
+    order = np.argsort(rows["key"].to_numpy(), kind="stable")
+    counts = np.empty((len(rows), 2 << settings.bits), dtype=np.uint16)
+    at = 0
+    for chunk in rows["counts"].chunks:
+        if len(chunk):
+            own = np.frombuffer(chunk.buffers()[2], dtype="<u2").reshape(-1, counts.shape[1])
+            counts[at : at + len(chunk)] = own[chunk.offset : chunk.offset + len(chunk)]
+            at += len(chunk)
+    labels = rows["label"].to_numpy().astype(np.float32)
+    del rows
+    return fit_arrays(counts[order], labels[order], settings)
 
 
 def score(documents: DataFrame, fitted: Neighbours, keep: list[str], text: str = "text", settings: KnnSettings | None = None, score_column: str = "score") -> DataFrame:
