@@ -1,30 +1,34 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Training counts every token of every training text, by hash and exactly, in one
-aggregation. Tokens with at least `head_share` of all tokens are the head: at most
-1 / head_share of them, so the file that tasks map has a bound. All others, the tail, get
-their counts through a join.
-
-The trie holds the bigrams and trigrams of head tokens that occur at least `gram_share` of
-all tokens often (twice at least), so at most 1 / gram_share of each. Tasks count them in
-sorted runs, cut by hash, so that no frequent word or pair brings its n-grams to one task;
-a run is shuffled as one delta-coded block of bytes, and each part is merged and pruned on
-its own. What is left is dealt out by first token to a few shards of the trie, each written
-as a file. A level is an Elias-Fano sequence
-of token numbers, made monotone by adding the last value of the range before; another of
-pointers to where the children of each entry begin; and a byte each for the discounted
-probability and for the mass left to shorter contexts, on a logarithmic scale.
+aggregation. A number stands for each token in n-grams: the most frequent (`numbered` at
+most) get small ones, in a file that tasks map; all others take 62 bits of their hash. Two
+tokens in a hundred million then share a number with a chance of about one in a thousand.
+
+The trie holds every bigram and trigram that occurs twice at least, whatever the corpus:
+once is no evidence, as with the discount it would leave a context most of its mass anyway,
+and most n-grams of a corpus occur once. `head_share` and `gram_share`, 0 unless set, ask for
+more. Tasks count n-grams in sorted runs, cut by hash, so that no frequent word or pair brings
+its n-grams to one task; a run is shuffled as one block of bytes with its own dictionary, and
+each part is merged and pruned on its own. What is left is dealt out by the hash of its
+context to shards, as many as it takes, each written as a file. A level of a shard is an
+Elias-Fano sequence of words of the shard, made monotone by adding the last value of the range
+before; others of contexts and of pointers to where the children of each begin; and a byte
+each for the discounted probability and for the mass left to shorter contexts, on a
+logarithmic scale.
 
     p(w | u v) = a(uvw) + m(uv) * (a(vw) + m(v) * p(w)),  p(w) = (count + 1) / (N + V + 1)
 
 with a = (count - discount) / count of the context for entries of the trie, else 0, and m
 what the entries of a context leave over, else 1. Probabilities so add up to one, but for
-rounding to a byte. Tail tokens are in no entry: their p(w) enters as a factor, so the join
-completes the base score and the score alike.
+rounding to a byte. Tokens without a small number are the tail. Their counts come through a
+join, for the base score and, as a factor, for the score; where entries may hold them, shards
+answer with their counts and the factor is taken out again.
 
-Scoring maps the shards from the shared folder (or reads them, where it is no file system
-of the machine) and looks n-grams up in bulk: a bit table turns most misses away, then
-successor search finds the token within the range of its context.
+Scoring writes each run of texts as numbers, sends its distinct n-grams to the shards of
+their contexts, and the answers back to the run; no task sees more than one shard at a time.
+A bit table turns most misses away, then successor search finds the token within the range of
+its context.
 
 Defined cases: a null or empty text is its end alone; without training texts every token
 has probability one; repeated rows count and are scored once each; an empty table gives no
@@ -51,28 +55,35 @@ from .texts import FOLDED_WORD, mix, pieces
 from .token_files import _file_system
 
 END_HASH = np.uint64(0xE5D0_7E87_0000_0001)
+#: Words of a run have at most 2**21 distinct ones, so that three fit in 63 bits.
 ID_BITS = 21
+MASK = np.uint64((1 << ID_BITS) - 1)
+#: Numbers of tokens from here on are hashes.
+HASHED = 1 << 62
+#: Shares in answers: 0 says there is none, others are steps of a logarithmic scale.
+STEP = 12 / 65_534
 
 
 @dataclass(frozen=True)
 class LmSettings:
-    """Shares are of all training tokens. `part_tokens` is the number of n-grams that are
-    merged in one go, `held` how many counts a task holds before it passes them on, and
-    `shard_grams` about how many kept n-grams go to a shard, cut from `ranges` ranges."""
+    """Shares are of all training tokens; 0 keeps whatever occurs twice. `numbered` is how
+    many tokens get small numbers, `part_tokens` the number of n-grams that are merged in one
+    go, `held` how many n-grams a task holds before it passes them on, and `shard_grams` about
+    how many kept n-grams go to a shard."""
 
-    head_share: float = 2e-7
-    gram_share: float = 5e-8
+    head_share: float = 0.0
+    gram_share: float = 0.0
     discount: float = 0.75
     part_tokens: int = 4_000_000
-    ranges: int = 4096
+    numbered: int = 1 << 20
     held: int = 1 << 21
     shard_grams: int = 2_000_000
 
 
 @dataclass(frozen=True)
 class Trained:
-    """What scoring needs: totals, the folder with the head's file and the shards (first
-    token, token after the last, path), and all counts."""
+    """What scoring needs: totals, the folder with the file of numbered tokens and the shards
+    (place, number of shards, path), and all counts."""
 
     tokens: int
     distinct: int
@@ -138,12 +149,19 @@ def _mapped(folder: str, path: str) -> dict[str, np.ndarray]:
         return from_buffer(np.frombuffer(stream.read(), dtype=np.uint8))
 
 
-def _head(counts: DataFrame, tokens: int, folder: str, settings: LmSettings) -> str:
-    """The head's file: hashes in order, with count and number by falling count (from 1).
+def _head(counts: DataFrame, tokens: int, folder: str, settings: LmSettings) -> tuple[str, bool]:
+    """The file of numbered tokens: hashes in order, with count and number by falling count
+    (from 1); and whether these are all that n-grams may hold.
 
-    At most 1 / head_share rows come to the driver.
+    At most `numbered` rows come to the driver, or 1 / head_share where that is asked for.
     """
-    rows = counts.where(F.col("c") >= _lowest_count(settings.head_share, tokens)).toArrow()
+    lowest = _lowest_count(settings.head_share, tokens)
+    own = counts.where(F.col("c") >= lowest)
+    whole = True
+    # Tokens of kept n-grams are as frequent as these: no need to know all of them.
+    if lowest <= _lowest_count(settings.gram_share, tokens) and own.count() > settings.numbered:
+        own, whole = own.orderBy(F.desc("c"), "h").limit(settings.numbered), False
+    rows = own.toArrow()
     hashes, numbers = rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
     order = np.argsort(hashes)
     hashes, numbers = hashes[order], numbers[order].astype(np.int64)
@@ -151,14 +169,15 @@ def _head(counts: DataFrame, tokens: int, folder: str, settings: LmSettings) ->
     rank[np.lexsort((hashes, -numbers))] = np.arange(1, len(hashes) + 1)
     by_rank = np.zeros(len(hashes) + 1, dtype=np.int64)
     by_rank[rank] = numbers
-    return _save(folder, "head", to_file({"hashes": hashes, "counts": numbers, "rank": rank, "by_rank": by_rank}))
+    return _save(folder, "head", to_file({"hashes": hashes, "counts": numbers, "rank": rank, "by_rank": by_rank, "whole": np.array([whole])})), whole
 
 
 class _Head:
-    """Numbers of tokens: 0 begins a text, head tokens are 1 and on, -1 is the tail."""
+    """Numbers of tokens: 0 begins a text, numbered tokens are 1 and on, -1 is the tail."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.hashes, self.counts, self.rank, self.by_rank = (arrays[n] for n in ("hashes", "counts", "rank", "by_rank"))
+        self.whole = bool(arrays["whole"][0])
         # Where hashes with each 16-bit beginning start: few steps are left to search.
         self.starts = np.searchsorted(self.hashes, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
         self.starts = np.append(self.starts, len(self.hashes))
@@ -199,76 +218,130 @@ class _Stream:
         self.place = place
         self.number = np.where(place >= 0, head.rank[place] if len(head.rank) else -1, -1)
         self.number[self.begin] = 0
-        # Numbers that fit in a packed n-gram; the others are in no n-gram.
-        self.gram = np.where(self.number < (1 << ID_BITS), self.number, -1)
+        # What stands for the token in n-grams; -1 is in none.
+        self.gram = self.number if head.whole else np.where(self.number < 0, _hashed(self.hashes), self.number)
 
 
-def _block(keys: np.ndarray, counts: np.ndarray, packer) -> bytes:
-    """Rising keys and their counts as bytes: differences in planes, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return packer.compress(planes + counts.astype("<u4").tobytes())
+def _hashed(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of tokens that have no small one."""
+    return ((hashes >> np.uint64(2)) | np.uint64(HASHED)).astype(np.int64)
 
 
-def _unblock(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
-    size = len(data) // 12
+def _one_spot(token: np.ndarray) -> np.ndarray:
+    """32 bits of the hash of a context of one token."""
+    return (mix(token.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
+def _two_spot(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return _one_spot(mix(first.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Rising values as differences, in planes of bytes."""
+    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: np.ndarray, size: int) -> np.ndarray:
     steps = np.ascontiguousarray(data[: 8 * size].reshape(8, size).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64), data[8 * size :].view("<u4").astype(np.int64)
+    return np.cumsum(steps, dtype=np.uint64)
+
 
+def _split(keys: np.ndarray, length: int) -> list[np.ndarray]:
+    """The words of packed n-grams."""
+    return [((keys >> np.uint64(ID_BITS * k)) & MASK).astype(np.int64) for k in reversed(range(length))]
 
-def _ranges(by_rank: np.ndarray, texts: int, settings: LmSettings) -> np.ndarray:
-    """First token number of each range: about equal numbers of tokens."""
-    weights = by_rank.astype(np.float64)
-    weights[0] = texts
-    before = np.cumsum(weights) - weights
-    count = settings.ranges
-    return np.unique(np.searchsorted(before, np.arange(count) * weights.sum() / count))
+
+def _packed(columns: list[np.ndarray]) -> np.ndarray:
+    out = columns[0].astype(np.uint64)
+    for column in columns[1:]:
+        out = (out << np.uint64(ID_BITS)) | column.astype(np.uint64)
+    return out
+
+
+def _block(words: np.ndarray, grams: dict[int, np.ndarray], packer, counts: dict[int, np.ndarray] | None = None) -> bytes:
+    """Rising packed n-grams by length, with the words that they hold, and their counts."""
+    split = {length: _split(keys, length) for length, keys in grams.items()}
+    every = np.concatenate([c for columns in split.values() for c in columns])
+    used, at = np.unique(every, return_inverse=True)
+    out, begin = [np.array([len(used), *[len(grams[k]) for k in (1, 2, 3)]], dtype="<i8").tobytes(), _planes(words[used] + 1)], 0
+    for length, columns in split.items():
+        own = at[begin : begin + length * len(columns[0])].reshape(length, -1)
+        begin += own.size
+        out.append(_planes(_packed(list(own))))
+    for length in counts or {}:
+        out.append(counts[length].astype("<u4").tobytes())
+    return packer.compress(b"".join(out))
+
+
+def _unblock(raw: bytes, counted: bool = False) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
+    data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
+    sizes = data[:32].view("<i8").tolist()
+    words, data = _from_planes(data[32:], sizes[0]).astype(np.int64) - 1, data[32 + 8 * sizes[0] :]
+    grams, counts = {}, {}
+    for length in (1, 2, 3):
+        grams[length], data = _from_planes(data, sizes[length]), data[8 * sizes[length] :]
+    for length in (1, 2, 3) if counted else ():
+        counts[length], data = data[: 4 * sizes[length]].copy().view("<u4").astype(np.int64), data[4 * sizes[length] :]
+    return words, grams, counts
+
+
+def _runs(n: np.ndarray, limit: int):
+    """A stream cut where it is long: each part, and how many of its places only lead in."""
+    yield n[:limit], 0
+    for begin in range(limit, len(n), limit):
+        yield n[begin - 2 : begin + limit], 2
 
 
 def _grams(documents: DataFrame, text: str, folder: str, head: str, parts_wanted: int, settings: LmSettings) -> DataFrame:
-    """part, length of n-grams and a block of them with counts, from every training text."""
+    """part and a block of n-grams with counts, from every training text."""
+    limit = max(16, min(settings.held // 2, 1 << 19))
 
     def run(batches):
         own = _Head(_mapped(folder, head))
         packer = zstandard.ZstdCompressor(level=1)
-        waiting, size = {2: [], 3: []}, 0
-
-        def blocks():
-            parts, lengths, packed = [], [], []
-            for length, keys in waiting.items():
-                if not keys:
-                    continue
-                distinct, counts = np.unique(np.concatenate(keys), return_counts=True)
-                hashed = (mix(distinct) % np.uint64(parts_wanted)).astype(np.int64)
+        waiting, size = [], 0
+
+        def blocks(n, skip):
+            words, at = np.unique(n, return_inverse=True)
+            # A text begins with 0, which follows nothing.
+            two = (n[:-1] >= 0) & (n[1:] > 0)
+            three = two[:-1] & two[1:]
+            two[: max(skip - 1, 0)] = False
+            found = {1: np.zeros(0, np.uint64), 2: _packed([at[:-1][two], at[1:][two]]), 3: _packed([at[:-2][three], at[1:-1][three], at[2:][three]])}
+            cut = {}
+            for length, keys in found.items():
+                distinct, counts = np.unique(keys, return_counts=True)
+                spot = np.zeros(len(distinct), dtype=np.uint64)
+                for column in _split(distinct, length)[:2]:  # a trigram goes where its context goes
+                    spot = mix(spot * np.uint64(0x9E3779B97F4A7C15) + words[column].astype(np.uint64))
+                hashed = (spot % np.uint64(parts_wanted)).astype(np.int64)
                 order = np.argsort(hashed, kind="stable")  # still rising within a part
-                distinct, counts = distinct[order], counts[order]
-                bounds = np.searchsorted(hashed[order], np.arange(parts_wanted + 1)).tolist()
-                for part, (begin, end) in enumerate(zip(bounds, bounds[1:])):
-                    if begin < end:
-                        parts.append(part)
-                        lengths.append(length)
-                        packed.append(_block(distinct[begin:end], counts[begin:end], packer))
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(packed, pa.binary())], names=["part", "length", "block"])
+                cut[length] = distinct[order], counts[order], np.searchsorted(hashed[order], np.arange(parts_wanted + 1)).tolist()
+            parts, packed = [], []
+            for part in range(parts_wanted):
+                spans = {k: slice(bounds[part], bounds[part + 1]) for k, (_, _, bounds) in cut.items()}
+                if any(x.start < x.stop for x in spans.values()):
+                    parts.append(part)
+                    packed.append(_block(words, {k: cut[k][0][x] for k, x in spans.items()}, packer, {k: cut[k][1][x] for k, x in spans.items()}))
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["part", "block"])
 
         for batch in batches:
             for piece in pieces(batch["text"]):
                 n = _Stream(piece, own).gram
-                # A text begins with 0, which follows nothing.
-                two = (n[:-1] >= 0) & (n[1:] > 0)
-                three = two[:-1] & two[1:]
-                u = n.astype(np.uint64)
-                pairs = (u[:-1] << np.uint64(ID_BITS)) | u[1:]
-                waiting[2].append(pairs[two])
-                waiting[3].append(((u[:-2] << np.uint64(2 * ID_BITS)) | pairs[1:])[three])
-                size += int(two.sum()) + int(three.sum())
-                if size > settings.held:
-                    yield blocks()
-                    waiting, size = {2: [], 3: []}, 0
+                if size + len(n) > limit and size:
+                    yield blocks(np.concatenate(waiting), 0)
+                    waiting, size = [], 0
+                if len(n) > limit:
+                    for part, skip in _runs(n, limit):
+                        yield blocks(part, skip)
+                else:
+                    waiting.append(n)
+                    size += len(n)
         if size:
-            yield blocks()
+            yield blocks(np.concatenate(waiting), 0)
 
-    return documents.select(quoted(text).alias("text")).mapInArrow(run, "part int, length int, block binary")
+    return documents.select(quoted(text).alias("text")).mapInArrow(run, "part int, block binary")
 
 
 def _code(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
@@ -285,10 +358,33 @@ def _decode(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndar
     return table[arrays[f"{name}.code"][at]]
 
 
-def _merged(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = zip(*map(_unblock, blocks)) if blocks else ((np.zeros(0, np.uint64),), (np.zeros(0, np.int64),))
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+def _merged(blocks: list[bytes], lowest: int) -> dict[int, tuple]:
+    """By length: columns of tokens of the n-grams frequent enough, in order, and counts; for
+    trigrams also those of their contexts."""
+    read = [_unblock(b, counted=True) for b in blocks]
+    words = np.unique(np.concatenate([r[0] for r in read]))
+    maps = [np.searchsorted(words, r[0]) for r in read]
+    out = {}
+    for length in (2, 3):
+        columns = [np.concatenate(c) for c in zip(*[[m[x] for x in _split(r[1][length], length)] for r, m in zip(read, maps)])]
+        numbers = np.concatenate([r[2][length] for r in read])
+        # Two columns at a time, so that any number of words fits.
+        key = columns[0].astype(np.uint64)
+        for column in columns[1:]:
+            key, at = np.unique((key << np.uint64(32)) | column.astype(np.uint64), return_inverse=True)
+            place = np.zeros(len(key), dtype=np.int64)
+            place[at] = np.arange(len(at))
+            pairs, key = key, at.astype(np.uint64)
+        totals = np.bincount(at, numbers, len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, dtype=np.int64)
+        own = np.flatnonzero(totals >= lowest)
+        local = [c[place[own]] for c in columns]
+        out[length] = [words[c] for c in local], totals[own]
+        pairs = (local[0].astype(np.uint64) << np.uint64(32)) | local[1].astype(np.uint64)
+        if length == 2:
+            contexts, own_counts = pairs, totals[own]
+        else:  # every context of a kept trigram is at least as frequent, so it is kept too
+            out[length] += (own_counts[np.searchsorted(contexts, pairs)],)
+    return out
 
 
 def _monotone(numbers: np.ndarray, pointers: np.ndarray) -> np.ndarray:
@@ -315,91 +411,193 @@ def _may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def build_shard(first: int, last: int, context_counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], discount: float) -> dict[str, np.ndarray]:
-    """Trie of the n-grams that begin with tokens from `first` up to `last`.
+def _level(name: str, parent: np.ndarray, child: np.ndarray, counts: np.ndarray, parent_counts: np.ndarray, discount: float) -> dict[str, np.ndarray]:
+    """Arrays of a level: the words after each context, and what they are worth."""
+    order = np.argsort((parent << 32) | child)
+    parent, child, counts = parent[order], child[order], counts[order]
+    del order
+    share = (counts - discount) / parent_counts[parent]
+    left = 1 - np.bincount(parent, share, len(parent_counts))
+    pointers = np.searchsorted(parent, np.arange(len(parent_counts) + 1))
+    out = _code(share, f"a{name}") | _code(left, f"m{name}")
+    out |= EliasFano.of(pointers.astype(np.int64)).arrays(f"p{name}")
+    out |= EliasFano.of(_monotone(child, pointers)).arrays(f"g{name}")
+    out[f"f{name}"] = _bit_filter((parent.astype(np.uint64) << np.uint64(32)) | child.astype(np.uint64))
+    return out
+
+
+def build_shard(rows: dict[int, list[np.ndarray]], counts_of, discount: float) -> dict[str, np.ndarray]:
+    """Trie of the n-grams whose contexts are dealt to the shard.
 
-    `grams`: by length, packed keys in order and their counts; `context_counts`: how often
-    each first token has a token after it.
+    `rows`, columns of tokens and then of counts: 1 has tokens without a small number, 2
+    bigrams, 3 trigrams, with the counts of their contexts last. `counts_of`: how often each
+    of some tokens has a token after it.
     """
-    mask = np.uint64((1 << ID_BITS) - 1)
-    out: dict[str, np.ndarray] = {}
-    parents = np.arange(first, last, dtype=np.uint64)
-    parent_counts = context_counts
-    for length in (2, 3):
-        keys, counts = grams[length]
-        # Every prefix of a kept n-gram is at least as frequent, so it is kept too.
-        parent = np.searchsorted(parents, keys >> np.uint64(ID_BITS))
-        share = (counts - discount) / parent_counts[parent]
-        left = 1 - np.bincount(parent, share, len(parents))
-        pointers = np.searchsorted(parent, np.arange(len(parents) + 1))
-        out |= _code(share, f"a{length}") | _code(left, f"m{length - 1}")
-        out |= EliasFano.of(pointers.astype(np.int64)).arrays(f"p{length}")
-        out |= EliasFano.of(_monotone((keys & mask).astype(np.int64), pointers)).arrays(f"g{length}")
-        out[f"f{length}"] = _bit_filter(keys)
-        parents, parent_counts = keys, counts
-    return out
+    single, counts = rows[1]
+    order = np.argsort(single)
+    words = np.unique(np.concatenate([*map(np.unique, rows[2][:2]), *map(np.unique, rows[3][:3])]))
+    out = {"words": words, "single": single[order], "counts": counts[order]}
+    first, second = (np.searchsorted(words, c) for c in rows[2][:2])
+    contexts, parent = np.unique(first, return_inverse=True)
+    out |= EliasFano.of(contexts).arrays("c2")
+    out |= _level("2", parent, second, rows[2][2], np.maximum(counts_of(words[contexts]), 1), discount)
+    pairs = (np.searchsorted(words, rows[3][0]) << 32) | np.searchsorted(words, rows[3][1])
+    contexts, at, parent = np.unique(pairs, return_index=True, return_inverse=True)
+    del pairs
+    out |= EliasFano.of(contexts).arrays("c3")
+    return out | _level("3", parent, np.searchsorted(words, rows[3][2]), rows[3][3], rows[3][4][at], discount)
+
+
+def _placed(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Place of each value among rising ones, or -1."""
+    at = np.minimum(np.searchsorted(among, values), max(len(among) - 1, 0))
+    return np.where(among[at] == values, at, -1) if len(among) else np.full(len(values), -1, dtype=np.int64)
 
 
 class Shard:
-    def __init__(self, first: int, last: int, arrays: dict[str, np.ndarray]):
-        self.first, self.last, self.arrays = first, last, arrays
-        self.pointers = {n: EliasFano.from_arrays(f"p{n}", arrays) for n in (2, 3)}
-        self.grams = {n: EliasFano.from_arrays(f"g{n}", arrays) for n in (2, 3)}
-
-    def child(self, length: int, parent: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Where in the level the token is among the children of each parent, or -1."""
-        begin, end = self.pointers[length].get(parent), self.pointers[length].get(parent + 1)
+    """The shard at a place among a number of them."""
+
+    def __init__(self, place: int, number: int, arrays: dict[str, np.ndarray]):
+        self.place, self.number, self.arrays = place, number, arrays
+        self.contexts, self.pointers, self.grams = ({n: EliasFano.from_arrays(f"{k}{n}", arrays) for n in (2, 3)} for k in "cpg")
+
+    def child(self, level: int, parent: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Where in the level the word is among the children of each context, or -1."""
+        begin, end = self.pointers[level].get(parent), self.pointers[level].get(parent + 1)
         out = np.full(len(parent), -1, dtype=np.int64)
         own = np.flatnonzero(begin < end)
         base = np.zeros(len(own), dtype=np.int64)
         later = begin[own] > 0
-        base[later] = self.grams[length].get(begin[own][later] - 1)
-        out[own] = self.grams[length].find(number[own] + base, begin[own], end[own])
+        base[later] = self.grams[level].get(begin[own][later] - 1)
+        out[own] = self.grams[level].find(number[own] + base, begin[own], end[own])
         return out
 
+    def shares(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a of the word after each context, and what the context leaves; -1 is no word."""
+        a, m = np.zeros(len(context)), np.ones(len(context))
+        held = self.contexts[level]
+        parent = held.find(context, np.zeros(len(context), dtype=np.int64), np.full(len(context), held.size, dtype=np.int64))
+        own = np.flatnonzero(parent >= 0)
+        m[own] = _decode(self.arrays, f"m{level}", parent[own])
+        own = own[word[own] >= 0]
+        own = own[_may_hold(self.arrays[f"f{level}"], (parent[own].astype(np.uint64) << np.uint64(32)) | word[own].astype(np.uint64))]
+        at = self.child(level, parent[own], word[own])
+        a[own[at >= 0]] = _decode(self.arrays, f"a{level}", at[at >= 0])
+        return a, m
+
+    def answer(self, words: np.ndarray, grams: dict[int, np.ndarray]) -> list[np.ndarray]:
+        """Counts of single tokens, then a and what is left for bigrams and for trigrams."""
+        at = _placed(words[grams[1].astype(np.int64)], self.arrays["single"])
+        counts = np.zeros(len(at), dtype=np.int64)
+        counts[at >= 0] = self.arrays["counts"][at[at >= 0]]
+        local = _placed(words, self.arrays["words"])
+        v, w = (local[c] for c in _split(grams[2], 2))
+        two = self.shares(2, v, w)
+        u, v, w = (local[c] for c in _split(grams[3], 3))
+        return [counts, *two, *self.shares(3, np.where((u >= 0) & (v >= 0), (u << 32) | v, -1), w)]
+
+
+class _Probes:
+    """The distinct n-grams of a run that shards are asked for, by length.
+
+    Runs are numbers of tokens, as places in a list of distinct ones; the first `skip` places
+    only lead in.
+    """
 
-def _by_shard(shards: list[Shard], numbers: np.ndarray, open_: np.ndarray):
-    """Shards, each with the open places whose number is in its range."""
-    own = np.flatnonzero(open_)
-    shard = np.searchsorted([s.first for s in shards], numbers[own], side="right") - 1
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(len(shards) + 1))
-    for k, (begin, end) in enumerate(zip(bounds, bounds[1:])):
-        places = own[order[begin:end]]
-        places = places[numbers[places] < shards[k].last]
-        if len(places):
-            yield shards[k], places
+    def __init__(self, words: np.ndarray, at: np.ndarray, skip: int, shards: int):
+        n = words[at]
+        inside = n != 0  # a beginning is no token
+        inside[:skip] = False
+        two = np.flatnonzero(inside[1:] & (n[:-1] >= 0)) + 1
+        three = two[two > 1]
+        three = three[(n[three - 1] > 0) & (n[three - 2] >= 0)]
+        self.size, self.words, self.shards = len(n), words, shards
+        self.places = {2: two, 3: three}
+        single = np.flatnonzero(words >= HASHED)
+        self.keys, self.inverse = {1: single.astype(np.uint64)}, {}
+        for length, own in self.places.items():
+            self.keys[length], self.inverse[length] = np.unique(_packed([at[own - k] for k in reversed(range(length))]), return_inverse=True)
+        first, (second, third) = words[_split(self.keys[2], 2)[0]], (words[c] for c in _split(self.keys[3], 3)[:2])
+        self.order, self.bounds = {}, {}
+        for length, spot in {1: _one_spot(words[single]), 2: _one_spot(first), 3: _two_spot(second, third)}.items():
+            shard = (spot * shards) >> 32
+            self.order[length] = np.argsort(shard, kind="stable")
+            self.bounds[length] = np.searchsorted(shard[self.order[length]], np.arange(shards + 1))
+
+    def _at(self, length: int, shard: int) -> np.ndarray:
+        return self.order[length][self.bounds[length][shard] : self.bounds[length][shard + 1]]
+
+    def of(self, shard: int) -> dict[int, np.ndarray]:
+        return {k: keys[self._at(k, shard)] for k, keys in self.keys.items()}
+
+    def filled(self, answers) -> tuple[np.ndarray, ...]:
+        """For every place: a and mass left from its bigram, then from its trigram; and for
+        every word the count that a shard has of it. `answers`: shards and what they said."""
+        counts, a2, m1, a3, m2 = (np.full(len(self.keys[k]), fill) for k, fill in ((1, 0), (2, 0.0), (2, 1.0), (3, 0.0), (3, 1.0)))
+        for shard, answer in answers:
+            for length, out, values in zip((1, 2, 2, 3, 3), (counts, a2, m1, a3, m2), answer):
+                out[self._at(length, shard)] = values
+        whole = []
+        for length, values, fill in ((2, a2, 0.0), (2, m1, 1.0), (3, a3, 0.0), (3, m2, 1.0)):
+            out = np.full(self.size, fill)
+            out[self.places[length]] = values[self.inverse[length]]
+            whole.append(out)
+        by_word = np.zeros(len(self.words), dtype=np.int64)
+        by_word[self.keys[1].astype(np.int64)] = counts
+        return *whole, by_word
 
 
 def _lookups(shards: list[Shard], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every place of a stream: a and mass left from its bigram, then from its trigram."""
-    size = len(n)
-    a2, m1, a3, m2 = np.zeros(size), np.ones(size), np.zeros(size), np.ones(size)
-    before, further = np.full(size, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64)
-    before[1:], further[2:] = n[:-1], n[:-2]
-    bits = np.uint64(ID_BITS)
-    inside = n != 0  # a beginning is no token
-    for shard, own in _by_shard(shards, before, inside & (before >= 0)):
-        m1[own] = _decode(shard.arrays, "m1", before[own] - shard.first)
-        own = own[n[own] > 0]
-        keys = (before[own].astype(np.uint64) << bits) | n[own].astype(np.uint64)
-        own = own[_may_hold(shard.arrays["f2"], keys)]
-        at = shard.child(2, before[own] - shard.first, n[own])
-        a2[own[at >= 0]] = _decode(shard.arrays, "a2", at[at >= 0])
-    # The context of two tokens, whatever comes after it.
-    for shard, own in _by_shard(shards, further, inside & (further >= 0) & (before > 0)):
-        keys = (further[own].astype(np.uint64) << bits) | before[own].astype(np.uint64)
-        own = own[_may_hold(shard.arrays["f2"], keys)]
-        context = shard.child(2, further[own] - shard.first, before[own])
-        own, context = own[context >= 0], context[context >= 0]
-        m2[own] = _decode(shard.arrays, "m2", context)
-        own, context = own[n[own] > 0], context[n[own] > 0]
-        keys = (((further[own].astype(np.uint64) << bits) | before[own].astype(np.uint64)) << bits) | n[own].astype(np.uint64)
-        held = _may_hold(shard.arrays["f3"], keys)
-        own, context = own[held], context[held]
-        at = shard.child(3, context, n[own])
-        a3[own[at >= 0]] = _decode(shard.arrays, "a3", at[at >= 0])
-    return a2, m1, a3, m2
+    words, at = np.unique(n, return_inverse=True)
+    probes = _Probes(words, at, 0, shards[0].number if shards else 1)
+    return probes.filled((s.place, s.answer(words, probes.of(s.place))) for s in shards)[:4]
+
+
+def _answered(answer: list[np.ndarray], packer) -> bytes:
+    parts = [np.array([len(a) for a in answer], dtype="<i8").tobytes(), answer[0].astype("<i8").tobytes()]
+    for values, none in zip(answer[1:], (0, 1, 0, 1)):
+        code = np.minimum(1 + np.rint(-np.log10(np.maximum(values, 1e-12)) / STEP), 65_535)
+        parts.append(np.where(values == none, 0, code).astype("<u2").tobytes())
+    return packer.compress(b"".join(parts))
+
+
+def _read_answer(raw: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
+    sizes, data = data[:40].view("<i8").tolist(), data[40:]
+    out, data = [data[: 8 * sizes[0]].view("<i8")], data[8 * sizes[0] :]
+    for size, none in zip(sizes[1:], (0.0, 1.0, 0.0, 1.0)):
+        code, data = data[: 2 * size].view("<u2").astype(np.float64), data[2 * size :]
+        out.append(np.where(code == 0, none, 10.0 ** ((1 - code) * STEP)))
+    return out
+
+
+def _run_block(n: np.ndarray, first_row: int, skip: int, packer) -> bytes:
+    """A run of texts, or of a part of one, as distinct tokens and places among them."""
+    words, at = np.unique(n, return_inverse=True)
+    planes = np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes()
+    return packer.compress(np.array([len(words), len(n), first_row, skip], dtype="<i8").tobytes() + _planes(words + 1) + planes)
+
+
+def _read_run(raw: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
+    data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
+    count, size, first_row, skip = data[:32].view("<i8").tolist()
+    words, planes = _from_planes(data[32:], count).astype(np.int64) - 1, data[32 + 8 * count :].reshape(3, size).astype(np.int64)
+    return words, planes[0] | planes[1] << 8 | planes[2] << 16, first_row, skip
+
+
+ROWS = "kind int, spot long, a long, b long, c long, n long, context long"
+
+
+def _rows(found: list[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray | None]]) -> dict[str, np.ndarray]:
+    """Columns of ROWS from kinds, spots, tokens, counts and counts of contexts."""
+    out: dict[str, list[np.ndarray]] = {name: [] for name in ("kind", "spot", "a", "b", "c", "n", "context")}
+    for kind, spot, columns, counts, contexts in found:
+        none = np.zeros(len(counts), dtype=np.int64)
+        values = np.full(len(counts), kind, dtype=np.int32), spot, *[*columns, none, none][:3], counts, none if contexts is None else contexts
+        for name, column in zip(out, values):
+            out[name].append(column)
+    return {name: np.concatenate(values) for name, values in out.items()}
 
 
 def train(documents: DataFrame, text: str = "text", settings: LmSettings | None = None) -> Trained:
@@ -411,91 +609,161 @@ def train(documents: DataFrame, text: str = "text", settings: LmSettings | None
     counts = written(_token_counts(documents, text, settings))
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("h") == int(END_HASH.astype(np.int64)), F.col("c"))).alias("texts")).first()
     tokens, distinct, texts = total["n"] or 0, total["v"], total["texts"] or 0
-    head = _head(counts, tokens, folder, settings)
-    by_rank = _mapped(folder, head)["by_rank"][: 1 << ID_BITS].copy()
-    cuts = _ranges(by_rank, texts, settings)
+    head, whole = _head(counts, tokens, folder, settings)
     lowest = _lowest_count(settings.gram_share, tokens)
     discount = settings.discount
     parts = max(1, int(np.ceil(2 * tokens / settings.part_tokens)))
     blocks = _grams(documents, text, folder, head, parts, settings)
 
     def merge(group):
-        lengths, held = group["length"].to_numpy(), group["block"].to_pylist()
-        columns = {"range": [], "length": [], "gram": [], "n": []}
-        for length in (2, 3):
-            keys, numbers = _merged([b for b, k in zip(held, lengths) if k == length])
-            keys, numbers = keys[numbers >= lowest], numbers[numbers >= lowest]
-            first = (keys >> np.uint64(ID_BITS * (length - 1))).astype(np.int64)
-            columns["range"].append((np.searchsorted(cuts, first, side="right") - 1).astype(np.int32))
-            columns["length"].append(np.full(len(keys), length, dtype=np.int32))
-            columns["gram"].append(keys.view(np.int64))
-            columns["n"].append(numbers)
-        return pa.table({name: np.concatenate(c) for name, c in columns.items()})
-
-    kept = written(blocks.groupBy("part").applyInArrow(merge, "range int, length int, gram long, n long"))
-    # One number per range: where the next shard begins.
-    sizes = {r["range"]: r["count"] for r in kept.groupBy("range").count().collect()}
-    begins, size = [0], 0
-    for k in range(len(cuts)):
-        if size >= settings.shard_grams:
-            begins.append(k)
-            size = 0
-        size += sizes.get(k, 0)
-    firsts = cuts[begins]
-    lasts = np.append(firsts[1:], len(by_rank))
-    shard_of = sum((F.col("range") >= b).cast("int") for b in begins) - 1
-    arrays = _mapped(folder, head)
-    place = _Head(arrays).find(np.array([END_HASH]))[0]
-    end_rank = int(arrays["rank"][place]) if place >= 0 else -1
+        found = _merged(group["block"].to_pylist(), lowest)
+        (u, v), n2 = found[2]
+        (x, y, z), n3, context = found[3]
+        return pa.table(_rows([(2, _one_spot(u), [u, v], n2, None), (3, _two_spot(x, y), [x, y, z], n3, context)]))
+
+    kept = written(blocks.groupBy("part").applyInArrow(merge, ROWS))
+    number = max(1, int(np.ceil(kept.count() / settings.shard_grams)))
+
+    def singles(batches):
+        own = _Head(_mapped(folder, head))
+        for batch in batches:
+            hashes, numbers = batch["h"].to_numpy().view(np.uint64), batch["c"].to_numpy()
+            rest = own.find(hashes) < 0
+            token = _hashed(hashes[rest])
+            yield pa.RecordBatch.from_pydict(_rows([(1, _one_spot(token), [token], numbers[rest], None)]))
+
+    if not whole:  # n-grams may hold tokens of which no file has the counts
+        kept = kept.unionByName(counts.where(F.col("c") >= 2).select("h", "c").mapInArrow(singles, ROWS))
 
     def build(key, group):
         shard = key[0].as_py()
-        first, last = int(firsts[shard]), int(lasts[shard])
-        context = np.array(_mapped(folder, head)["by_rank"][first:last], dtype=np.int64)
-        if first == 0:
-            context[0] = texts
-        if first <= end_rank < last:  # nothing comes after an end
-            context[end_rank - first] = 1
-        grams = {}
-        for length in (2, 3):
-            rows = group.filter(pa.compute.equal(group["length"], length)).sort_by("gram")
-            grams[length] = rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-        made = build_shard(first, last, np.maximum(context, 1), grams, discount)
+        by_rank = _mapped(folder, head)["by_rank"]
+        rows = {}
+        for kind, names in {1: ["a", "n"], 2: ["a", "b", "n"], 3: ["a", "b", "c", "n", "context"]}.items():
+            own = pa.compute.equal(group["kind"], kind)
+            rows[kind] = [group[name].filter(own).to_numpy() for name in names]
+        single, numbers = rows[1]
+        order = np.argsort(single)
+
+        def counts_of(token):
+            out = np.where(token == 0, texts, by_rank[np.where(token < HASHED, token, 0)])
+            far = token >= HASHED
+            out[far] = numbers[order][np.searchsorted(single[order], token[far])]
+            return out
+
+        made = build_shard(rows, counts_of, discount)
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [_save(folder, f"shard-{shard:04d}", to_file(made))]})
 
-    made = written(kept.withColumn("shard", shard_of.cast("int")).groupBy("shard").applyInArrow(build, "shard int, path string"))
-    shards = [(int(firsts[r["shard"]]), int(lasts[r["shard"]]), r["path"]) for r in sorted(made.collect())]
+    shard = F.shiftright(F.col("spot") * number, 32).cast("int")
+    made = written(kept.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, path string"))
+    shards = [(r["shard"], number, r["path"]) for r in sorted(made.collect())]
     return Trained(tokens, distinct, folder, head, shards, counts)
 
 
-def score(documents: DataFrame, model: Trained, keep: list[str], text: str = "text") -> DataFrame:
+def _trie_scores(runs: DataFrame, model: Trained) -> DataFrame:
+    """row and the score of its tokens, without p(w) of the tail, in parts of long texts.
+
+    `runs`: run and block. A group of runs meets one shard at a time.
+    """
+    folder, head, whole = model.folder, model.head, float(np.log10(model.tokens + model.distinct + 1))
+    files = {place: path for place, _, path in model.shards}
+    number = model.shards[0][1] if model.shards else 1
+
+    def asked(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for run, raw in zip(batch["run"].to_pylist(), batch["block"]):
+                words, at, _, skip = _read_run(raw.as_py())
+                probes = _Probes(words, at, skip, number)
+                grams = {shard: probes.of(shard) for shard in files}
+                grams = {shard: g for shard, g in grams.items() if any(map(len, g.values()))}
+                blocks = [_block(words, g, packer) for g in grams.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.int32()), pa.array([run] * len(grams), pa.int64()), pa.array(blocks, pa.binary())], names=["shard", "run", "block"])
+
+    def answered(key, group):
+        place = key[0].as_py()
+        shard = Shard(place, number, _mapped(folder, files[place]))
+        packer = zstandard.ZstdCompressor(level=1)
+        out = [_answered(shard.answer(*_unblock(raw.as_py())[:2]), packer) for raw in group["block"]]
+        return pa.table({"run": group["run"], "shard": group["shard"], "answer": pa.array(out, pa.binary())})
+
+    def finished(left, right):
+        by_rank = _mapped(folder, head)["by_rank"]
+        answers = [(s, _read_answer(raw.as_py())) for s, raw in zip(right["shard"].to_pylist(), right["answer"])]
+        words, at, first_row, skip = _read_run(left["block"][0].as_py())
+        a2, m1, a3, m2, far = _Probes(words, at, skip, number).filled(answers)
+        # -1 and tokens that no shard counts enter as a factor.
+        counts = np.where((words > 0) & (words < HASHED), by_rank[np.where((words > 0) & (words < HASHED), words, 0)], far)[at]
+        unigram = (counts + 1) / 10.0**whole
+        p = np.where(counts > 0, a3 + m2 * (a2 + m1 * unigram), m2 * m1)
+        logs = np.log10(np.maximum(p, 1e-300))
+        n = words[at]
+        tail = (far[at] > 0) & (n >= HASHED)
+        logs[tail] -= np.log10(unigram[tail])
+        begin = n == 0
+        row = np.cumsum(begin) - begin[0]
+        own = np.flatnonzero(~begin[skip:]) + skip
+        rows, local = np.unique(row[own], return_inverse=True)
+        return pa.table({"row": rows + first_row, "score": np.bincount(local, logs[own], len(rows)).astype(np.float64)})
+
+    requests = runs.mapInArrow(asked, "shard int, run long, block binary")
+    # No more than some hundred runs meet a shard in one task, however frequent a context is.
+    slices = max(1, runs.count() // 128)
+    answers = requests.groupBy("shard", F.pmod(F.xxhash64("run"), F.lit(slices)).alias("slice")).applyInArrow(answered, "run long, shard int, answer binary")
+    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(finished, "row long, score double")
+
+
+def score(documents: DataFrame, model: Trained, keep: list[str], text: str = "text", settings: LmSettings | None = None) -> DataFrame:
     """The columns to keep, n_tokens, n_known, base_score and score of every row."""
+    settings = settings or LmSettings()
+    limit = max(16, min(settings.held // 4, 1 << 19))
     spark = documents.sparkSession
     ship(spark)
-    folder, head, files = model.folder, model.head, model.shards
+    folder, head = model.folder, model.head
     whole = float(np.log10(model.tokens + model.distinct + 1))
     source = documents.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(text).alias("text"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in source.schema][:-1])
-    schema += ", row long, n_tokens long, head_known long, head_score double, trie_score double, tail array<long>, tail_counts array<int>"
+    schema += ", row long, n_tokens long, head_known long, head_score double, tail array<long>, tail_counts array<int>, blocks array<binary>"
 
     def run(batches):
         from pyspark import TaskContext
 
         own_head = _Head(_mapped(folder, head))
-        shards = [Shard(first, last, _mapped(folder, path)) for first, last, path in files]
+        packer = zstandard.ZstdCompressor(level=1)
         row = TaskContext.get().partitionId() << 40
+        waiting, size, first_row, pending = [], 0, row, None
+
+        def with_blocks(arrays, names, blocks):
+            held = [blocks or None] + [None] * (len(arrays[0]) - 1)
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(held, pa.list_(pa.binary()))], names=[*names, "blocks"])
+
+        def gathered():
+            return [_run_block(np.concatenate(waiting), first_row, 0, packer)] if waiting else []
+
         for batch in batches:
             for piece in pieces(batch.column(batch.num_columns - 1)):
                 s = _Stream(piece, own_head)
-                a2, m1, a3, m2 = _lookups(shards, s.gram)
+                n = s.gram
+                blocks = []
+                if size + len(n) > limit:
+                    blocks, waiting, size = gathered(), [], 0
+                if pending:
+                    yield with_blocks(*pending, blocks)
+                    blocks = []
+                if not waiting:
+                    first_row = row
+                if len(n) > limit:
+                    at = 0
+                    for part, skip in _runs(n, limit):
+                        blocks.append(_run_block(part, row + int(s.text[at]), skip, packer))
+                        at += len(part) - 2 - skip if not skip else len(part) - skip
+                else:
+                    waiting.append(n)
+                    size += len(n)
                 known = s.place >= 0
                 count = np.where(known, own_head.counts[s.place] if len(own_head.counts) else 0, 0)
-                unigram = (count + 1) / 10.0**whole
                 token = ~s.begin
-                p = np.where(known, a3 + m2 * (a2 + m1 * unigram), m2 * m1)
-                logs = np.log10(np.maximum(p, 1e-300))
                 base_logs = np.log10(count + 1.0) - whole
-                per_text = lambda values, mask: np.bincount(s.text[mask], values[mask], s.rows).astype(np.float64)
                 tail = np.flatnonzero(token & ~known)
                 order = np.lexsort((s.hashes[tail], s.text[tail]))
                 tail = tail[order]
@@ -505,33 +773,39 @@ def score(documents: DataFrame, model: Trained, keep: list[str], text: str = "te
                 numbers = np.diff(np.append(at, len(tail)))
                 offsets = pa.array(np.searchsorted(s.text[tail[at]], np.arange(s.rows + 1)).astype(np.int32))
                 own = batch.slice(piece.row, piece.rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *own.columns[:-1],
-                        pa.array(np.arange(row, row + s.rows)),
-                        pa.array(s.sizes.astype(np.int64)),
-                        pa.array(np.bincount(s.text[token & known], minlength=s.rows)),
-                        pa.array(per_text(base_logs, token & known)),
-                        pa.array(per_text(logs, token)),
-                        pa.ListArray.from_arrays(offsets, pa.array(s.hashes[tail[at]].view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(numbers.astype(np.int32))),
-                    ],
-                    names=[*own.schema.names[:-1], "row", "n_tokens", "head_known", "head_score", "trie_score", "tail", "tail_counts"],
-                )
+                arrays = [
+                    *own.columns[:-1],
+                    pa.array(np.arange(row, row + s.rows)),
+                    pa.array(s.sizes.astype(np.int64)),
+                    pa.array(np.bincount(s.text[token & known], minlength=s.rows)),
+                    pa.array(np.bincount(s.text[token & known], base_logs[token & known], s.rows).astype(np.float64)),
+                    pa.ListArray.from_arrays(offsets, pa.array(s.hashes[tail[at]].view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(numbers.astype(np.int32))),
+                ]
+                pending = arrays, [*own.schema.names[:-1], "row", "n_tokens", "head_known", "head_score", "tail", "tail_counts"]
+                if blocks:
+                    yield with_blocks(*pending, blocks)
+                    pending = None
                 row += s.rows
+        if pending:
+            yield with_blocks(*pending, gathered())
 
     part = written(source.mapInArrow(run, schema))
+    # A run goes by the row that its blocks came with, and its place among them.
+    runs = part.where(F.col("blocks").isNotNull()).select("row", F.posexplode("blocks").alias("at", "block")).select(F.xxhash64("row", "at").alias("run"), "block")
     tails = part.select("row", F.explode(F.arrays_zip("tail", "tail_counts")).alias("t")).select("row", F.col("t.tail").alias("h"), F.col("t.tail_counts").alias("n"))
     met = tails.join(model.counts, "h", "left")
     known: Column = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
     term = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(whole))
-    sums = met.groupBy("row").agg(F.sum(known).alias("tail_known"), F.sum(term).alias("tail_score"))
-    out = part.drop("tail", "tail_counts").join(sums, "row", "left")
+    found = met.select("row", known.cast("long").alias("tail_known"), term.alias("tail_score"), F.lit(0.0).alias("trie_score"))
+    told = _trie_scores(runs, model).select("row", F.lit(0).cast("long").alias("tail_known"), F.lit(0.0).alias("tail_score"), F.col("score").alias("trie_score"))
+    sums = found.unionByName(told).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("tail_known", "tail_score", "trie_score")])
+    out = part.drop("tail", "tail_counts", "blocks").join(sums, "row", "left")
     tail = F.coalesce("tail_score", F.lit(0.0))
     return out.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
         (F.col("head_score") + tail).alias("base_score"),
-        (F.col("trie_score") + tail).alias("score"),
+        (F.coalesce("trie_score", F.lit(0.0)) + tail).alias("score"),
     )

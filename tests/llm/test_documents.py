@@ -248,6 +248,28 @@ def test_scores_are_those_of_the_model_said_by_hand(spark, nothing):
     assert lm_scoring.score(nothing, model, ["doc_id"]).collect() == []
 
 
+@pytest.mark.parametrize("numbered", [1 << 20, 15])
+def test_every_repeated_ngram_is_kept(spark, numbered):
+    """Whatever the size of the corpus, and though few tokens have a small number."""
+    assert {lm_scoring._lowest_count(lm_scoring.LmSettings().gram_share, 10**k) for k in (3, 9, 12)} == {2}
+    assert lm_scoring._lowest_count(lm_scoring.LmSettings().head_share, 10**12) == 2
+    draw = random.Random(8)
+    word = lambda: f"w{int(draw.paretovariate(0.7))}"
+    texts = [" ".join(word() for _ in range(draw.choice([0, 9, 40]))) for _ in range(150)] + [" ".join(word() for _ in range(1500)), None, "never seen"]
+    training = [k % 5 != 2 for k in range(len(texts))]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    settings = lm_scoring.LmSettings(numbered=numbered, part_tokens=3000, held=1200, shard_grams=150)
+    model = lm_scoring.train(documents.where("doc_id % 5 <> 2"), settings=settings)
+    total, want = brute.language_model(texts, training, 0, 0, settings.discount)
+    assert model.tokens == total and len(model.shards) > 1
+    rows = {r["doc_id"]: r for r in lm_scoring.score(documents, model, ["doc_id"], settings=settings).collect()}
+    assert len(rows) == len(texts)
+    for k, (n, known, base, score) in enumerate(want):
+        assert (rows[k]["n_tokens"], rows[k]["n_known"]) == (n, known)
+        assert rows[k]["base_score"] == pytest.approx(base)
+        assert abs(rows[k]["score"] - score) <= 0.01 * n
+
+
 def test_scoring_awkward_documents_and_learning_from_none(spark, awkward, nothing):
     model = lm_scoring.train(nothing)
     assert {(r["base_score"], r["score"], r["n_known"]) for r in lm_scoring.score(awkward, model, ["doc_id"]).collect()} == {(0.0, 0.0, 0)}
