@@ -64,9 +64,12 @@ def _shapes() -> np.ndarray:
 
 _SHAPE = _shapes()
 
+#: Counts from here on don't fit in two bytes with the others.
+FULL = 65_535
+
 
 def trigram_counts(piece: Piece, bits: int) -> np.ndarray:
-    """Per text: counts of hashed byte trigrams, then of shape trigrams, 65,535 at most."""
+    """Per text: counts of hashed byte trigrams, then of shape trigrams."""
     size = 1 << bits
     out = np.zeros((piece.rows, 2 * size), dtype=np.float32)
     if len(piece.data) < 3:
@@ -79,14 +82,18 @@ def trigram_counts(piece: Piece, bits: int) -> np.ndarray:
         hashed ^= hashed >> np.uint32(15)
         hashed *= np.uint32(0x2C1B3C6D)
         place = (hashed >> np.uint32(32 - bits)).astype(np.int64)[same]
-        counts = np.minimum(np.bincount(at + place, minlength=piece.rows * size), 65_535)
-        out[:, k * size : (k + 1) * size] = counts.reshape(piece.rows, size)
+        out[:, k * size : (k + 1) * size] = np.bincount(at + place, minlength=piece.rows * size).reshape(piece.rows, size)
     return out
 
 
 def weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """Damped counts times rarity; bytes and shapes at unit length each."""
-    out = np.log1p(counts, dtype=np.float32) * rarity
+    return _scaled(np.log1p(counts, dtype=np.float32), rarity)
+
+
+def _scaled(out: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The same from counts that are damped already, in place."""
+    out *= rarity
     half = out.shape[1] // 2
     for part in (out[:, :half], out[:, half:]):
         part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
@@ -97,12 +104,16 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
-def fit_arrays(counts: np.ndarray, labels: np.ndarray, settings: KnnSettings) -> Neighbours:
+def fit_arrays(counts: np.ndarray, labels: np.ndarray, settings: KnnSettings, large: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Neighbours:
+    """`large`: rows and places of counts that are not in `counts` as a whole, and these."""
     rows, size = counts.shape
     rarity = np.log((1 + rows) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     if not rows:
         return Neighbours(rarity, np.zeros((size, settings.width), np.float32), np.zeros((0, settings.width), np.float32), labels)
-    matrix = weighted(counts, rarity)
+    matrix = np.log1p(counts, dtype=np.float32)
+    if large is not None:
+        matrix[large[:2]] = np.log1p(large[2], dtype=np.float32)
+    matrix = _scaled(matrix, rarity)
     random = np.random.Generator(np.random.PCG64(settings.seed))
     width = min(settings.width, rows)
     # Leading right singular vectors: a few rounds of subspace iteration.
@@ -146,14 +157,17 @@ def fit(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str
     def run(batches):
         for batch in batches:
             for piece in pieces(batch["text"]):
-                counts = trigram_counts(piece, settings.bits).astype("<u2")
+                counts = trigram_counts(piece, settings.bits)
                 own = batch.slice(piece.row, piece.rows)
-                packed = [c.tobytes() for c in counts]
-                yield pa.RecordBatch.from_arrays([own["key"], own["label"].cast(pa.int32()), pa.array(packed, pa.binary())], names=["key", "label", "counts"])
+                packed = [c.tobytes() for c in np.minimum(counts, FULL).astype("<u2")]
+                # Counts that two bytes don't hold follow as a whole, each with its place.
+                over = [[(int(k), int(c[k])) for k in np.flatnonzero(c >= FULL)] for c in counts]
+                pairs = pa.array([[x for pair in row for x in pair] for row in over], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([own["key"], own["label"].cast(pa.int32()), pa.array(packed, pa.binary()), pairs], names=["key", "label", "counts", "large"])
 
     kind = sample.schema["key"].dataType.simpleString()
-    rows = labelled_texts(documents, sample, key, text).mapInArrow(run, f"key {kind}, label int, counts binary").toArrow()
-    # Held as they came, two bytes a count; in the order of the ids for the sake of ties.
+    rows = labelled_texts(documents, sample, key, text).mapInArrow(run, f"key {kind}, label int, counts binary, large array<long>").toArrow()
+    # Held as they came, two bytes a count and the large ones apart; in the order of the ids for the sake of ties.
     order = np.argsort(rows["key"].to_numpy(), kind="stable")
     counts = np.empty((len(rows), 2 << settings.bits), dtype=np.uint16)
     at = 0
@@ -163,8 +177,13 @@ def fit(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str
             counts[at : at + len(chunk)] = own[chunk.offset : chunk.offset + len(chunk)]
             at += len(chunk)
     labels = rows["label"].to_numpy().astype(np.float32)
+    sizes = pa.compute.list_value_length(rows["large"]).to_numpy().astype(np.int64) // 2
+    pairs = pa.compute.list_flatten(rows["large"]).to_numpy().reshape(-1, 2)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    large = np.repeat(place, sizes), pairs[:, 0], pairs[:, 1]
     del rows
-    return fit_arrays(counts[order], labels[order], settings)
+    return fit_arrays(counts[order], labels[order], settings, large)
 
 
 def score(documents: DataFrame, fitted: Neighbours, keep: list[str], text: str = "text", settings: KnnSettings | None = None, score_column: str = "score") -> DataFrame:

@@ -50,6 +50,18 @@ def test_trigrams_are_counted_within_texts(spark):
     assert counts[0].max() == 4  # all four trigrams have one shape
 
 
+def test_counts_of_long_texts_are_whole(spark):
+    texts = ["ab " * 60_000, "abc" * 50_000, "one two three", "four five", "xyz " * 30]
+    counts = np.concatenate([quality_classifier.trigram_counts(p, KNN.bits) for p in pieces(pa.array(texts))])
+    assert counts[1].max() == 149_998 and counts[0].sum() == 2 * 179_998
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, y int")
+    fitted = quality_classifier.fit(documents, label_sample(labels, "doc_id", "y", 100), settings=KNN)
+    want = quality_classifier.fit_arrays(counts, np.array([0, 1, 0, 1, 0]), KNN)
+    assert np.allclose(fitted.vectors @ fitted.vectors.T, want.vectors @ want.vectors.T, atol=1e-4)
+    assert np.array_equal(fitted.rarity, want.rarity) and np.array_equal(fitted.labels, want.labels)
+
+
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
 def test_without_labels_or_documents(spark, awkward, nothing, module):
     none = spark.createDataFrame([], "doc_id long, y int")
