@@ -101,5 +101,67 @@ FROM d LEFT JOIN per_doc USING (r) LEFT JOIN items USING (r)
 """ % {"upper": _UPPER, "lower": _LOWER}
 
 
+# The crc32 of text is folded byte by byte over a table of 256 steps.
+_CRC_TABLE = """crc_steps AS (
+  SELECT list(v ORDER BY b) AS steps FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT range AS b FROM range(256))
+  )
+)"""
+
+
+def _crc32(octets: str) -> str:
+    """crc32 of a list of bytes; `steps` must be in scope."""
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda a, b: xor(a >> 8, steps[CAST(xor(a, b) & 255 AS BIGINT) + 1])), 4294967295)"
+
+
+_ID_BYTES = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE}, leaves AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN coalesce({_crc32(_ID_BYTES)}, 0) % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS claim
+  FROM documents, crc_steps
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS level, pos AS idx, size, leaf AS digest FROM numbered
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, (size + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes
+  WHERE size > 1 GROUP BY lang, level, idx // 2, size
+), subroots AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM nodes WHERE size = 1
+), tops AS (
+  SELECT 0 AS level, pos AS idx, size, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, (size + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops
+  WHERE size > 1 GROUP BY level, idx // 2, size
+), climbed AS (
+  SELECT n.doc_id, n.leaf, n.lang, n.claim, n.pos AS start, 0 AS level, n.pos AS idx, n.size, n.claim AS folded, '' AS path FROM numbered n
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.lang, c.claim, c.start, c.level + 1, c.idx // 2, (c.size + 1) // 2,
+    sha256(CASE WHEN c.idx % 2 = 1 THEN s.digest || c.folded ELSE c.folded || coalesce(s.digest, '') END), c.path || coalesce(s.digest, '')
+  FROM climbed c LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.idx = xor(c.idx, 1)
+  WHERE c.size > 1
+), upper AS (
+  SELECT c.doc_id, c.leaf, s.digest AS subroot, c.lang, c.start, 0 AS level, s.pos AS idx, s.size, c.folded, c.path
+  FROM climbed c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.size = 1
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.subroot, c.lang, c.start, c.level + 1, c.idx // 2, (c.size + 1) // 2,
+    sha256(CASE WHEN c.idx % 2 = 1 THEN s.digest || c.folded ELSE c.folded || coalesce(s.digest, '') END), c.path || coalesce(s.digest, '')
+  FROM upper c LEFT JOIN tops s ON s.level = c.level AND s.idx = xor(c.idx, 1)
+  WHERE c.size > 1
+)
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(path) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified
+FROM upper u, tops t WHERE u.size = 1 AND t.size = 1
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op2_url_filter": OP2, "op4_decontamination": OP4}
+    return {"op1_chat_formatting": OP1, "op2_url_filter": OP2, "op4_decontamination": OP4, "op12_merkle_manifest": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, urls
+from . import chat, decontamination, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, urls
 from .columns import crc_of_id
 from .labelled import label_sample
 
@@ -106,6 +106,29 @@ def op10_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op12_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    """Every leaf is proved; where 7 divides the crc32 of the id, of a row with one more n_chars."""
+    documents = table(spark, directory, "documents")
+    tampered = crc_of_id(F.col("doc_id")) % 7 == 0
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    leaf = merkle.leaf_digest(list(fields.values()))
+    other = merkle.leaf_digest(list((fields | {"n_chars": F.col("n_chars") + 1}).values()))
+    rows = documents.select("doc_id", "lang", leaf.alias("leaf"), F.when(tampered, other).alias("claim"))
+    manifest = merkle.build(rows, "lang", "doc_id", "leaf", ["doc_id", "claim"])
+    as_hex = lambda c: F.lower(F.hex(c))
+    proved = merkle.folded(manifest.proofs(), F.coalesce("claim", as_hex("digest")))
+    root = F.lit(manifest.root).cast("string")
+    return proved.select(
+        "doc_id",
+        as_hex("digest").alias("leaf"),
+        as_hex("subroot").alias("subroot"),
+        root.alias("root"),
+        F.sha2(as_hex("path"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == root).alias("verified"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_chat_formatting, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_quality_rules, op6_toxicity, op7_packing, op8_ngram_join, op9_token_files, op10_lm_scoring]
+    own = [op1_chat_formatting, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_quality_rules, op6_toxicity, op7_packing, op8_ngram_join, op9_token_files, op10_lm_scoring, op12_merkle_manifest]
     return {query.__name__: query for query in own}

@@ -1,0 +1,130 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from salesmart.llm import merkle, queries
+
+BUILD = merkle.build
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf_of(row, more=0):
+    parts = []
+    for name in FIELDS:
+        value = row[name]
+        if name == "n_chars" and value is not None:
+            value += more
+        parts.append("-" if value is None else f"{len(str(value).encode())}:{value}")
+    return digest("".join(parts))
+
+
+def levels_of(leaves):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([digest("".join(last[k : k + 2])) for k in range(0, len(last), 2)])
+    return levels
+
+
+def climb(levels, at, leaf):
+    """What the leaf at a place comes to, and its siblings."""
+    path = []
+    for level in levels[:-1]:
+        run = level[at // 2 * 2 : at // 2 * 2 + 2]
+        path += [s for k, s in enumerate(run) if k != at % 2]
+        run[at % 2] = leaf
+        leaf, at = digest("".join(run)), at // 2
+    return leaf, path
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row["lang"]].append(row)
+    order = sorted(groups, key=lambda g: b"" if g is None else b"\1" + g.encode())
+    own = {}
+    for g in order:
+        groups[g].sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf_of(r)))
+        own[g] = levels_of([leaf_of(r) for r in groups[g]])
+    crown = levels_of([own[g][-1][0] for g in order])
+    root, out = crown[-1][0], []
+    for k, g in enumerate(order):
+        for at, row in enumerate(groups[g]):
+            tampered = zlib.crc32(("" if row["doc_id"] is None else str(row["doc_id"])).encode()) % 7 == 0
+            top, low = climb(own[g], at, leaf_of(row, int(tampered)))
+            folded, high = climb(crown, k, top)
+            out.append((row["doc_id"], leaf_of(row), own[g][-1][0], root, digest("".join(low + high)), folded, folded == root))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 5, 8, 11, 16, 23, 64, 77])
+@pytest.mark.parametrize("extra", [0, 2])
+def test_places_and_paths_agree_with_a_tree_built_level_by_level(count, extra):
+    leaves = [hashlib.sha256(bytes([k])).digest() for k in range(count)]
+    height = merkle.tree_height(count) + extra
+    log = merkle.append_log(leaves, height)
+    levels = [leaves]
+    for _ in range(height):
+        levels.append([merkle.node(*levels[-1][k : k + 2]) for k in range(0, len(levels[-1]), 2)])
+    assert len(log) == sum(map(len, levels))
+    for level, nodes in enumerate(levels):
+        places = merkle.place_in_log(level, np.arange(len(nodes)), count)
+        assert [log[p] for p in places] == nodes
+    own, there = merkle.sibling_paths(np.frombuffer(b"".join(log), np.uint8).reshape(-1, merkle.SIZE), count, height)
+    for at in range(count):
+        siblings = [levels[k][(at >> k) ^ 1] for k in range(height) if (at >> k) ^ 1 < len(levels[k])]
+        assert b"".join(siblings) == own[at][there[at]].tobytes()
+        if not extra:
+            assert merkle.fold(leaves[at], [(at, count)], b"".join(siblings)) == levels[-1][0]
+
+
+def rows_of(frame):
+    return Counter(tuple(r) for r in frame.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect())
+
+
+def run_over(monkeypatch, spark, documents, bits):
+    monkeypatch.setattr(queries, "table", lambda *_: documents)
+    monkeypatch.setattr(merkle, "build", lambda *a: BUILD(*a, bits=bits))
+    return queries.op12_merkle_manifest(spark, "")
+
+
+@pytest.mark.parametrize("bits", [1, 2, 12])
+def test_tiers_of_any_block_size_give_the_tree_of_all_leaves(spark, monkeypatch, bits):
+    draw = random.Random(5)
+    langs = [None, "", "de", "en", "en", "en", "en", "fr", "é", "日"]
+    rows = [(k, draw.choice(langs), draw.choice(["a", None]), draw.choice([k, None]), draw.choice(["", "é", None, "x" * k])) for k in range(120)]
+    rows += rows[:5] + [(3, "en", "b", 1, "another text of one id"), (None, "en", None, None, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long, text string").repartition(5)
+    found = rows_of(run_over(monkeypatch, spark, documents, bits))
+    assert found == brute(documents.collect())
+    assert {r[-1] for r in found} == {True, False}
+
+
+def test_awkward_and_empty_tables(spark, monkeypatch, awkward, nothing):
+    clashing = awkward
+    for name in ("grp", "pos", "size", "digest", "path", "block", "claim", "leaf", "key"):
+        clashing = clashing.withColumn(name, F.lit("clash"))
+    assert rows_of(run_over(monkeypatch, spark, clashing, 2)) == brute(awkward.collect())
+    empty = run_over(monkeypatch, spark, nothing, 2)
+    assert empty.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert empty.count() == 0
+    assert merkle.build(nothing.select("lang", "doc_id", F.lit("00").alias("d")), "lang", "doc_id", "d", []).root is None
+
+
+def test_kept_columns_come_along_whatever_their_names(spark):
+    rows = [(k, "g", f"x{k}") for k in range(9)]
+    own = spark.createDataFrame(rows, "pos long, grp string, path string")
+    own = own.withColumn("digest", F.sha2("path", 256))
+    proofs = merkle.build(own, "grp", "pos", "digest", ["pos", "path"], bits=2).proofs()
+    assert sorted(tuple(r)[:2] for r in proofs.collect()) == [(k, f"x{k}") for k in range(9)]
