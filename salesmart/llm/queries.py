@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, urls
+from . import bpe, chat, decontamination, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, urls
 from .columns import crc_of_id
 from .labelled import label_sample
 
@@ -129,6 +129,13 @@ def op12_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op13_bpe_coding(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    coded = bpe.decode(bpe.encode(documents, tokenizer_path(), ["doc_id"]), tokenizer_path())
+    told = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_chat_formatting, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_quality_rules, op6_toxicity, op7_packing, op8_ngram_join, op9_token_files, op10_lm_scoring, op12_merkle_manifest]
+    own = [op1_chat_formatting, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_quality_rules, op6_toxicity, op7_packing, op8_ngram_join, op9_token_files, op10_lm_scoring, op12_merkle_manifest, op13_bpe_coding]
     return {query.__name__: query for query in own}
