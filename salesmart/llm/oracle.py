@@ -162,6 +162,44 @@ SELECT doc_id, leaf, subroot, t.digest AS root, sha256(path) AS proof_sha256, fo
 FROM upper u, tops t WHERE u.size = 1 AND t.size = 1
 """
 
+OP11 = r"""
+WITH RECURSIVE %(table)s, runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), '%(upper)s', '%(lower)s') AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, c, %(crc)s AS h FROM counted, crc_steps
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h %% 31 = 0 THEN substr(run, 1, h %% length(run)) || substr(run, h %% length(run) + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), placed AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words
+), less AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM placed
+), shorter AS (
+  SELECT DISTINCT l.word AS a, w.word AS b FROM less l JOIN words w ON w.word = l.rest
+), near AS (
+  SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter
+  UNION ALL SELECT DISTINCT x.word, y.word FROM less x JOIN less y ON x.p = y.p AND x.rest = y.rest AND x.word <> y.word
+), ranked AS (
+  SELECT a, b, w.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS k FROM near JOIN words w ON w.word = b
+), formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN b END AS form, CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.a = w.word AND r.k = 1
+), followed AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT f.word, f.next, g.form FROM followed f JOIN formed g ON g.word = f.next
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN (SELECT word, root FROM followed WHERE next IS NULL) USING (word)
+""" % {
+    "table": _CRC_TABLE,
+    "upper": _UPPER,
+    "lower": _LOWER,
+    "crc": _crc32("list_transform(regexp_extract_all(hex(id || ':' || run), '..'), lambda x: CAST('0x' || x AS BIGINT))"),
+}
+
 
 def oracle() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op2_url_filter": OP2, "op4_decontamination": OP4, "op12_merkle_manifest": OP12}
+    return {"op1_chat_formatting": OP1, "op2_url_filter": OP2, "op4_decontamination": OP4, "op11_spelling_variants": OP11, "op12_merkle_manifest": OP12}

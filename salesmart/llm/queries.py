@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, urls
+from . import bpe, chat, decontamination, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, spelling, token_files, toxicity, urls
 from .columns import crc_of_id
 from .labelled import label_sample
 
@@ -106,6 +106,10 @@ def op10_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, directory: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, directory, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
     """Every leaf is proved; where 7 divides the crc32 of the id, of a row with one more n_chars."""
     documents = table(spark, directory, "documents")
@@ -137,5 +141,5 @@ def op13_bpe_coding(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_chat_formatting, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_quality_rules, op6_toxicity, op7_packing, op8_ngram_join, op9_token_files, op10_lm_scoring, op12_merkle_manifest, op13_bpe_coding]
+    own = [op1_chat_formatting, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_quality_rules, op6_toxicity, op7_packing, op8_ngram_join, op9_token_files, op10_lm_scoring, op11_spelling_variants, op12_merkle_manifest, op13_bpe_coding]
     return {query.__name__: query for query in own}
