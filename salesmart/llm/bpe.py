@@ -42,8 +42,8 @@ from .storage import ship
 from .texts import Piece, hashes_from, pieces
 from .tokens import stretches
 
-LIMIT = 1 << 20
-PAIRS = 1 << 21
+LIMIT = 1 << 19
+PAIRS = 1 << 19
 NEVER = 1 << 40
 
 
@@ -119,7 +119,8 @@ class Vocabulary:
                 raise ValueError("a token comes from more than one merge")
             self.merges[pair], self.parts[made] = rank, (rank, *pair)
         letters = {ids[letter] for letter in byte_letters() if letter in ids}
-        #: Tokens that encoding can come to, and the sizes of those by their last two letters.
+        #: Tokens that encoding can come to, and the sizes of those by their last three letters,
+        #: or by two where no token has more of the ending.
         self.tokens: dict[str, int] = {}
         for name, token in sorted(ids.items(), key=lambda item: len(item[0])):
             if token in letters:
@@ -128,11 +129,13 @@ class Vocabulary:
                 rank, left, right = self.parts[token]
                 if self.names[left] in self.tokens and self.names[right] in self.tokens and not self.crossed(left, right, rank):
                     self.tokens[name] = token
-        sizes: dict[str, set[int]] = {}
+        self.sizes: dict[str, tuple[int, ...]] = {name: (2,) for name in self.tokens if len(name) == 2}
+        longer: dict[str, set[int]] = {}
         for name in self.tokens:
-            if len(name) > 1:
-                sizes.setdefault(name[-2:], set()).add(len(name))
-        self.sizes = {end: sorted(own, reverse=True) for end, own in sizes.items()}
+            if len(name) > 2:
+                longer.setdefault(name[-3:], set()).add(len(name))
+        for end, own in longer.items():
+            self.sizes[end] = (*sorted(own, reverse=True), *self.sizes.get(end[1:], ()))
 
     def crossed(self, a: int, b: int, before: int = NEVER) -> bool:
         """Whether a merge crosses between neighbours a and b, earlier than at rank `before`."""
@@ -170,7 +173,7 @@ class TrieEncoder:
         longest = sorted(self._special, key=len, reverse=True)
         self._pattern = re.compile(b"|".join(re.escape(s.encode()) for s in longest)) if longest else None
         self._limit = limit
-        self._stay: dict[tuple[int, int], bool] = {}
+        self._stay: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -188,7 +191,8 @@ class TrieEncoder:
             word = node.word
             for depth in range(begin + 1, node.end + 1):
                 found = -1
-                for size in sizes.get(word[max(depth - 2, 0) : depth], ()):
+                own_sizes = sizes.get(word[depth - 3 : depth]) if depth > 2 else None
+                for size in own_sizes or sizes.get(word[max(depth - 2, 0) : depth], ()):
                     if size > depth:
                         continue
                     token = tokens.get(word[depth - size : depth], -1)
@@ -197,12 +201,13 @@ class TrieEncoder:
                     if size == depth:
                         found = token
                         break
-                    pair = (last[depth - size], token)
+                    before = last[depth - size]
+                    pair = before << 32 | token
                     whole = stay.get(pair)
                     if whole is None:
                         if len(stay) >= PAIRS:
                             stay.clear()
-                        whole = stay[pair] = not self.vocabulary.crossed(*pair)
+                        whole = stay[pair] = not self.vocabulary.crossed(before, token)
                     if whole:
                         found = token
                         break
