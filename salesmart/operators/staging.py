@@ -5,24 +5,53 @@ An invoice qualifies when one of its lines matches; afterwards all its lines cou
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DateRange, within
+from salesmart.functions.key_filter import key_filter, told_bytes, words_for
 from salesmart.functions.money import sum_amounts
 from salesmart.operators.filters import SalesFilter
 from salesmart.sources.model import SalesModel
 
 
+#: Session setting: bytes of line files from which on lines are filtered where they are read.
+#: Below, summing and shuffling all of them takes less than making the filter.
+LEAST_BYTES = ("salesmart.lineFilter.leastBytes", 128 << 20)
+
+
+def lines_of(model: SalesModel, invoices: DataFrame) -> SalesModel:
+    """The model with the lines that may be on some invoices; hardly any others.
+
+    Where few invoices are selected, most lines so end where they are read instead of being
+    summed and shuffled first. What stays must still be joined with the invoices.
+    """
+    name, least = LEAST_BYTES
+    size = told_bytes(model.line)
+    if size is not None and size < int(model.line.sparkSession.conf.get(name, str(least))):
+        return model
+    selected = key_filter(invoices, "invoice_id", words_for(model.invoice))
+    return replace(model, line=model.line.where(selected.may_hold("invoice_id")))
+
+
+def candidates(model: SalesModel, flt: SalesFilter) -> tuple[DataFrame, SalesModel]:
+    """The invoices that dates and countries leave, and the model with their lines."""
+    invoices = flt.invoices(model)
+    return invoices, lines_of(model, invoices) if flt.countries or flt.dates else model
+
+
 def staged_invoices(model: SalesModel, flt: SalesFilter) -> DataFrame:
     """Qualifying invoices without measures: one row per invoice.
 
     Only keys of matching lines travel, one per invoice and map task, because they are
     made distinct before the semi join.
     """
+    invoices, model = candidates(model, flt)
     items = model.item.where(flt.item_predicate()).select("track_id")
     keys = model.line.join(items, "track_id", "left_semi").select("invoice_id").distinct()
-    return flt.invoices(model).join(keys, "invoice_id", "left_semi")
+    return invoices.join(keys, "invoice_id", "left_semi")
 
 
 def staged_sales(model: SalesModel, flt: SalesFilter) -> DataFrame:
@@ -32,6 +61,7 @@ def staged_sales(model: SalesModel, flt: SalesFilter) -> DataFrame:
     before they meet the invoices, so an invoice with very many lines costs no more
     than any other.
     """
+    invoices, model = candidates(model, flt)
     hits = model.item.where(flt.item_predicate()).select("track_id", F.lit(1).alias("hit"))
     totals = (
         model.line.join(hits, "track_id", "left")
@@ -45,7 +75,7 @@ def staged_sales(model: SalesModel, flt: SalesFilter) -> DataFrame:
         .where("hits > 0")
         .drop("hits")
     )
-    return flt.invoices(model).join(totals, "invoice_id")
+    return invoices.join(totals, "invoice_id")
 
 
 def filtered_invoices(staged: DataFrame) -> DataFrame:

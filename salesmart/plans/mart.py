@@ -92,13 +92,20 @@ class SalesMart:
         """Identity of the staged invoice set."""
         return key_fingerprint(self.invoices, "invoice_id")
 
+    def _sold(self, rng: DateRange | None) -> SalesModel:
+        """The model, with the lines of the staged invoices of a range where not all are."""
+        if rng is None and self.filter == SalesFilter():
+            return self.model
+        chosen = self.invoices if rng is None else self.invoices.where(rng.month_aligned().contains("dt"))
+        return staging.lines_of(self.model, chosen)
+
     def _range(self, rng: DateRange | None) -> DateRange | DataRange:
         return DataRange.of(self.model.invoice) if rng is None else rng
 
     # KPIs ------------------------------------------------------------------------
 
     def core_kpis(self, rng: DateRange | None = None) -> DataFrame:
-        return core.core_kpis(self.sales, self.model, self._range(rng))
+        return core.core_kpis(self.sales, self._sold(rng), self._range(rng))
 
     def total_revenue(self, rng: DateRange | None = None) -> Column:
         """Revenue of the range as a scalar subquery, for use in expressions."""
@@ -109,13 +116,14 @@ class SalesMart:
 
     def _group_kpis(self, by: str, rng: DateRange | None) -> DataFrame:
         staged = self.sales if by == "country" else self.invoices
-        return groups.group_kpis(staged, self.model, by, rng)
+        model = self.model if by == "country" else self._sold(rng)
+        return groups.group_kpis(staged, model, by, rng)
 
     def catalog(self, by: str) -> DataFrame:
         return groups.catalog(self.model, by)
 
     def catalog_sales(self, by: str, rng: DateRange | None = None) -> DataFrame:
-        return groups.catalog_sales(self.invoices, self.model, by, rng).orderBy("group_val")
+        return groups.catalog_sales(self.invoices, self._sold(rng), by, rng).orderBy("group_val")
 
     def top_n(
         self,
@@ -134,14 +142,14 @@ class SalesMart:
         total = self.total_revenue(rng) if total is None else total
         coverage = None
         if by in groups.CATALOGED:
-            coverage = groups.catalog_sales(self.invoices, self.model, by, rng)
+            coverage = groups.catalog_sales(self.invoices, self._sold(rng), by, rng)
         return groups.enrich_top_n(best, total, coverage)
 
     def group_yearly(self, by: str, rng: DateRange | None = None) -> DataFrame:
         return self._group_yearly(by, rng).orderBy("year", by)
 
     def _group_yearly(self, by: str, rng: DateRange | None) -> DataFrame:
-        return groups.group_yearly(self.invoices, self.model, by, self._range(rng))
+        return groups.group_yearly(self.invoices, self._sold(rng), by, self._range(rng))
 
     def top_groups_yearly(
         self, by: str, rng: DateRange | None = None, metric: str = "revenue", n: int = 20

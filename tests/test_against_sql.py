@@ -13,6 +13,7 @@ from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 from salesmart import DateRange, SalesFilter, SalesMart, SalesModel
+from salesmart.operators.staging import LEAST_BYTES
 from salesmart.plans.oracle import build_oracle
 from salesmart.plans.registry import CHOICE, build_queries
 from salesmart.sources.schemas import WHOLESALE
@@ -264,3 +265,20 @@ def test_known_figures(spark, tables_dir, years, flt, core, counts):
         kept.ret_n_window,
     )
     mart.unpersist()
+
+
+PRUNED = [n for n in sorted(QUERIES) if n.endswith(("_filtered", "_window", "_empty")) and not n.startswith(("cohort", "retention", "customer", "top_cohorts", "bundle"))]
+
+
+@pytest.mark.parametrize("name", PRUNED)
+def test_query_equals_sql_with_lines_filtered_where_they_are_read(spark, small, small_dir, name):
+    def run():
+        found = same(spark, small, small_dir, name)
+        assert found == 0 if name.endswith("_empty") else found > 0
+
+    with_settings(spark, {LEAST_BYTES[0]: "0"}, run)
+
+
+@pytest.mark.parametrize("name", ["group_yearly_artist_filtered", "core_kpis_window"])
+def test_filtered_lines_of_skewed_tables(spark, skewed_dir, name):
+    with_settings(spark, {LEAST_BYTES[0]: "0"}, lambda: same(spark, connect(skewed_dir), skewed_dir, name))
