@@ -49,8 +49,11 @@ def staged_invoices(model: SalesModel, flt: SalesFilter) -> DataFrame:
     made distinct before the semi join.
     """
     invoices, model = candidates(model, flt)
-    items = model.item.where(flt.item_predicate()).select("track_id")
-    keys = model.line.join(items, "track_id", "left_semi").select("invoice_id").distinct()
+    if model.labelled:
+        hits = model.line.where(flt.item_predicate())
+    else:
+        hits = model.line.join(model.item.where(flt.item_predicate()).select("track_id"), "track_id", "left_semi")
+    keys = hits.select("invoice_id").distinct()
     return invoices.join(keys, "invoice_id", "left_semi")
 
 
@@ -62,13 +65,15 @@ def staged_sales(model: SalesModel, flt: SalesFilter) -> DataFrame:
     than any other.
     """
     invoices, model = candidates(model, flt)
-    hits = model.item.where(flt.item_predicate()).select("track_id", F.lit(1).alias("hit"))
+    if model.labelled:
+        lines = model.line.withColumn("hit", F.when(flt.item_predicate(), 1))
+    else:
+        lines = model.line.join(model.item.where(flt.item_predicate()).select("track_id", F.lit(1).alias("hit")), "track_id", "left")
     totals = (
-        model.line.join(hits, "track_id", "left")
-        .groupBy("invoice_id")
+        lines.groupBy("invoice_id")
         .agg(
             F.count("hit").alias("hits"),
-            F.count(F.lit(1)).alias("num_lines"),
+            model.line_count.alias("num_lines"),
             F.sum("quantity").alias("tracks_sold"),
             *sum_amounts("amount"),
         )
@@ -117,11 +122,10 @@ def group_sales(model: SalesModel, invoices: DataFrame, by: str) -> DataFrame:
     Lines whose item lacks the group drop out. Summing per invoice and group first
     collapses heavy invoices map-side, before the join on the invoice.
     """
-    groups = model.item.where(F.col(by).isNotNull()).select("track_id", F.col(by).alias("group_val"))
-    totals = (
-        model.line.join(groups, "track_id")
-        .groupBy("invoice_id", "group_val")
-        .agg(F.sum("quantity").alias("tracks_sold"), *sum_amounts("amount"))
-    )
+    if model.labelled:
+        lines = model.line.where(F.col(by).isNotNull()).withColumn("group_val", F.col(by))
+    else:
+        lines = model.line.join(model.item.where(F.col(by).isNotNull()).select("track_id", F.col(by).alias("group_val")), "track_id")
+    totals = lines.groupBy("invoice_id", "group_val").agg(F.sum("quantity").alias("tracks_sold"), *sum_amounts("amount"))
     own = [c for c in ("invoice_id", "customer_id", "dt", "country") if c in invoices.columns]
     return totals.join(invoices.select(*own), "invoice_id")

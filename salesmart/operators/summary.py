@@ -44,7 +44,7 @@ def static_summary(model: SalesModel) -> DataFrame:
     )
     row = fold_rows(
         facts,
-        _count(model.line, "lines"),
+        model.line.agg(F.coalesce(model.line_count, F.lit(0)).alias("lines")),
         _count(model.genre, "genres"),
         _count(model.artist, "artists"),
     )

@@ -13,6 +13,7 @@ from salesmart.functions.fingerprint import key_fingerprint
 from salesmart.operators import cohorts, core, geo, groups, retention, series, staging
 from salesmart.operators.filters import SalesFilter
 from salesmart.operators.metrics import METRICS
+from salesmart.plans.store import MONTH, StagedSets
 from salesmart.sources.model import SalesModel
 
 
@@ -71,6 +72,15 @@ class SalesMart:
         """
         return SalesMart(self.model, self.filter, self.sales.checkpoint())
 
+    def stored_in(self, folder: str) -> SalesMart:
+        """Take the staged set from a folder that sessions share, or stage it into there.
+
+        It is found again as long as the filter is the same and no file of the tables has
+        changed; then no line is read. Results over a range read its months only. May run
+        a job.
+        """
+        return SalesMart(self.model, self.filter, StagedSets(folder).staged(self.model, self.filter))
+
     def register(self, view: str = "filtered_invoices") -> None:
         """Create or replace temporary views of the staged set and both catalogs."""
         self.invoices.select("customer_id", "dt", "invoice_id").createOrReplaceTempView(view)
@@ -86,17 +96,24 @@ class SalesMart:
         return staging.filtered_invoices(self.invoices)
 
     def invoice_details(self, rng: DateRange | None = None) -> DataFrame:
-        return staging.invoice_details(self.invoices, self.model, rng)
+        return staging.invoice_details(self._in_months(self.invoices, rng), self.model, rng)
 
     def fingerprint(self) -> DataFrame:
         """Identity of the staged invoice set."""
         return key_fingerprint(self.invoices, "invoice_id")
 
+    def _in_months(self, staged: DataFrame, rng: DateRange | None) -> DataFrame:
+        """Of a set partitioned by month, the partitions of a range; others as they are."""
+        if rng is None or MONTH not in staged.columns:
+            return staged
+        whole = rng.month_aligned()
+        return staged.where(F.col(MONTH).between(F.lit(whole.start), F.lit(whole.end)))
+
     def _sold(self, rng: DateRange | None) -> SalesModel:
         """The model, with the lines of the staged invoices of a range where not all are."""
         if rng is None and self.filter == SalesFilter():
             return self.model
-        chosen = self.invoices if rng is None else self.invoices.where(rng.month_aligned().contains("dt"))
+        chosen = self.invoices if rng is None else self._in_months(self.invoices, rng).where(rng.month_aligned().contains("dt"))
         return staging.lines_of(self.model, chosen)
 
     def _range(self, rng: DateRange | None) -> DateRange | DataRange:
@@ -105,17 +122,17 @@ class SalesMart:
     # KPIs ------------------------------------------------------------------------
 
     def core_kpis(self, rng: DateRange | None = None) -> DataFrame:
-        return core.core_kpis(self.sales, self._sold(rng), self._range(rng))
+        return core.core_kpis(self._in_months(self.sales, rng), self._sold(rng), self._range(rng))
 
     def total_revenue(self, rng: DateRange | None = None) -> Column:
         """Revenue of the range as a scalar subquery, for use in expressions."""
-        return core.total_revenue(self.sales, rng).scalar()
+        return core.total_revenue(self._in_months(self.sales, rng), rng).scalar()
 
     def group_kpis(self, by: str, rng: DateRange | None = None) -> DataFrame:
         return self._group_kpis(by, rng).orderBy("group_val")
 
     def _group_kpis(self, by: str, rng: DateRange | None) -> DataFrame:
-        staged = self.sales if by == "country" else self.invoices
+        staged = self._in_months(self.sales if by == "country" else self.invoices, rng)
         model = self.model if by == "country" else self._sold(rng)
         return groups.group_kpis(staged, model, by, rng)
 
@@ -123,7 +140,7 @@ class SalesMart:
         return groups.catalog(self.model, by)
 
     def catalog_sales(self, by: str, rng: DateRange | None = None) -> DataFrame:
-        return groups.catalog_sales(self.invoices, self._sold(rng), by, rng).orderBy("group_val")
+        return groups.catalog_sales(self._in_months(self.invoices, rng), self._sold(rng), by, rng).orderBy("group_val")
 
     def top_n(
         self,
@@ -142,14 +159,14 @@ class SalesMart:
         total = self.total_revenue(rng) if total is None else total
         coverage = None
         if by in groups.CATALOGED:
-            coverage = groups.catalog_sales(self.invoices, self._sold(rng), by, rng)
+            coverage = groups.catalog_sales(self._in_months(self.invoices, rng), self._sold(rng), by, rng)
         return groups.enrich_top_n(best, total, coverage)
 
     def group_yearly(self, by: str, rng: DateRange | None = None) -> DataFrame:
         return self._group_yearly(by, rng).orderBy("year", by)
 
     def _group_yearly(self, by: str, rng: DateRange | None) -> DataFrame:
-        return groups.group_yearly(self.invoices, self._sold(rng), by, self._range(rng))
+        return groups.group_yearly(self._in_months(self.invoices, rng), self._sold(rng), by, self._range(rng))
 
     def top_groups_yearly(
         self, by: str, rng: DateRange | None = None, metric: str = "revenue", n: int = 20

@@ -621,4 +621,9 @@ def build_oracle() -> dict[str, str]:
         )
     found["insights_compare"] = _insights()
     found["country_codes_topn"] = _code_labels()
+    # How tables lie and whether a set was staged before changes no result.
+    for name in ("core_kpis", "group_kpis_genre", "group_yearly_artist", "monthly_summary", "catalog_sales_artist", "customer_bounds"):
+        for v in (PLAIN, FILTERED):
+            found |= {f"{name}{v.suffix}_{how}": found[name + v.suffix] for how in ("colocated", "found_again")}
+    found["static_summary_colocated"] = found["static_summary"]
     return found

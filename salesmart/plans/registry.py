@@ -24,7 +24,9 @@ from salesmart.plans.bundle import kpi_bundle, topn_all
 from salesmart.plans.insights import insights_compare
 from salesmart.plans.mart import SalesMart
 from salesmart.session import configure
+from salesmart.sources.layout import read_layout, write_layout
 from salesmart.sources.model import SalesModel
+from salesmart.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,6 +187,11 @@ UNSCOPED: dict[str, Callable[[SalesModel], DataFrame]] = {
 }
 
 
+# Results over tables that are written for it when the query is built: co-located by
+# invoice, and staged sets that are found again.
+WRITTEN = ("core_kpis", "group_kpis_genre", "group_yearly_artist", "monthly_summary", "catalog_sales_artist", "customer_bounds")
+
+
 def variants_of(name: str) -> list[Variant]:
     return [v for v in VARIANTS if v is not WINDOWED or name in WINDOW_SENSITIVE]
 
@@ -207,9 +214,32 @@ def build_queries() -> dict[str, Query]:
     found["country_codes_topn"] = partial(_coded, _code_labels, PLAIN)
     for name in ("core_kpis", "group_kpis_genre", "monthly_summary", "geo_frames", "retention_kpis"):
         found[f"{name}_empty"] = partial(_scoped, SCOPED[name], Variant("_empty", NOTHING, None))
+    for name in WRITTEN:
+        for v in (PLAIN, FILTERED):
+            found[f"{name}{v.suffix}_colocated"] = partial(_colocated, SCOPED[name], v)
+            found[f"{name}{v.suffix}_found_again"] = partial(_found_again, SCOPED[name], v)
+    found["static_summary_colocated"] = lambda spark, directory: summary.static_summary(colocated(spark, directory))
     return found
 
 
+def colocated(spark: SparkSession, directory: str) -> SalesModel:
+    """The wholesale tables, written in buckets by invoice below the shared folder."""
+    folder = shared_folder(spark)
+    write_layout(SalesModel.read_wholesale(configure(spark), directory), folder)
+    return read_layout(spark, folder)
+
+
+def _colocated(build, v: Variant, spark: SparkSession, directory: str) -> DataFrame:
+    return build(SalesMart(colocated(spark, directory), v.filter), v)
+
+
+def _found_again(build, v: Variant, spark: SparkSession, directory: str) -> DataFrame:
+    """By a second mart, which finds the set that the first one has staged."""
+    folder = shared_folder(spark)
+    mart_for(spark, directory, v.filter).stored_in(folder)
+    return build(mart_for(spark, directory, v.filter).stored_in(folder), v)
+
+
 def _scoped(build, v: Variant, spark: SparkSession, directory: str) -> DataFrame:
     return build(mart_for(spark, directory, v.filter), v)
 

@@ -6,7 +6,8 @@ view        columns
 invoice     invoice_id (unique), customer_id, invoice_date, dt, total; country where it is
             known per invoice
 homes       customer_id (unique), country, where it is known per customer; else absent
-line        invoice_id, track_id, quantity, amount
+line        invoice_id, track_id, quantity, amount; where ``labelled``, one row per invoice
+            and track instead, with lines, their number, and the columns of the item
 item        track_id (unique), genre_id, genre, artist_id, artist (names nullable)
 genre       name
 artist      name
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.functions.money import units_of_decimal, units_of_double
@@ -37,6 +38,12 @@ class SalesModel:
     genre: DataFrame
     artist: DataFrame
     homes: DataFrame | None = None
+    labelled: bool = False
+
+    @property
+    def line_count(self) -> Column:
+        """How many lines there are, as an aggregate over rows of ``line``."""
+        return F.sum("lines") if self.labelled else F.count(F.lit(1))
 
     @property
     def customer_keys(self) -> list[str]:
