@@ -35,9 +35,10 @@ WITH cut AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM cut
 ), named AS (
-  SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+  SELECT *, CASE WHEN regexp_matches(two, '%(registered)s') THEN two ELSE string_split(host, '.')[-1] END AS suffix,
+    CASE WHEN regexp_matches(two, '%(registered)s') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain,
     regexp_extract(path, '/(\d{1,18})(?:\.html)?/?$', 1) AS number
-  FROM parts
+  FROM (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM parts)
 ), good AS (
   SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
 ), counts AS (
@@ -76,9 +77,9 @@ posterior AS (
   FROM named
 )
 SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled r LEFT JOIN bound ON bound.host = r.host
-""" % {"upper": _UPPER, "lower": _LOWER}
+  WHEN upper < rate0 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN bound ON bound.host = r.host CROSS JOIN overall
+""" % {"upper": _UPPER, "lower": _LOWER, "registered": r"^(ac|co|com|edu|go|gov|mil|ne|net|or|org|sch)\.[a-z]{2}$"}
 
 OP4 = r"""
 WITH d AS (

@@ -5,8 +5,13 @@ above: suffixes towards the overall rate, registered domains towards their suffi
 towards their domain. How strongly follows from the data: at each level the spread of the
 units' rates around their parents', beyond what chance explains, gives the strength of a
 beta prior (by moments of the beta-binomial). A host is blocked if even the upper bound of
-its good rate, by its beta posterior, is below the limit. Hosts without labelled pages have
-the posterior of their domain's, suffix's or the overall prior.
+its good rate, by its beta posterior, is below a share of the overall rate: a bar that follows
+the data, since what is good is rare in one crawl and usual in another. Hosts without labelled
+pages have the posterior of their domain's, suffix's or the overall prior.
+
+A suffix is the last label of a host, or the last two where a country's label follows one of
+the labels under which names are registered there (`co.uk`). This rule stands in for the
+public list of suffixes, which changes and names thousands.
 
 A rule names a host and the beginning of a path; it fits that host and its subdomains. The
 longest fitting rule wins, then the longer host, then blocking.
@@ -27,8 +32,9 @@ from pyspark.sql import functions as F
 from .columns import quoted
 from .storage import written
 
-# Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za", "com.tr", "com.tw")
+# Labels under which names are registered below a country's.
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gov", "mil", "ne", "net", "or", "org", "sch")
+TWO_LABEL_SUFFIX = f"^({'|'.join(REGISTRIES)})[.][a-z]{{2}}$"
 
 
 @dataclass(frozen=True)
@@ -46,9 +52,9 @@ class Rule:
 
 @dataclass(frozen=True)
 class Reputation:
-    """A host passes unless its good rate is below min_good_rate by `deviations`."""
+    """A host passes unless its good rate is below `bar` times the overall rate by `deviations`."""
 
-    min_good_rate: float = 0.5
+    bar: float = 1.0
     deviations: float = 1.64
     weakest: float = 1e-3
     strongest: float = 0.95
@@ -75,13 +81,13 @@ def _bare(host: Column) -> Column:
 
 def suffix_of(host: Column) -> Column:
     two = F.substring_index(_bare(host), ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(_bare(host), ".", -1))
+    return F.when(two.rlike(TWO_LABEL_SUFFIX), two).otherwise(F.substring_index(_bare(host), ".", -1))
 
 
 def domain_of(host: Column) -> Column:
     bare, two = _bare(host), F.substring_index(_bare(host), ".", -2)
     address = bare.rlike(r"^(\d+\.){3}\d+$|^\[")
-    return F.when(address, bare).when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    return F.when(address, bare).when(two.rlike(TWO_LABEL_SUFFIX), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -125,7 +131,7 @@ def reputations(outcomes: DataFrame, settings: Reputation) -> DataFrame:
     by_suffix = _strength(suffixes, "rate0", settings).withColumnRenamed("strength", "s1")
     by_domain = _strength(domains, "raw", settings).withColumnRenamed("strength", "s2")
     by_host = _strength(hosts, "raw", settings).withColumnRenamed("strength", "s3")
-    strengths = overall.join(by_suffix).join(by_domain).join(by_host)
+    strengths = written(overall.join(by_suffix).join(by_domain).join(by_host))
 
     suffixes = level("suffix").join(F.broadcast(strengths))
     suffixes = suffixes.withColumn("rate1", (F.col("k") + F.col("s1") * F.col("rate0")) / (F.col("n") + F.col("s1")))
@@ -166,13 +172,14 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], key: str = "
     by_suffix = known.where(F.col("suffix").isNotNull() & F.col("domain").isNull()).select("suffix", F.struct("a", "b").alias("p2"))
     overall = known.where(F.coalesce("host", "domain", "suffix").isNull()).select(F.struct("a", "b").alias("p3"))
     found = hosts.join(by_host, "host", "left").join(by_domain, ["suffix", "domain"], "left").join(by_suffix, "suffix", "left")
-    found = found.join(F.broadcast(overall), how="left").select("host", F.coalesce("p0", "p1", "p2", "p3").alias("p"))
+    found = found.join(F.broadcast(overall), how="left").select("host", F.coalesce("p0", "p1", "p2", "p3").alias("p"), "p3")
     a, b = F.col("p.a"), F.col("p.b")
+    usual = F.try_divide(F.col("p3.a"), F.col("p3.a") + F.col("p3.b"))
     rate = F.try_divide(a, a + b)
     deviation = F.sqrt(F.try_divide(a * b, (a + b) * (a + b) * (a + b + 1)))
-    found = written(found.select("host", rate.alias("good_rate"), (rate + settings.deviations * deviation).alias("good_rate_bound")))
+    found = written(found.select("host", rate.alias("good_rate"), (rate + settings.deviations * deviation).alias("good_rate_bound"), (settings.bar * usual).alias("least")))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    blocked = F.coalesce(F.col("good_rate_bound") < settings.min_good_rate, F.lit(False))
+    blocked = F.coalesce(F.col("good_rate_bound") < F.col("least"), F.lit(False))
     judged = own.join(found, "host", "left")
     return judged.select(
         F.col("key").alias(key),
