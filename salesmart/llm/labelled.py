@@ -27,6 +27,9 @@ def label_sample(labels: DataFrame, key: str, label: str, bound: int, usable: Co
 
 
 def labelled_texts(documents: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame:
-    """label and text of each sampled id, one row per id. `sample` is bounded: broadcast."""
+    """key, label and text of each sampled id: of rows with one id the least text, if any has one.
+
+    `sample` is bounded: broadcast.
+    """
     own = documents.select(quoted(key).alias("key"), quoted(text).alias("text"))
-    return own.join(F.broadcast(sample), "key").dropDuplicates(["key"]).select("key", "label", "text")
+    return own.join(F.broadcast(sample), "key").groupBy("key", "label").agg(F.min("text").alias("text"))

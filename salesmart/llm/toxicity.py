@@ -2,14 +2,19 @@
 
 The score is the logistic of a bias, one weight per term present, and the products of
 latent vectors of every two terms present, so that a pair can count for more than its
-parts. Terms are words with A-Z lowered, hashed to 2**bits places; only places that the
-labelled sample tells something about carry weights (a likelihood-ratio test), the rest are
-zero. Fitted on a bounded sample of labelled rows on the driver, then sent to the tasks,
-which score whole texts. Model size is bounded by the number of places.
-
-Defined cases: a null or empty text gets the score of the bias alone; repeated rows get
-equal scores; without labelled rows of both kinds every score is the share of positives, or
-0 without labels; an empty table gives no rows.
+parts. Terms are words with A-Z lowered, hashed to 2**bits places. Every place that enough
+labelled rows have gets a vector, also one that tells nothing alone and much together with
+another; after some epochs, a penalty on whole vectors takes those back to zero that no pair
+needs, and places without a weight and a vector leave the model. Weights are for places that
+tell something alone (a likelihood-ratio test), so that rare words of a few rows don't add up.
+Fitted on a bounded sample of labelled rows on the driver, then sent to the tasks, which score
+whole texts. Model size is bounded by the number of places.
+
+Defined cases: a null or empty text gets the score of the bias alone; long texts are scored
+whole; repeated rows get equal scores, and of labelled rows with one id the least text counts;
+without labelled rows of both kinds every score is the share of positives, or 0 without labels;
+an empty table gives no rows. Columns of the input other than those named come along only if
+they are named in `keep`, and may have any name.
 """
 
 from __future__ import annotations
@@ -23,23 +28,31 @@ from pyspark.sql import functions as F
 
 from .columns import quoted
 from .labelled import labelled_texts
-from .storage import ship
+from .storage import ship, written
 from .texts import PLAIN_WORD, Piece, pieces
 
 
 @dataclass(frozen=True)
 class FmSettings:
-    """max_labelled bounds the rows the model is fitted on; least_ratio is in G-test units."""
+    """`max_labelled` bounds the rows the model is fitted on, and `max_terms` their terms; a place
+    needs `least_rows` labelled rows, and `least_ratio`, in G-test units, for a weight. Vectors
+    learn at `pair_rate`; from epoch `shrink_from` on, each step takes `shrink` off their length
+    unless the place tells alone."""
 
     bits: int = 20
     factors: int = 8
-    epochs: int = 30
+    epochs: int = 16
     batch: int = 256
     rate: float = 0.1
-    penalty: float = 2e-3
+    pair_rate: float = 0.06
+    penalty: float = 2e-4
+    pair_penalty: float = 2e-2
+    shrink: float = 1e-2
+    shrink_from: int = 8
     least_rows: int = 3
     least_ratio: float = 6.6
     max_labelled: int = 20_000
+    max_terms: int = 1 << 24
     seed: int = 11
 
 
@@ -77,7 +90,11 @@ def fit(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([own["key"], own["label"].cast(pa.int32()), lists], names=["key", "label", "places"])
 
     kind = sample.schema["key"].dataType.simpleString()
-    rows = labelled_texts(documents, sample, key, text).mapInArrow(run, f"key {kind}, label int, places array<int>").toArrow()
+    listed = written(labelled_texts(documents, sample, key, text).mapInArrow(run, f"key {kind}, label int, places array<int>"))
+    total = listed.agg(F.sum(F.size("places"))).first()[0] or 0
+    if total > settings.max_terms:
+        listed = listed.where(F.abs(F.xxhash64("key", F.lit("terms"))) < int(settings.max_terms / total * (1 << 63)))
+    rows = listed.toArrow()
     rows = rows.take(pa.compute.sort_indices(rows["key"]))
     labels = rows["label"].to_numpy().astype(np.float64)
     lists = rows["places"].combine_chunks()
@@ -92,7 +109,11 @@ def fit_arrays(labels: np.ndarray, row: np.ndarray, place: np.ndarray, settings:
     share = labels.mean() if len(labels) else 0.0
     if not 0 < share < 1:
         return Model(empty, np.inf if share == 1 else -np.inf, empty.astype(float), np.zeros((0, settings.factors)))
-    chosen = _telling(labels, row, place, settings)
+    distinct, local = np.unique(place, return_inverse=True)
+    chosen = distinct[np.bincount(local, minlength=len(distinct)) >= settings.least_rows]
+    if not len(chosen):
+        return Model(empty, float(np.log(share / (1 - share))), empty.astype(float), np.zeros((0, settings.factors)))
+    alone = np.isin(chosen, _telling(labels, row, place, settings))
     at = np.searchsorted(chosen, place)
     known = at < len(chosen)
     known[known] = chosen[at[known]] == place[known]
@@ -103,7 +124,7 @@ def fit_arrays(labels: np.ndarray, row: np.ndarray, place: np.ndarray, settings:
     vectors = random.normal(0, 0.01, (len(chosen), settings.factors))
     seen_b, seen_w, seen_v = 1e-6, np.full(len(chosen), 1e-6), np.full(vectors.shape, 1e-6)
     begins = np.searchsorted(row, np.arange(len(labels) + 1))
-    for _ in range(settings.epochs):
+    for epoch in range(settings.epochs):
         order = random.permutation(len(labels))
         for begin in range(0, len(order), settings.batch):
             rows = order[begin : begin + settings.batch]
@@ -116,15 +137,21 @@ def fit_arrays(labels: np.ndarray, row: np.ndarray, place: np.ndarray, settings:
             seen_b += step * step
             bias -= settings.rate * step / np.sqrt(seen_b)
             distinct, local = np.unique(places, return_inverse=True)
-            slope_w = np.bincount(local, error[own], len(distinct)) / len(rows) + settings.penalty * weights[distinct] / 10
-            slope_v = np.zeros((len(distinct), settings.factors))
-            np.add.at(slope_v, local, error[own, None] * (sums[own] - vectors[places]))
-            slope_v = slope_v / len(rows) + settings.penalty * vectors[distinct]
+            slope_w = np.bincount(local, error[own], len(distinct)) / len(rows) + settings.penalty * weights[distinct]
+            slope_w[~alone[distinct]] = 0
+            pulls = [np.bincount(local, error[own] * (sums[own, k] - vectors[places, k]), len(distinct)) for k in range(settings.factors)]
+            slope_v = np.stack(pulls, axis=1) / len(rows) + settings.pair_penalty * vectors[distinct]
             seen_w[distinct] += slope_w**2
             seen_v[distinct] += slope_v**2
             weights[distinct] -= settings.rate * slope_w / np.sqrt(seen_w[distinct])
-            vectors[distinct] -= settings.rate * slope_v / np.sqrt(seen_v[distinct])
-    return Model(chosen, float(bias), weights, vectors)
+            vectors[distinct] -= settings.pair_rate * slope_v / np.sqrt(seen_v[distinct])
+            if epoch >= settings.shrink_from:
+                length = np.sqrt((vectors[distinct] ** 2).sum(axis=1))
+                left = np.maximum(0, 1 - settings.shrink / np.maximum(length, 1e-12))
+                left[alone[distinct]] = 1
+                vectors[distinct] *= left[:, None]
+    used = alone | (vectors != 0).any(axis=1)
+    return Model(chosen[used], float(bias), weights[used], vectors[used])
 
 
 def _telling(labels: np.ndarray, row: np.ndarray, place: np.ndarray, settings: FmSettings) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from salesmart.llm import quality_classifier, toxicity
 from salesmart.llm.columns import crc_of_id
-from salesmart.llm.labelled import label_sample
+from salesmart.llm.labelled import label_sample, labelled_texts
 from salesmart.llm.queries import op3_quality_classifier, op6_toxicity
 from salesmart.llm.texts import pieces
 
@@ -98,6 +98,68 @@ def test_pairs_count_for_more_than_their_parts():
     assert alone[2] > 0.5 > max(alone[0], alone[1])
 
 
+def fitted_and_held(texts, labels, settings, share=2 / 3):
+    cut = int(len(texts) * share)
+    rows, places = zip(*[(r + p.row, t) for p in pieces(pa.array(texts[:cut])) for r, t in [toxicity.terms(p, settings.bits)]])
+    model = toxicity.fit_arrays(np.array(labels[:cut]), np.concatenate(rows), np.concatenate(places), settings)
+    return model, np.concatenate([toxicity.scores(p, model, settings.bits) for p in pieces(pa.array(texts[cut:]))])
+
+
+def test_words_that_tell_nothing_alone_tell_together():
+    """Label 1 where both of two words or neither are there: each is as frequent in either."""
+    draw = random.Random(2)
+    texts, labels = [], []
+    for _ in range(6000):
+        one, other = draw.random() < 0.5, draw.random() < 0.5
+        words = [f"w{draw.randrange(300)}" for _ in range(12)] + ["rotten"] * one + ["people"] * other
+        draw.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append(float(one == other))
+    settings = toxicity.FmSettings()
+    _, found = fitted_and_held(texts, labels, settings)
+    assert ((found >= 0.5) == np.array(labels[4000:])).mean() > 0.95
+
+
+def test_scores_are_the_sum_over_all_pairs(spark):
+    draw = random.Random(4)
+    random_model = np.random.Generator(np.random.PCG64(5))
+    bits = toxicity.FmSettings().bits
+    texts = [" ".join(f"w{draw.randrange(60)}" for _ in range(draw.randrange(40))) for _ in range(50)] + ["", None]
+    place_of = {}
+    for text in {w for t in texts if t for w in t.split()}:
+        place_of[text] = int(toxicity.terms(next(pieces(pa.array([text]))), bits)[1][0])
+    places = np.array(sorted(place_of.values())[::2])
+    model = toxicity.Model(places, 0.3, random_model.normal(0, 1, len(places)), random_model.normal(0, 0.4, (len(places), 8)))
+    found = np.concatenate([toxicity.scores(p, model, bits) for p in pieces(pa.array(texts, pa.string()))])
+    at = {p: k for k, p in enumerate(places.tolist())}
+    for text, score in zip(texts, found):
+        own = sorted({at[place_of[w]] for w in (text or "").split() if place_of[w] in at})
+        logit = model.bias + sum(model.weights[k] for k in own)
+        logit += sum(float(model.vectors[i] @ model.vectors[j]) for i in own for j in own if i < j)
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-9)
+
+
+def test_of_rows_with_one_id_the_least_text_counts(spark):
+    rows = [(1, "b"), (1, "a"), (1, None), (2, None), (2, None), (3, "z")]
+    documents = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5)
+    sample = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "key long, label int")
+    assert sorted(map(tuple, labelled_texts(documents, sample, "doc_id", "text").collect())) == [(1, 1, "a"), (2, 0, None)]
+
+
+def test_terms_of_the_sample_are_bounded(spark):
+    documents = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(200)], "doc_id long, text string")
+    sample = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("label"))
+    seen = []
+    whole = toxicity.fit_arrays
+    toxicity.fit_arrays = lambda labels, row, place, settings: seen.append(len(place)) or whole(labels, row, place, settings)
+    try:
+        toxicity.fit(documents, sample, settings=toxicity.FmSettings(max_terms=3000))
+        toxicity.fit(documents, sample)
+    finally:
+        toxicity.fit_arrays = whole
+    assert 0 < seen[0] < 4500 and seen[1] > 9900
+
+
 def test_awkward_documents_get_a_score(spark, awkward, sample):
     model = toxicity.fit(awkward, label_sample(sample, "doc_id", "y", 100))
     rows = toxicity.score(awkward, model, ["doc_id", "score"]).toDF("doc_id", "clash", "score").collect()
