@@ -387,8 +387,8 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
     """
     rows, known = _joined(documents, key, text, settings or JoinSettings())
     leads = known.select("lead.*").unionByName(rows.where(F.col("set").isNull()).select("doc_id", "text_key")).distinct()
-    leads = written(leads.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")))
-    digest = private_name(documents, "text_key")
+    digest, lead, lead_text = (private_name(documents, stem) for stem in ("text_key", "lead", "lead_text"))
+    leads = written(leads.select(F.col("doc_id").alias(lead), F.col("text_key").alias(lead_text)))
     own = documents.withColumn(digest, F.md5(F.coalesce(quoted(text), F.lit("")).cast("binary")))
-    kept = own.join(leads, quoted(key).eqNullSafe(F.col("d")) & (quoted(digest) == F.col("t")), "left_semi")
+    kept = own.join(leads, quoted(key).eqNullSafe(quoted(lead)) & (quoted(digest) == quoted(lead_text)), "left_semi")
     return kept.dropDuplicates([key, digest]).select(*map(quoted, documents.columns))

@@ -6,6 +6,7 @@ import random
 import duckdb
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from salesmart.llm import ngram_join, queries
@@ -125,8 +126,8 @@ def test_query_equals_sql(spark, directory, name):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted((tuple(r[k] for k in order) for r in rel.fetchall()), key=repr)
 
 
-def test_all_ten_queries_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+def test_all_queries_are_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 14))
 
 
 def test_each_stage_against_plain_python(spark, directory, tmp_path, tokenizer_file):
@@ -165,3 +166,34 @@ def test_each_stage_against_plain_python(spark, directory, tmp_path, tokenizer_f
 
     packed = outputs[names[4]].groupBy("doc_id").sum("length").collect()
     assert {r[0] for r in packed} == {r["doc_id"] for r in inputs[names[4]].select("doc_id").collect()}
+
+
+INTERNAL = ("d", "t", "set", "lead", "_lead", "_lead_text", "_text_key", "text_key", "root", "family", "copies", "class_id", "n_links", "place", "part", "ids", "kept")
+
+
+def test_columns_of_any_name_stay_with_the_documents_kept(spark):
+    rows = [(1, "one two three four five six", "x"), (2, "one two three four five six", "y"), (3, "another text altogether with six words", None)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in INTERNAL:
+        own = own.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    kept = ngram_join.distinct_documents(own, settings=SMALL)
+    assert kept.columns == own.columns
+    assert sorted((r["doc_id"], r["d"], r["t"]) for r in kept.collect()) == [(1, "d1", "t1"), (3, "d3", "t3")]
+
+
+def test_the_pipeline_takes_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (8, 0, 1), (None, 1, None), (12, 0, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("a", None), (None, "one two three four"), ("c", "")], "item_id string, text string")
+    more = awkward
+    for name in INTERNAL:
+        if name not in more.columns:
+            more = more.withColumn(name, F.lit("clash"))
+    for folder, documents, own, bench in (("awkward", more, labels, items), ("empty", nothing, labels.limit(0), items.limit(0))):
+        documents.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        own.write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        bench.write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/awkward").collect()
+    for _, length in {(r["doc_id"], r["doc_tokens"]) for r in found}:
+        assert length > 0
+    assert {r["doc_id"] for r in found} <= {r["doc_id"] for r in awkward.collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
