@@ -19,10 +19,13 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; removed when the session's JVM ends.
 
-    Only where that setting is unset, as in tests, a local folder stands in.
+    Where that setting is unset, as in tests, a local folder stands in for a local session; on
+    a cluster each executor would write to its own disk, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="shared-"))
         base = _own_folder[0]

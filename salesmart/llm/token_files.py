@@ -30,6 +30,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import quoted
 from .storage import shared_folder, ship, written
@@ -170,13 +171,26 @@ class FileReader:
             start += size
 
 
+#: Names under which Hadoop knows stores that Arrow knows under others.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    if "://" not in folder and not folder.startswith("file:"):
+        return fs.LocalFileSystem(), folder
+    scheme, rest = folder.split(":", 1)
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    except pa.ArrowException as error:
+        raise ValueError(f"files can't be kept under {folder}: Arrow reaches local folders, s3, gs, abfs and hdfs ({error})") from error
 
 
 def write_files(documents: DataFrame, tokenizer: str, folder: str, end_id: int = 0, key: str = "doc_id", text: str = "text", form: FileFormat | None = None) -> DataFrame:
     """Write the files below `folder`; returns the manifest: part, number, path, ids, base."""
     form = form or FileFormat()
+    _file_system(folder)  # fails here where it can't be reached
+    if not isinstance(documents.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"ids in files are whole numbers, {key} is {documents.schema[key].dataType.simpleString()}")
     ship(documents.sparkSession)
     rows = documents.select(quoted(key).cast("long").alias("key"), quoted(text).alias("text"))
     # The row number splits ids that many rows share over the ranges.

@@ -293,3 +293,23 @@ def test_probabilities_of_a_context_add_up(spark):
         total += a3[at] + m2[at] * (a2[at] + m1[at] * p)
     unseen = 1 / (model.tokens + model.distinct + 1)
     assert total + m2[at] * m1[at] * unseen == pytest.approx(1, abs=0.02)
+
+
+def test_files_need_whole_number_ids_and_a_folder_that_arrow_reaches(spark, tokenizer_file, tmp_path):
+    texts = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_files.write_files(texts, tokenizer_file, str(tmp_path))
+    numbers = spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    with pytest.raises(ValueError, match="can't be kept"):
+        token_files.write_files(numbers, tokenizer_file, "nostore://bucket/folder")
+
+
+def test_a_cluster_without_a_shared_folder_is_told_so():
+    from types import SimpleNamespace
+
+    from salesmart.llm import storage
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(cluster)
