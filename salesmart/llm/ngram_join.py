@@ -209,15 +209,18 @@ def _families(sets: DataFrame, settings: JoinSettings) -> DataFrame:
     shared = written(shared)
     members = written(bands.join(shared, "band"))
     crowded = F.col("size") > settings.crowd
+    # A set and the least one of each crowd it is in are of one family, so two sets that have a
+    # crowd's least one in common need not be compared.
     stars = members.where(crowded & (F.col("set") != F.col("least"))).select("set", "least").distinct()
-    crowds = written(components(stars))
-    few = members.where(~crowded).join(crowds.withColumnRenamed("node", "set"), "set", "left")
-    few = written(few.select("band", "set", F.coalesce("root", "set").alias("crowd")))
+    stars = written(stars)
+    crowds = stars.groupBy("set").agg(F.min("least").alias("crowd"))
+    few = members.where(~crowded).join(crowds, "set", "left")
+    few = written(few.select("band", "set", F.coalesce("crowd", "set").alias("crowd")))
     other = few.select("band", F.col("set").alias("b"), F.col("crowd").alias("other"))
     met = few.withColumnRenamed("set", "a").join(other, "band").where((F.col("a") < F.col("b")) & (F.col("crowd") != F.col("other")))
     pairs = written(met.select("a", "b").distinct())
     near = _pruned(pairs, sets.select("set", "signature"), settings)
-    links = crowds.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near)
+    links = stars.select(F.col("set").alias("a"), F.col("least").alias("b")).unionByName(near)
     return components(links).select(F.col("node").alias("set"), F.col("root").alias("family"))
 
 

@@ -197,3 +197,23 @@ def test_the_pipeline_takes_awkward_and_empty_tables(spark, awkward, nothing, tm
         assert length > 0
     assert {r["doc_id"] for r in found} <= {r["doc_id"] for r in awkward.collect()}
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_tasks_contract_what_they_read_and_lose_no_link(spark, monkeypatch):
+    draw = random.Random(6)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] * 3
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    wanted = {(x, find(x)) for link in links for x in link if link[0] != link[1]}
+    for held in (1 << 19, 8):
+        monkeypatch.setattr("salesmart.llm.components.HELD", held)
+        table = spark.createDataFrame(links, "x long, y long").repartition(5)
+        assert set(map(tuple, components(table).collect())) == {w for w in wanted}
+    assert components(table.limit(0)).collect() == []
