@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import calendar
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,13 @@ class DateRange:
         last = calendar.monthrange(self.end.year, self.end.month)[1]
         return DateRange(self.start.replace(day=1), self.end.replace(day=last))
 
+    def whole_months(self) -> DateRange | None:
+        """From the first day of the first month that is inside to the last of the last one."""
+        aligned = self.month_aligned()
+        start = aligned.start if self.start == aligned.start else (aligned.start + timedelta(days=31)).replace(day=1)
+        end = aligned.end if self.end == aligned.end else aligned.end.replace(day=1) - timedelta(days=1)
+        return DateRange(start, end) if start <= end else None
+
     @property
     def months(self) -> int:
         """Calendar months touched, both ends included."""

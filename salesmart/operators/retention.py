@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +45,23 @@ RETENTION_LINES = {
 }
 
 
+def daily_purchases(staged: DataFrame) -> DataFrame:
+    """Purchases of every customer and day, which the calendar bounds per customer."""
+    return staged.groupBy("customer_id", "dt").agg(F.count(F.lit(1)).alias("n"))
+
+
 def customer_bounds(staged: DataFrame, rng: DateRange | None) -> DataFrame:
-    """Purchase boundaries of every customer with a purchase in the window.
+    """Purchase boundaries of every customer with a purchase in the window."""
+    return bounds_of_days(daily_purchases(staged), rng)
+
 
-    Purchases are first counted per customer and day, which the calendar bounds, so
-    even a customer holding a third of all invoices leaves few rows to order. The
+def bounds_of_days(daily: DataFrame, rng: DateRange | None) -> DataFrame:
+    """The boundaries from purchases per customer and day.
+
+    Even a customer holding a third of all invoices leaves few rows to order. The
     second purchase is on the first day if that day has two, else on the next day.
     """
     inside = within(rng, "dt")
-    daily = staged.groupBy("customer_id", "dt").agg(F.count(F.lit(1)).alias("n"))
     by_day = Window.partitionBy("customer_id").orderBy("dt")
     following = (
         daily.withColumn("next_dt", F.lead("dt").over(by_day))
@@ -121,11 +131,21 @@ def customer_metrics(bounds: DataFrame, rng: DateRange | None, strict: bool = Fa
     )
 
 
-def retention_kpis(metrics: DataFrame) -> DataFrame:
+def median(column: str, rank_error: float | None) -> Column:
+    """The exact median, or a value whose rank is off by this share of the rows at most."""
+    if rank_error is None:
+        return F.median(column)
+    if not 0 < rank_error < 1:
+        raise ValueError("the rank error is a share between 0 and 1")
+    return F.percentile_approx(column, 0.5, math.ceil(1 / rank_error)).cast("double")
+
+
+def retention_kpis(metrics: DataFrame, rank_error: float | None = None) -> DataFrame:
     """One row of retention KPIs; no row when no customer bought in the window.
 
-    Medians are exact. Their state is one counter per distinct gap in days, which the
-    calendar bounds, and it merges across tasks.
+    Medians are exact unless a rank error is allowed. The state of exact ones is one counter
+    per distinct gap in days, which the calendar bounds, and it merges across tasks; that of
+    others is a sketch whose size the error bounds.
     """
     counts = metrics.agg(
         F.count(F.lit(1)).alias("num_cust"),
@@ -136,10 +156,10 @@ def retention_kpis(metrics: DataFrame) -> DataFrame:
         F.count_if("repeat_window").alias("ret_n_window"),
         F.avg("lifespan_mo_total").alias("avg_life_mo_tot"),
         F.avg("lifespan_mo_window").alias("avg_life_mo_win"),
-        F.median("gap_life").alias("med_gap_life"),
-        F.median("gap_window").alias("med_gap_window"),
-        F.median("gap_winback").alias("med_gap_winback"),
-        F.median("gap_retention").alias("med_gap_ret"),
+        median("gap_life", rank_error).alias("med_gap_life"),
+        median("gap_window", rank_error).alias("med_gap_window"),
+        median("gap_winback", rank_error).alias("med_gap_winback"),
+        median("gap_retention", rank_error).alias("med_gap_ret"),
         F.avg("avg_gap_life").alias("avg_gap_life"),
         F.avg("avg_gap_window").alias("avg_gap_window"),
         F.avg("avg_gap_bound").alias("avg_gap_bound"),

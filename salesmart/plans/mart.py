@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.dates import DataRange, DateRange
 from salesmart.functions.fingerprint import key_fingerprint
+from salesmart.functions.id_tree import tree_digest
 from salesmart.operators import cohorts, core, geo, groups, retention, series, staging
 from salesmart.operators.filters import SalesFilter
 from salesmart.operators.metrics import METRICS
@@ -116,6 +117,10 @@ class SalesMart:
         chosen = self.invoices if rng is None else self._in_months(self.invoices, rng).where(rng.month_aligned().contains("dt"))
         return staging.lines_of(self.model, chosen)
 
+    def digest(self) -> DataFrame:
+        """Exact identity of the staged invoice set, as the root of a tree over its ids."""
+        return tree_digest(self.invoices, "invoice_id")
+
     def _range(self, rng: DateRange | None) -> DateRange | DataRange:
         return DataRange.of(self.model.invoice) if rng is None else rng
 
@@ -209,5 +214,8 @@ class SalesMart:
     def customer_metrics(self, rng: DateRange | None = None, strict: bool = False) -> DataFrame:
         return retention.customer_metrics(self.customer_bounds(rng), rng, strict)
 
-    def retention_kpis(self, rng: DateRange | None = None, strict: bool = False) -> DataFrame:
-        return retention.retention_kpis(self.customer_metrics(rng, strict))
+    def retention_kpis(
+        self, rng: DateRange | None = None, strict: bool = False, rank_error: float | None = None
+    ) -> DataFrame:
+        """Medians are exact unless a rank error, a share of the rows, is allowed."""
+        return retention.retention_kpis(self.customer_metrics(rng, strict), rank_error)

@@ -607,6 +607,14 @@ def _code_labels() -> str:
     return _with(*parts) + f" SELECT metric, rank, group_val, {name} AS group_val_fmt FROM t_country"
 
 
+def _tree_digest(v: Variant) -> str:
+    levels = "t0 AS (SELECT invoice_id >> 12 AS place, sha256(string_agg(CAST(invoice_id AS VARCHAR), ',' ORDER BY invoice_id)) AS digest, count(*) AS n FROM (SELECT DISTINCT invoice_id FROM st) GROUP BY 1)"
+    for k in range(7):
+        levels += f", t{k + 1} AS (SELECT place >> 8 AS place, sha256(string_agg(place || ':' || digest, ',' ORDER BY t{k}.place)) AS digest, sum(n) AS n FROM t{k} GROUP BY place >> 8)"
+    top = "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS num_ids, sha256(coalesce(string_agg(place || ':' || digest, ',' ORDER BY place), '')) AS digest FROM t7"
+    return _with(staged(v.filter), levels) + " " + top
+
+
 def build_oracle() -> dict[str, str]:
     found = {name + v.suffix: _scoped(name, v) for name in TWO + THREE for v in (PLAIN, FILTERED)}
     found |= {name + WINDOWED.suffix: _scoped(name, WINDOWED) for name in THREE}
@@ -625,5 +633,15 @@ def build_oracle() -> dict[str, str]:
     for name in ("core_kpis", "group_kpis_genre", "group_yearly_artist", "monthly_summary", "catalog_sales_artist", "customer_bounds"):
         for v in (PLAIN, FILTERED):
             found |= {f"{name}{v.suffix}_{how}": found[name + v.suffix] for how in ("colocated", "found_again")}
+    for v in (PLAIN, WINDOWED, FILTERED):
+        for by in ("genre", "artist", "country"):
+            tracks = "" if by == "country" else ", count(DISTINCT track_id) AS unique_tracks_sold"
+            named = "TRUE" if by == "country" else f"{by} IS NOT NULL"
+            found[f"distinct_counts_{by}{v.suffix}_kept"] = (
+                _with(staged(v.filter))
+                + f" SELECT {by} AS group_val, count(DISTINCT customer_id) AS num_customers{tracks} FROM sl WHERE {_between(v.rng)} AND {named} GROUP BY 1"
+            )
+        found[f"customer_bounds{v.suffix}_in_batches"] = found["customer_bounds" + v.suffix]
+        found[f"filter_digest{v.suffix}"] = _tree_digest(v)
     found["static_summary_colocated"] = found["static_summary"]
     return found

@@ -21,6 +21,8 @@ from salesmart.functions.fingerprint import frame_fingerprint
 from salesmart.operators import cohorts, geo, groups, series, summary
 from salesmart.operators.filters import SalesFilter
 from salesmart.plans.bundle import kpi_bundle, topn_all
+from salesmart.plans.customers import CustomerDays
+from salesmart.plans.distinct import DistinctSets
 from salesmart.plans.insights import insights_compare
 from salesmart.plans.mart import SalesMart
 from salesmart.session import configure
@@ -218,6 +220,11 @@ def build_queries() -> dict[str, Query]:
         for v in (PLAIN, FILTERED):
             found[f"{name}{v.suffix}_colocated"] = partial(_colocated, SCOPED[name], v)
             found[f"{name}{v.suffix}_found_again"] = partial(_found_again, SCOPED[name], v)
+    for v in VARIANTS:
+        for by in groups.GROUPS:
+            found[f"distinct_counts_{by}{v.suffix}_kept"] = partial(_distinct, by, v)
+        found[f"customer_bounds{v.suffix}_in_batches"] = partial(_batched, v)
+        found[f"filter_digest{v.suffix}"] = partial(_scoped, lambda m, v: m.digest(), v)
     found["static_summary_colocated"] = lambda spark, directory: summary.static_summary(colocated(spark, directory))
     return found
 
@@ -240,6 +247,20 @@ def _found_again(build, v: Variant, spark: SparkSession, directory: str) -> Data
     return build(mart_for(spark, directory, v.filter).stored_in(folder), v)
 
 
+def _distinct(by: str, v: Variant, spark: SparkSession, directory: str) -> DataFrame:
+    sets = DistinctSets(shared_folder(spark))
+    sets.write(mart_for(spark, directory, v.filter))
+    return sets.counts(spark, by, v.rng)
+
+
+def _batched(v: Variant, spark: SparkSession, directory: str) -> DataFrame:
+    """Boundaries over invoices that came in two batches."""
+    days, mart = CustomerDays(shared_folder(spark)), mart_for(spark, directory, v.filter)
+    for batch, own in (("early", F.col("dt") < F.lit("1997-06-01")), ("late", F.col("dt") >= F.lit("1997-06-01"))):
+        days.add(batch, mart.invoices.where(own))
+    return days.bounds(spark, v.rng)
+
+
 def _scoped(build, v: Variant, spark: SparkSession, directory: str) -> DataFrame:
     return build(mart_for(spark, directory, v.filter), v)
 

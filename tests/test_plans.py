@@ -12,7 +12,7 @@ from salesmart.plans.registry import build_queries
 from salesmart.session import configure
 
 # Others write tables when they are built.
-QUERIES = {n: q for n, q in build_queries().items() if not n.endswith(("_colocated", "_found_again"))}
+QUERIES = {n: q for n, q in build_queries().items() if not n.endswith(("_colocated", "_found_again", "_kept", "_in_batches"))}
 
 
 @pytest.fixture(scope="module")
