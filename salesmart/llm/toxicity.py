@@ -5,7 +5,7 @@ latent vectors of every two terms present, so that a pair can count for more tha
 parts. Terms are words with A-Z lowered, hashed to 2**bits places. Every place that enough
 labelled rows have gets a vector, also one that tells nothing alone and much together with
 another; after some epochs, a penalty on whole vectors takes those back to zero that no pair
-needs, and places without a weight and a vector leave the model. Weights are for places that
+needs, places without a weight and a vector leave, and the rest is fitted anew. Weights are for places that
 tell something alone (a likelihood-ratio test), so that rare words of a few rows don't add up.
 Fitted on a bounded sample of labelled rows on the driver, then sent to the tasks, which score
 whole texts. Model size is bounded by the number of places.
@@ -113,16 +113,31 @@ def fit_arrays(labels: np.ndarray, row: np.ndarray, place: np.ndarray, settings:
     chosen = distinct[np.bincount(local, minlength=len(distinct)) >= settings.least_rows]
     if not len(chosen):
         return Model(empty, float(np.log(share / (1 - share))), empty.astype(float), np.zeros((0, settings.factors)))
-    alone = np.isin(chosen, _telling(labels, row, place, settings))
-    at = np.searchsorted(chosen, place)
-    known = at < len(chosen)
-    known[known] = chosen[at[known]] == place[known]
-    row, feature = row[known], at[known]
+    telling = _telling(labels, row, place, settings)
+    # First all together, to see which places some pair needs; then those alone, so that what
+    # the others picked up by chance on the way has no part in it.
+    *_, vectors = _descended(labels, *_within(chosen, row, place), np.isin(chosen, telling), settings, True)
+    chosen = chosen[np.isin(chosen, telling) | (vectors != 0).any(axis=1)]
+    return Model(chosen, *_descended(labels, *_within(chosen, row, place), np.isin(chosen, telling), settings, False))
+
+
+def _within(chosen: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and numbers of the chosen places."""
+    if not len(chosen):
+        return row[:0], row[:0]
+    at = np.minimum(np.searchsorted(chosen, place), len(chosen) - 1)
+    known = chosen[at] == place
+    return row[known], at[known]
+
+
+def _descended(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, alone: np.ndarray, settings: FmSettings, shrinking: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and vectors by adaptive gradient steps; `alone`: places that have a weight."""
+    share, size = labels.mean(), len(alone)
     random = np.random.Generator(np.random.PCG64(settings.seed))
     bias = np.log(share / (1 - share))
-    weights = np.zeros(len(chosen))
-    vectors = random.normal(0, 0.01, (len(chosen), settings.factors))
-    seen_b, seen_w, seen_v = 1e-6, np.full(len(chosen), 1e-6), np.full(vectors.shape, 1e-6)
+    weights = np.zeros(size)
+    vectors = random.normal(0, 0.01, (size, settings.factors))
+    seen_b, seen_w, seen_v = 1e-6, np.full(size, 1e-6), np.full(vectors.shape, 1e-6)
     begins = np.searchsorted(row, np.arange(len(labels) + 1))
     for epoch in range(settings.epochs):
         order = random.permutation(len(labels))
@@ -145,13 +160,12 @@ def fit_arrays(labels: np.ndarray, row: np.ndarray, place: np.ndarray, settings:
             seen_v[distinct] += slope_v**2
             weights[distinct] -= settings.rate * slope_w / np.sqrt(seen_w[distinct])
             vectors[distinct] -= settings.pair_rate * slope_v / np.sqrt(seen_v[distinct])
-            if epoch >= settings.shrink_from:
+            if shrinking and epoch >= settings.shrink_from:
                 length = np.sqrt((vectors[distinct] ** 2).sum(axis=1))
                 left = np.maximum(0, 1 - settings.shrink / np.maximum(length, 1e-12))
                 left[alone[distinct]] = 1
                 vectors[distinct] *= left[:, None]
-    used = alone | (vectors != 0).any(axis=1)
-    return Model(chosen[used], float(bias), weights[used], vectors[used])
+    return float(bias), weights, vectors
 
 
 def _telling(labels: np.ndarray, row: np.ndarray, place: np.ndarray, settings: FmSettings) -> np.ndarray:
