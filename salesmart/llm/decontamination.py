@@ -13,7 +13,7 @@ needs no other way. An item with fewer words than a window is one span of its ow
 and is looked up at that length through a second table of the same size.
 
 Defined cases: a null or empty text has no words, so nothing in it is hit and an empty item
-never occurs; repeated documents are judged alike, each on its own; items of the same id
+never occurs; long texts are searched whole; repeated documents are judged alike, each on its own; items of the same id
 count once; a null item id is left out of the digest but its hits count; empty tables give
 no rows or no hits. Columns of the inputs other than those named are not looked at.
 """

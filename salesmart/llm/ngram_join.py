@@ -22,7 +22,7 @@ once, with its number of copies.
 Defined cases: a text of fewer words than a shingle is one shingle; a null text or one
 without words is in no link and a class of its own; ties of the least document go to the
 smaller text digest; repeated rows are copies of one another; the class of documents that
-all have null ids is null; empty tables give no rows. Columns of the input other than those
+all have null ids is null; long texts are shingled whole; empty tables give no rows. Columns of the input other than those
 named are not looked at.
 """
 

@@ -11,8 +11,10 @@ The labelled vectors are broadcast; their number and length are parameters, so t
 is bounded.
 
 Defined cases: a null or empty text has no direction and gets the share of good labels;
-ties in similarity go to the smaller labelled id; repeated rows get equal scores; without
-labels the score is 0.5; an empty table gives no rows.
+ties in similarity go to the smaller labelled id; long texts are counted whole; repeated rows get
+equal scores, and of labelled rows with one id the least text counts; without labels the score
+is 0.5; an empty table gives no rows. Columns of the input other than those named come along
+only if they are named in `keep`, and may have any name.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ document fails if it breaks a base rule, or if it is long enough to tell and its
 lie further from every reference, by Jensen-Shannon distance, than the limits allow.
 
 Defined cases: a null or empty text has no words and fails the base rule on length;
-repeated rows are judged alike, each on its own; documents of a null or unlisted language
-form a reference of their own; an empty table gives an empty result. Columns of the input
+long texts are counted whole; repeated rows are judged alike, each on its own; documents of a
+null or unlisted language form a reference of their own; references are over all documents, odd
+ones too, and of references equally near any decides alike; an empty table gives an empty result. Columns of the input
 other than those named are not looked at, so their names can't clash.
 """
 

@@ -13,7 +13,9 @@ repeated tasks are never read. Files are read back block by block.
 
 Defined cases: a null or empty text is its end id alone; null ids come first; rows of equal
 ids are written once each, in any order among themselves; a text longer than a block or a
-file is written whole; an empty table gives no files and no rows.
+file is written whole; an empty table gives no files and no rows. Ids that are no whole numbers,
+and folders that Arrow doesn't reach, are refused before any work. Columns of the input other
+than those named are not looked at.
 """
 
 from __future__ import annotations
