@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again, so lost
 executors cost a part of one stage at most.
+
+Defined cases are those of the operators: a null, empty or very long text is judged whole as
+any other; null ids and repeated rows go through the stages row by row until the join, where
+one row of equal ids and texts stays, and of equal texts the one with the least id; without
+labels every document passes the classifier; empty tables give no pieces. All columns of the
+documents, whatever their names, stay with them until packing.
 """
 
 from __future__ import annotations
