@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import quoted
+from .storage import written
 
 
 def label_sample(labels: DataFrame, key: str, label: str, bound: int, usable: Column | None = None) -> DataFrame:
@@ -33,3 +34,17 @@ def labelled_texts(documents: DataFrame, sample: DataFrame, key: str, text: str)
     """
     own = documents.select(quoted(key).alias("key"), quoted(text).alias("text"))
     return own.join(F.broadcast(sample), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+
+
+def labelled_texts_in_place(documents: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of `labelled_texts`, where they are read: only texts of repeated ids are shuffled.
+
+    Aggregating all texts would sort them, in as many tasks, and files, as a shuffle has.
+    """
+    own = documents.select(quoted(key).alias("key"), quoted(text).alias("text")).join(F.broadcast(sample), "key")
+    counted = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(counted.where(F.col("n") > 1).select("key").coalesce(1))
+    if repeated.isEmpty():
+        return own.select("key", "label", "text")
+    least = labelled_texts(documents, sample.join(F.broadcast(repeated), "key", "left_semi"), key, text)
+    return own.join(F.broadcast(repeated), "key", "left_anti").select("key", "label", "text").unionByName(least)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import quoted
-from .labelled import labelled_texts
+from .labelled import labelled_texts_in_place
 from .storage import ship, written
 from .texts import PLAIN_WORD, Piece, pieces
 
@@ -90,7 +90,7 @@ def fit(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([own["key"], own["label"].cast(pa.int32()), lists], names=["key", "label", "places"])
 
     kind = sample.schema["key"].dataType.simpleString()
-    listed = written(labelled_texts(documents, sample, key, text).mapInArrow(run, f"key {kind}, label int, places array<int>"))
+    listed = written(labelled_texts_in_place(documents, sample, key, text).mapInArrow(run, f"key {kind}, label int, places array<int>"))
     total = listed.agg(F.sum(F.size("places"))).first()[0] or 0
     if total > settings.max_terms:
         listed = listed.where(F.abs(F.xxhash64("key", F.lit("terms"))) < int(settings.max_terms / total * (1 << 63)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from salesmart.llm import quality_classifier, toxicity
 from salesmart.llm.columns import crc_of_id
-from salesmart.llm.labelled import label_sample, labelled_texts
+from salesmart.llm.labelled import label_sample, labelled_texts, labelled_texts_in_place
 from salesmart.llm.queries import op3_quality_classifier, op6_toxicity
 from salesmart.llm.texts import pieces
 
@@ -179,3 +179,30 @@ def test_held_out_accuracy(spark, query, column, least):
     assert np.mean([r[0] == r[1] for r in held]) >= least
     crc = spark.createDataFrame([(123,), (None,)], "i long").select(crc_of_id(F.col("i"))).collect()
     assert [r[0] for r in crc] == [2286445522, 0]
+
+
+def test_only_texts_of_repeated_ids_are_shuffled(spark):
+    rows = [(1, "b"), (1, "a"), (2, None), (2, None), (3, "c"), (4, None), (None, "x"), (5, "unlabelled")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "key long, label int")
+    found = labelled_texts_in_place(documents, sample, "doc_id", "text")
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a"), (2, 0, None), (3, 1, "c"), (4, 0, None)]
+    once = labelled_texts_in_place(documents.where("doc_id > 2"), sample, "doc_id", "text")
+    assert sorted(map(tuple, once.collect())) == [(3, 1, "c"), (4, 0, None)]
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
+
+
+def test_toxicity_is_fitted_without_sorting_texts(spark, monkeypatch):
+    documents = spark.createDataFrame([(k, f"good w{k % 5}" if k % 2 else f"bad w{k % 5}") for k in range(40)], "doc_id long, text string")
+    sample = label_sample(spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, y int"), "doc_id", "y", 100)
+    plans = []
+
+    def noted(frame, *columns):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return written(frame, *columns)
+
+    written = toxicity.written
+    monkeypatch.setattr(toxicity, "written", noted)
+    model = toxicity.fit(documents, sample)
+    assert len(model.places) and not any("SortAggregate" in plan for plan in plans)
