@@ -11,7 +11,7 @@ and most n-grams of a corpus occur once. `head_share` and `gram_share`, 0 unless
 more. Tasks count n-grams in sorted runs, cut by hash, so that no frequent word or pair brings
 its n-grams to one task; a run is shuffled as one block of bytes with its own dictionary, and
 each part is merged and pruned on its own. What is left is dealt out by the hash of its
-context to shards, as many as it takes, each written as a file. A level of a shard is an
+context to shards, in blocks of bytes again, as many as it takes, each written as a file. A level of a shard is an
 Elias-Fano sequence of words of the shard, made monotone by adding the last value of the range
 before; others of contexts and of pointers to where the children of each begin; and a byte
 each for the discounted probability and for the mass left to shorter contexts, on a
@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import quoted
-from .storage import shared_folder, ship, written
+from .storage import shared_folder, ship, shuffles_removed, written
 from .succinct import EliasFano, from_buffer, to_file
 from .texts import FOLDED_WORD, mix, pieces
 from .token_files import _file_system
@@ -358,33 +358,55 @@ def _decode(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndar
     return table[arrays[f"{name}.code"][at]]
 
 
+def _words(raw: bytes) -> np.ndarray:
+    """The words alone of a block."""
+    data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
+    return _from_planes(data[32:], int(data[:8].view("<i8")[0])).astype(np.int64) - 1
+
+
+def _frequent(keys: np.ndarray, counts: np.ndarray, lowest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys whose counts add up to enough, in order, and the sums."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    del order
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    totals = np.add.reduceat(counts, begins, dtype=np.int64) if len(begins) else np.zeros(0, dtype=np.int64)
+    own = totals >= lowest
+    return keys[begins[own]], totals[own]
+
+
 def _merged(blocks: list[bytes], lowest: int) -> dict[int, tuple]:
     """By length: columns of tokens of the n-grams frequent enough, in order, and counts; for
-    trigrams also those of their contexts."""
-    read = [_unblock(b, counted=True) for b in blocks]
-    words = np.unique(np.concatenate([r[0] for r in read]))
-    maps = [np.searchsorted(words, r[0]) for r in read]
-    out = {}
-    for length in (2, 3):
-        columns = [np.concatenate(c) for c in zip(*[[m[x] for x in _split(r[1][length], length)] for r, m in zip(read, maps)])]
-        numbers = np.concatenate([r[2][length] for r in read])
-        # Two columns at a time, so that any number of words fits.
-        key = columns[0].astype(np.uint64)
-        for column in columns[1:]:
-            key, at = np.unique((key << np.uint64(32)) | column.astype(np.uint64), return_inverse=True)
-            place = np.zeros(len(key), dtype=np.int64)
-            place[at] = np.arange(len(at))
-            pairs, key = key, at.astype(np.uint64)
-        totals = np.bincount(at, numbers, len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, dtype=np.int64)
-        own = np.flatnonzero(totals >= lowest)
-        local = [c[place[own]] for c in columns]
-        out[length] = [words[c] for c in local], totals[own]
-        pairs = (local[0].astype(np.uint64) << np.uint64(32)) | local[1].astype(np.uint64)
-        if length == 2:
-            contexts, own_counts = pairs, totals[own]
-        else:  # every context of a kept trigram is at least as frequent, so it is kept too
-            out[length] += (own_counts[np.searchsorted(contexts, pairs)],)
-    return out
+    trigrams also those of their contexts.
+
+    Blocks are read once for each length, one at a time. A trigram is no more frequent than its
+    context, so those of other contexts than the frequent ones are left out as they are read.
+    """
+    words = np.unique(np.concatenate([_words(raw) for raw in blocks]))
+
+    def read(length):
+        for raw in blocks:
+            own, grams, counts = _unblock(raw, counted=True)
+            at = np.searchsorted(words, own)
+            first, second, *third = (at[c] for c in _split(grams[length], length))
+            yield (first << 32) | second, third, counts[length].astype(np.uint32)
+
+    pairs, counts = zip(*[(pair, count) for pair, _, count in read(2)])
+    pairs, counts = np.concatenate(pairs), np.concatenate(counts)
+    contexts, totals = _frequent(pairs, counts, lowest)
+    del pairs, counts
+    keys, counts = [], []
+    for pair, (last,), count in read(3):
+        at = _placed(pair, contexts)
+        own = at >= 0
+        keys.append((at[own] << 32) | last[own])
+        counts.append(count[own])
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    keys, own_totals = _frequent(keys, counts, lowest)
+    low = (1 << 32) - 1
+    parent = keys >> 32
+    first, second = words[contexts >> 32], words[contexts & low]
+    return {2: ([first, second], totals), 3: ([first[parent], second[parent], words[keys & low]], own_totals, totals[parent])}
 
 
 def _monotone(numbers: np.ndarray, pointers: np.ndarray) -> np.ndarray:
@@ -411,18 +433,21 @@ def _may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _level(name: str, parent: np.ndarray, child: np.ndarray, counts: np.ndarray, parent_counts: np.ndarray, discount: float) -> dict[str, np.ndarray]:
-    """Arrays of a level: the words after each context, and what they are worth."""
-    order = np.argsort((parent << 32) | child)
-    parent, child, counts = parent[order], child[order], counts[order]
+def _level(name: str, key: np.ndarray, counts: np.ndarray, parent_counts: np.ndarray, discount: float) -> dict[str, np.ndarray]:
+    """Arrays of a level: the words after each context, and what they are worth. `key`: the place
+    of the context, then 32 bits of the word's."""
+    order = np.argsort(key)
+    key, counts = key[order], counts[order]
     del order
+    parent = key >> 32
     share = (counts - discount) / parent_counts[parent]
     left = 1 - np.bincount(parent, share, len(parent_counts))
     pointers = np.searchsorted(parent, np.arange(len(parent_counts) + 1))
     out = _code(share, f"a{name}") | _code(left, f"m{name}")
+    del parent, share, left, counts
     out |= EliasFano.of(pointers.astype(np.int64)).arrays(f"p{name}")
-    out |= EliasFano.of(_monotone(child, pointers)).arrays(f"g{name}")
-    out[f"f{name}"] = _bit_filter((parent.astype(np.uint64) << np.uint64(32)) | child.astype(np.uint64))
+    out |= EliasFano.of(_monotone(key & ((1 << 32) - 1), pointers)).arrays(f"g{name}")
+    out[f"f{name}"] = _bit_filter(key.astype(np.uint64))
     return out
 
 
@@ -430,22 +455,30 @@ def build_shard(rows: dict[int, list[np.ndarray]], counts_of, discount: float) -
     """Trie of the n-grams whose contexts are dealt to the shard.
 
     `rows`, columns of tokens and then of counts: 1 has tokens without a small number, 2
-    bigrams, 3 trigrams, with the counts of their contexts last. `counts_of`: how often each
-    of some tokens has a token after it.
+    bigrams, 3 trigrams, with the counts of their contexts last; the latter two are taken out.
+    `counts_of`: how often each of some tokens has a token after it.
     """
     single, counts = rows[1]
     order = np.argsort(single)
     words = np.unique(np.concatenate([*map(np.unique, rows[2][:2]), *map(np.unique, rows[3][:3])]))
     out = {"words": words, "single": single[order], "counts": counts[order]}
-    first, second = (np.searchsorted(words, c) for c in rows[2][:2])
-    contexts, parent = np.unique(first, return_inverse=True)
+    # Rows go as soon as places stand for their tokens.
+    first, second, counts = rows.pop(2)
+    contexts, parent = np.unique(np.searchsorted(words, first), return_inverse=True)
+    key = (parent << 32) | np.searchsorted(words, second)
+    del first, second, parent
     out |= EliasFano.of(contexts).arrays("c2")
-    out |= _level("2", parent, second, rows[2][2], np.maximum(counts_of(words[contexts]), 1), discount)
-    pairs = (np.searchsorted(words, rows[3][0]) << 32) | np.searchsorted(words, rows[3][1])
+    out |= _level("2", key, counts, np.maximum(counts_of(words[contexts]), 1), discount)
+    first, second, third, counts, context_counts = rows.pop(3)
+    pairs = (np.searchsorted(words, first) << 32) | np.searchsorted(words, second)
+    del first, second
     contexts, at, parent = np.unique(pairs, return_index=True, return_inverse=True)
     del pairs
+    context_counts = context_counts[at]
+    key = (parent << 32) | np.searchsorted(words, third)
+    del third, parent, at
     out |= EliasFano.of(contexts).arrays("c3")
-    return out | _level("3", parent, np.searchsorted(words, rows[3][2]), rows[3][3], rows[3][4][at], discount)
+    return out | _level("3", key, counts, context_counts, discount)
 
 
 def _placed(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -600,13 +633,62 @@ def _rows(found: list[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.nd
     return {name: np.concatenate(values) for name, values in out.items()}
 
 
+#: The columns that rows of each kind have.
+KINDS = {1: ("a", "n"), 2: ("a", "b", "n"), 3: ("a", "b", "c", "n", "context")}
+
+
+def _dealt(rows: DataFrame, number: int, held: int) -> DataFrame:
+    """shard, how many rows of each kind, and their columns as one block of bytes."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        waiting, size = [], 0
+
+        def blocks(table):
+            columns = {name: table[name].to_numpy() for name in table.column_names}
+            group = 4 * ((columns["spot"] * number) >> 32) + columns["kind"]
+            order = np.argsort(group, kind="stable")
+            groups, begins = np.unique(group[order], return_index=True)
+            spans = {int(g): order[x:y] for g, x, y in zip(groups, begins, np.append(begins[1:], len(order)))}
+            for shard in sorted({g >> 2 for g in spans}):
+                own = [spans.get(4 * shard + kind, order[:0]) for kind in KINDS]
+                planes = [columns[name][at].view(np.uint8).reshape(-1, 8).T.tobytes() for at, names in zip(own, KINDS.values()) for name in names]
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "sizes": [list(map(len, own))], "block": [packer.compress(b"".join(planes))]})
+
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= held:
+                yield from blocks(pa.Table.from_batches(waiting))
+                waiting, size = [], 0
+        if size:
+            yield from blocks(pa.Table.from_batches(waiting))
+
+    return rows.mapInArrow(run, "shard int, sizes array<long>, block binary")
+
+
+def _gathered(sizes: list[list[int]], blocks) -> dict[int, list[np.ndarray]]:
+    """By kind, the columns of all rows of a shard's blocks."""
+    out = {kind: [np.empty(sum(own), dtype=np.int64) for _ in names] for (kind, names), own in zip(KINDS.items(), zip(*sizes))}
+    begins = dict.fromkeys(KINDS, 0)
+    for own, raw in zip(sizes, blocks):
+        data = np.frombuffer(zstandard.decompress(raw.as_py()), dtype=np.uint8)
+        for kind, size in zip(KINDS, own):
+            for column in out[kind]:
+                column[begins[kind] : begins[kind] + size] = np.ascontiguousarray(data[: 8 * size].reshape(8, size).T).view("<i8").ravel()
+                data = data[8 * size :]
+            begins[kind] += size
+    return out
+
+
 def train(documents: DataFrame, text: str = "text", settings: LmSettings | None = None) -> Trained:
     """Count all texts of `documents` and write the model to the shared folder."""
     settings = settings or LmSettings()
     spark = documents.sparkSession
     ship(spark)
     folder = shared_folder(spark)
-    counts = written(_token_counts(documents, text, settings))
+    with shuffles_removed(spark):
+        counts = written(_token_counts(documents, text, settings))
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("h") == int(END_HASH.astype(np.int64)), F.col("c"))).alias("texts")).first()
     tokens, distinct, texts = total["n"] or 0, total["v"], total["texts"] or 0
     head, whole = _head(counts, tokens, folder, settings)
@@ -621,7 +703,8 @@ def train(documents: DataFrame, text: str = "text", settings: LmSettings | None
         (x, y, z), n3, context = found[3]
         return pa.table(_rows([(2, _one_spot(u), [u, v], n2, None), (3, _two_spot(x, y), [x, y, z], n3, context)]))
 
-    kept = written(blocks.groupBy("part").applyInArrow(merge, ROWS))
+    with shuffles_removed(spark):
+        kept = written(blocks.groupBy("part").applyInArrow(merge, ROWS))
     number = max(1, int(np.ceil(kept.count() / settings.shard_grams)))
 
     def singles(batches):
@@ -638,10 +721,7 @@ def train(documents: DataFrame, text: str = "text", settings: LmSettings | None
     def build(key, group):
         shard = key[0].as_py()
         by_rank = _mapped(folder, head)["by_rank"]
-        rows = {}
-        for kind, names in {1: ["a", "n"], 2: ["a", "b", "n"], 3: ["a", "b", "c", "n", "context"]}.items():
-            own = pa.compute.equal(group["kind"], kind)
-            rows[kind] = [group[name].filter(own).to_numpy() for name in names]
+        rows = _gathered(group["sizes"].to_pylist(), group["block"])
         single, numbers = rows[1]
         order = np.argsort(single)
 
@@ -654,8 +734,9 @@ def train(documents: DataFrame, text: str = "text", settings: LmSettings | None
         made = build_shard(rows, counts_of, discount)
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [_save(folder, f"shard-{shard:04d}", to_file(made))]})
 
-    shard = F.shiftright(F.col("spot") * number, 32).cast("int")
-    made = written(kept.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, path string"))
+    # Rows meet in blocks: neither the JVM nor Python holds them one by one.
+    with shuffles_removed(spark):
+        made = written(_dealt(kept, number, settings.held // 2).groupBy("shard").applyInArrow(build, "shard int, path string"))
     shards = [(r["shard"], number, r["path"]) for r in sorted(made.collect())]
     return Trained(tokens, distinct, folder, head, shards, counts)
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import collections
 import io
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from salesmart.llm import decontamination, lm_scoring, packing, quality_rules, token_files
+from salesmart.llm.storage import SHUFFLES_GO, shuffles_removed, written
 from salesmart.llm.tokens import Encoder
 from salesmart.llm.texts import pieces
 
@@ -270,6 +274,69 @@ def test_every_repeated_ngram_is_kept(spark, numbered):
         assert abs(rows[k]["score"] - score) <= 0.01 * n
 
 
+def counted_blocks(runs, pairs_each, vocabulary):
+    """Blocks of n-grams of runs, and all of them in a dictionary."""
+    draw, packer, blocks, total = np.random.default_rng(4), zstandard.ZstdCompressor(level=1), [], collections.Counter()
+    for _ in range(runs):
+        words = np.sort(draw.choice(10 * vocabulary, vocabulary, replace=False))
+        three = np.unique(lm_scoring._packed([draw.zipf(1.3, pairs_each) % vocabulary, *draw.integers(0, vocabulary, (2, pairs_each))]))
+        grams = {1: np.zeros(0, np.uint64), 2: np.unique(three >> np.uint64(lm_scoring.ID_BITS)), 3: three}
+        counts = {length: draw.integers(1, 3, len(keys)) for length, keys in grams.items()}
+        counts[2] = np.bincount(np.searchsorted(grams[2], three >> np.uint64(lm_scoring.ID_BITS)), counts[3]).astype(np.int64)
+        blocks.append(lm_scoring._block(words, grams, packer, counts))
+        for length in (2, 3):
+            for gram, count in zip(zip(*[words[c].tolist() for c in lm_scoring._split(grams[length], length)]), counts[length].tolist()):
+                total[gram] += count
+    return blocks, total
+
+
+def test_blocks_are_merged_to_the_frequent_ngrams(spark):
+    blocks, total = counted_blocks(6, 800, 40)
+    for lowest in (2, 5):
+        merged = lm_scoring._merged(blocks, lowest)
+        for length in (2, 3):
+            columns, counts = merged[length][:2]
+            found = list(zip(*[c.tolist() for c in columns]))
+            assert found == sorted(g for g, n in total.items() if len(g) == length and n >= lowest)
+            assert counts.tolist() == [total[g] for g in found]
+        assert merged[3][2].tolist() == [total[g[:2]] for g in zip(*[c.tolist() for c in merged[3][0]])]
+
+
+def test_merging_takes_a_few_words_of_memory_an_ngram():
+    blocks, total = counted_blocks(20, 15_000, 5000)
+    tracemalloc.start()
+    lm_scoring._merged(blocks, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(total)
+
+
+def test_rows_meet_their_shard_in_blocks(spark):
+    draw = random.Random(5)
+    rows = [(k % 3 + 1, draw.randrange(1 << 32), *[draw.randrange(1 << 62) for _ in range(5)]) for k in range(500)]
+    blocks = lm_scoring._dealt(spark.createDataFrame(rows, lm_scoring.ROWS).repartition(3), 4, 60).collect()
+    assert {r["shard"] for r in blocks} == set(range(4)) and len(blocks) < 60
+    for shard in range(4):
+        own = [r for r in blocks if r["shard"] == shard]
+        found = lm_scoring._gathered([r["sizes"] for r in own], [pa.scalar(bytes(r["block"])) for r in own])
+        for kind, names in lm_scoring.KINDS.items():
+            at = [("kind", "spot", "a", "b", "c", "n", "context").index(name) for name in names]
+            want = sorted(tuple(r[k] for k in at) for r in rows if r[0] == kind and (r[1] * 4) >> 32 == shard)
+            assert sorted(zip(*[c.tolist() for c in found[kind]])) == want
+
+
+def test_training_leaves_no_shuffle_files(spark):
+    documents = spark.createDataFrame([(k, f"a b c d{k % 7}") for k in range(50)], "doc_id long, text string")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = manager.shuffleStatuses().size()
+    kept = spark.conf.get(SHUFFLES_GO, None)
+    lm_scoring.train(documents)
+    assert spark.conf.get(SHUFFLES_GO, None) == kept
+    with shuffles_removed(spark):
+        written(documents.groupBy("text").count())
+    assert manager.shuffleStatuses().size() <= before + 1
+
+
 def test_scoring_awkward_documents_and_learning_from_none(spark, awkward, nothing):
     model = lm_scoring.train(nothing)
     assert {(r["base_score"], r["score"], r["n_known"]) for r in lm_scoring.score(awkward, model, ["doc_id"]).collect()} == {(0.0, 0.0, 0)}
