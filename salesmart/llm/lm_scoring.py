@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import quoted
-from .storage import shared_folder, ship, shuffles_removed, written
+from .storage import removed, shared_folder, ship, shuffles_removed, written
 from .succinct import EliasFano, from_buffer, to_file
 from .texts import FOLDED_WORD, mix, pieces
 from .token_files import _file_system
@@ -637,11 +637,16 @@ def _rows(found: list[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.nd
 KINDS = {1: ("a", "n"), 2: ("a", "b", "n"), 3: ("a", "b", "c", "n", "context")}
 
 
-def _dealt(rows: DataFrame, number: int, held: int) -> DataFrame:
-    """shard, how many rows of each kind, and their columns as one block of bytes."""
+def _dealt(source: DataFrame, number: int, held: int, reader=None) -> DataFrame:
+    """shard, how many rows of each kind, and their columns as one block of bytes.
+
+    `source` has ROWS, or what `reader` gives makes them of its batches: in the same Python
+    worker, as two in a row would both keep their memory.
+    """
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
+        rows_of = reader() if reader else lambda batch: batch
         waiting, size = [], 0
 
         def blocks(table):
@@ -656,15 +661,15 @@ def _dealt(rows: DataFrame, number: int, held: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "sizes": [list(map(len, own))], "block": [packer.compress(b"".join(planes))]})
 
         for batch in batches:
-            waiting.append(batch)
-            size += batch.num_rows
+            waiting.append(rows_of(batch))
+            size += waiting[-1].num_rows
             if size >= held:
                 yield from blocks(pa.Table.from_batches(waiting))
                 waiting, size = [], 0
         if size:
             yield from blocks(pa.Table.from_batches(waiting))
 
-    return rows.mapInArrow(run, "shard int, sizes array<long>, block binary")
+    return source.mapInArrow(run, "shard int, sizes array<long>, block binary")
 
 
 def _gathered(sizes: list[list[int]], blocks) -> dict[int, list[np.ndarray]]:
@@ -707,16 +712,21 @@ def train(documents: DataFrame, text: str = "text", settings: LmSettings | None
         kept = written(blocks.groupBy("part").applyInArrow(merge, ROWS))
     number = max(1, int(np.ceil(kept.count() / settings.shard_grams)))
 
-    def singles(batches):
+    def singles():
         own = _Head(_mapped(folder, head))
-        for batch in batches:
+
+        def rows_of(batch):
             hashes, numbers = batch["h"].to_numpy().view(np.uint64), batch["c"].to_numpy()
             rest = own.find(hashes) < 0
             token = _hashed(hashes[rest])
-            yield pa.RecordBatch.from_pydict(_rows([(1, _one_spot(token), [token], numbers[rest], None)]))
+            return pa.RecordBatch.from_pydict(_rows([(1, _one_spot(token), [token], numbers[rest], None)]))
 
+        return rows_of
+
+    # Rows meet in blocks: neither the JVM nor Python holds them one by one.
+    dealt = _dealt(kept, number, settings.held // 2)
     if not whole:  # n-grams may hold tokens of which no file has the counts
-        kept = kept.unionByName(counts.where(F.col("c") >= 2).select("h", "c").mapInArrow(singles, ROWS))
+        dealt = dealt.unionByName(_dealt(counts.where(F.col("c") >= 2).select("h", "c"), number, settings.held // 2, singles))
 
     def build(key, group):
         shard = key[0].as_py()
@@ -734,10 +744,10 @@ def train(documents: DataFrame, text: str = "text", settings: LmSettings | None
         made = build_shard(rows, counts_of, discount)
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [_save(folder, f"shard-{shard:04d}", to_file(made))]})
 
-    # Rows meet in blocks: neither the JVM nor Python holds them one by one.
     with shuffles_removed(spark):
-        made = written(_dealt(kept, number, settings.held // 2).groupBy("shard").applyInArrow(build, "shard int, path string"))
+        made = written(dealt.groupBy("shard").applyInArrow(build, "shard int, path string"))
     shards = [(r["shard"], number, r["path"]) for r in sorted(made.collect())]
+    removed(kept)
     return Trained(tokens, distinct, folder, head, shards, counts)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import io
+import os
 import random
 import tracemalloc
 import zlib
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from salesmart.llm import decontamination, lm_scoring, packing, quality_rules, token_files
-from salesmart.llm.storage import SHUFFLES_GO, shuffles_removed, written
+from salesmart.llm.storage import SHUFFLES_GO, removed, written
 from salesmart.llm.tokens import Encoder
 from salesmart.llm.texts import pieces
 
@@ -332,11 +333,21 @@ def test_training_leaves_no_shuffle_files(spark):
     kept = spark.conf.get(SHUFFLES_GO, None)
     lm_scoring.train(documents)
     assert spark.conf.get(SHUFFLES_GO, None) == kept
-    with shuffles_removed(spark):
-        written(documents.groupBy("text").count())
     assert manager.shuffleStatuses().size() <= before + 1
 
 
+def test_tables_that_nothing_reads_any_more_go(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(lm_scoring, "removed", lambda table: (gone.append((table.inputFiles(), table.columns)), removed(table)))
+    plans = []
+    monkeypatch.setattr(lm_scoring, "written", lambda frame: (plans.append(frame._jdf.queryExecution().executedPlan().toString()), written(frame))[1])
+    lm_scoring.train(spark.createDataFrame([(k, f"a b c d{k % 7} e{k % 9}") for k in range(50)], "doc_id long, text string"), settings=lm_scoring.LmSettings(numbered=5))
+    ((files, columns),) = gone
+    assert "context" in columns and files and not any(os.path.exists(f.removeprefix("file:")) for f in files)
+    # One Python worker a task: no stage has a second one that feeds the first.
+    assert len(plans) == 3 and plans[2].count("MapInArrow") == 2 and "Union" in plans[2]
+
+
 def test_scoring_awkward_documents_and_learning_from_none(spark, awkward, nothing):
     model = lm_scoring.train(nothing)
     assert {(r["base_score"], r["score"], r["n_known"]) for r in lm_scoring.score(awkward, model, ["doc_id"]).collect()} == {(0.0, 0.0, 0)}
