@@ -60,8 +60,8 @@ ID_BITS = 21
 MASK = np.uint64((1 << ID_BITS) - 1)
 #: Numbers of tokens from here on are hashes.
 HASHED = 1 << 62
-#: Shares in answers: 0 says there is none, others are steps of a logarithmic scale.
-STEP = 12 / 65_534
+#: Runs have at most 2**19 tokens and two that lead in.
+PLACE_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -143,7 +143,7 @@ def _save(folder: str, name: str, content: bytes) -> str:
 def _mapped(folder: str, path: str) -> dict[str, np.ndarray]:
     """Arrays of a file: mapped if it is on a file system of this machine, else read."""
     if os.path.exists(path):
-        return from_buffer(np.memmap(path, dtype=np.uint8, mode="r"))
+        return from_buffer(np.asarray(np.memmap(path, dtype=np.uint8, mode="r")))
     system, _ = _file_system(folder)
     with system.open_input_file(path) as stream:
         return from_buffer(np.frombuffer(stream.read(), dtype=np.uint8))
@@ -178,24 +178,26 @@ class _Head:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.hashes, self.counts, self.rank, self.by_rank = (arrays[n] for n in ("hashes", "counts", "rank", "by_rank"))
         self.whole = bool(arrays["whole"][0])
-        # Where hashes with each 16-bit beginning start: few steps are left to search.
-        self.starts = np.searchsorted(self.hashes, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
-        self.starts = np.append(self.starts, len(self.hashes))
+        # Where hashes with each beginning start, with more beginnings than hashes.
+        bits = min(22, max(10, len(self.hashes).bit_length() + 1))
+        self.shift = np.uint64(64 - bits)
+        sizes = np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash among the head's, or -1."""
-        top = (hashes >> np.uint64(48)).astype(np.int64)
-        left, right = self.starts[top], self.starts[top + 1]
-        end = right.copy()
-        while len(self.hashes) and (left < right).any():
-            middle = (left + right) >> 1
-            less = (left < right) & (self.hashes[np.minimum(middle, len(self.hashes) - 1)] < hashes)
-            right = np.where((left < right) & ~less, middle, right)
-            left = np.where(less, middle + 1, left)
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, dtype=np.int64)
-        hit = (left < end) & (self.hashes[np.minimum(left, len(self.hashes) - 1)] == hashes)
-        return np.where(hit, left, -1)
+        top = (hashes >> self.shift).astype(np.int64)
+        at, end = self.starts[top], self.starts[top + 1]
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            there = self.hashes[at[left]]
+            hit = there == hashes[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[there < hashes[left]]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
 
 class _Stream:
@@ -227,6 +229,32 @@ def _hashed(hashes: np.ndarray) -> np.ndarray:
     return ((hashes >> np.uint64(2)) | np.uint64(HASHED)).astype(np.int64)
 
 
+def _distinct(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and where among them each is."""
+    small = n < HASHED
+    most = int(n[small].max(initial=-1))
+    if most > 8 * len(n):
+        return np.unique(n, return_inverse=True)
+    used = np.zeros(most + 2, dtype=bool)
+    used[n[small] + 1] = True
+    words = np.flatnonzero(used) - 1
+    rank = np.cumsum(used, dtype=np.int32) - 1
+    if small.all():
+        return words, rank[n + 1].astype(np.int64)
+    at = np.empty(len(n), dtype=np.int64)
+    at[small] = rank[n[small] + 1]
+    far, place = np.unique(n[~small], return_inverse=True)
+    at[~small] = place + len(words)
+    return np.concatenate([words, far]), at
+
+
+def _grouped(group: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings groups together and else keeps the old one, and where each begins."""
+    group = group.astype(np.uint16 if number <= 1 << 16 else np.int64)  # short ones are sorted by their digits
+    order = np.argsort(group, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=number))])
+
+
 def _one_spot(token: np.ndarray) -> np.ndarray:
     """32 bits of the hash of a context of one token."""
     return (mix(token.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
@@ -259,30 +287,70 @@ def _packed(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _columns_out(values: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T[:size]).tobytes()
+
+
+def _columns_in(data: np.ndarray, size: int, count: int) -> np.ndarray:
+    wide = np.zeros((count, 4), dtype=np.uint8)
+    wide[:, :size] = data[: size * count].reshape(size, count).T
+    return wide.view("<u4").ravel()
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether each row differs from the one before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 def _block(words: np.ndarray, grams: dict[int, np.ndarray], packer, counts: dict[int, np.ndarray] | None = None) -> bytes:
-    """Rising packed n-grams by length, with the words that they hold, and their counts."""
+    """Rising packed n-grams by length, with the words that they hold, and their counts.
+
+    A word of an n-gram is told as its step from the one above, where what stands before it
+    is the same, in planes of bytes.
+    """
     split = {length: _split(keys, length) for length, keys in grams.items()}
     every = np.concatenate([c for columns in split.values() for c in columns])
-    used, at = np.unique(every, return_inverse=True)
-    out, begin = [np.array([len(used), *[len(grams[k]) for k in (1, 2, 3)]], dtype="<i8").tobytes(), _planes(words[used] + 1)], 0
-    for length, columns in split.items():
-        own = at[begin : begin + length * len(columns[0])].reshape(length, -1)
-        begin += own.size
-        out.append(_planes(_packed(list(own))))
+    if len(words) <= 8 * len(every):
+        held = np.zeros(len(words), dtype=bool)
+        held[every] = True
+        used = np.flatnonzero(held)
+        rank = np.cumsum(held, dtype=np.int32) - 1
+    else:
+        used, rank = np.unique(every), None
+    out = [np.array([len(used), *[len(grams[k]) for k in (1, 2, 3)]], dtype="<i8").tobytes(), _planes(words[used] + 1)]
+    for length in (1, 2, 3):
+        own = [rank[c] if rank is not None else np.searchsorted(used, c) for c in split[length]]
+        for k, column in enumerate(own):
+            steps = np.diff(column, prepend=0)
+            out.append(_columns_out(np.where(_changes(own[:k]), column, steps) if k else steps, 3))
     for length in counts or {}:
-        out.append(counts[length].astype("<u4").tobytes())
+        out.append(_columns_out(counts[length], 4))
     return packer.compress(b"".join(out))
 
 
+def _restored(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Values from their steps, which begin anew where told."""
+    sums = np.cumsum(steps, dtype=np.int64)
+    begins = np.flatnonzero(new)
+    return sums - np.repeat(sums[begins] - steps[begins], np.diff(np.append(begins, len(steps))))
+
+
 def _unblock(raw: bytes, counted: bool = False) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
     data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
     sizes = data[:32].view("<i8").tolist()
     words, data = _from_planes(data[32:], sizes[0]).astype(np.int64) - 1, data[32 + 8 * sizes[0] :]
     grams, counts = {}, {}
     for length in (1, 2, 3):
-        grams[length], data = _from_planes(data, sizes[length]), data[8 * sizes[length] :]
+        columns, size = [], sizes[length]
+        for k in range(length):
+            steps, data = _columns_in(data, 3, size), data[3 * size :]
+            columns.append(_restored(steps, _changes(columns)) if k else np.cumsum(steps, dtype=np.int64))
+        grams[length] = _packed(columns)
     for length in (1, 2, 3) if counted else ():
-        counts[length], data = data[: 4 * sizes[length]].copy().view("<u4").astype(np.int64), data[4 * sizes[length] :]
+        counts[length], data = _columns_in(data, 4, sizes[length]).astype(np.int64), data[4 * sizes[length] :]
     return words, grams, counts
 
 
@@ -303,7 +371,7 @@ def _grams(documents: DataFrame, text: str, folder: str, head: str, parts_wanted
         waiting, size = [], 0
 
         def blocks(n, skip):
-            words, at = np.unique(n, return_inverse=True)
+            words, at = _distinct(n)
             # A text begins with 0, which follows nothing.
             two = (n[:-1] >= 0) & (n[1:] > 0)
             three = two[:-1] & two[1:]
@@ -315,9 +383,8 @@ def _grams(documents: DataFrame, text: str, folder: str, head: str, parts_wanted
                 spot = np.zeros(len(distinct), dtype=np.uint64)
                 for column in _split(distinct, length)[:2]:  # a trigram goes where its context goes
                     spot = mix(spot * np.uint64(0x9E3779B97F4A7C15) + words[column].astype(np.uint64))
-                hashed = (spot % np.uint64(parts_wanted)).astype(np.int64)
-                order = np.argsort(hashed, kind="stable")  # still rising within a part
-                cut[length] = distinct[order], counts[order], np.searchsorted(hashed[order], np.arange(parts_wanted + 1)).tolist()
+                order, bounds = _grouped(spot % np.uint64(parts_wanted), parts_wanted)  # still rising within a part
+                cut[length] = distinct[order], counts[order], bounds.tolist()
             parts, packed = [], []
             for part in range(parts_wanted):
                 spans = {k: slice(bounds[part], bounds[part + 1]) for k, (_, _, bounds) in cut.items()}
@@ -352,12 +419,6 @@ def _code(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     return {f"{name}.code": np.rint((logs - low) / step).astype(np.uint8), f"{name}.scale": np.array([low, step])}
 
 
-def _decode(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
-    low, step = arrays[f"{name}.scale"].tolist()
-    table = 10.0 ** (low + step * np.arange(256))
-    return table[arrays[f"{name}.code"][at]]
-
-
 def _words(raw: bytes) -> np.ndarray:
     """The words alone of a block."""
     data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
@@ -494,40 +555,95 @@ class Shard:
         self.place, self.number, self.arrays = place, number, arrays
         self.contexts, self.pointers, self.grams = ({n: EliasFano.from_arrays(f"{k}{n}", arrays) for n in (2, 3)} for k in "cpg")
 
-    def child(self, level: int, parent: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Where in the level the word is among the children of each context, or -1."""
-        begin, end = self.pointers[level].get(parent), self.pointers[level].get(parent + 1)
-        out = np.full(len(parent), -1, dtype=np.int64)
-        own = np.flatnonzero(begin < end)
-        base = np.zeros(len(own), dtype=np.int64)
-        later = begin[own] > 0
-        base[later] = self.grams[level].get(begin[own][later] - 1)
-        out[own] = self.grams[level].find(number[own] + base, begin[own], end[own])
-        return out
-
-    def shares(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """a of the word after each context, and what the context leaves; -1 is no word."""
-        a, m = np.zeros(len(context)), np.ones(len(context))
-        held = self.contexts[level]
+    def prepared(self) -> Shard:
+        """For many blocks of n-grams."""
+        for held in (self.contexts, self.pointers, self.grams):
+            for sequence in held.values():
+                sequence.prepared()
+        return self
+
+    def codes(self, level: int, context: np.ndarray, which: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What contexts leave, and a of words (-1 is none) after one of them each, as codes; -1
+        says there is nothing."""
+        left, a = np.full(len(context), -1, dtype=np.int16), np.full(len(word), -1, dtype=np.int16)
+        held, pointers, grams = self.contexts[level], self.pointers[level], self.grams[level]
         parent = held.find(context, np.zeros(len(context), dtype=np.int64), np.full(len(context), held.size, dtype=np.int64))
         own = np.flatnonzero(parent >= 0)
-        m[own] = _decode(self.arrays, f"m{level}", parent[own])
-        own = own[word[own] >= 0]
-        own = own[_may_hold(self.arrays[f"f{level}"], (parent[own].astype(np.uint64) << np.uint64(32)) | word[own].astype(np.uint64))]
-        at = self.child(level, parent[own], word[own])
-        a[own[at >= 0]] = _decode(self.arrays, f"a{level}", at[at >= 0])
-        return a, m
-
-    def answer(self, words: np.ndarray, grams: dict[int, np.ndarray]) -> list[np.ndarray]:
-        """Counts of single tokens, then a and what is left for bigrams and for trigrams."""
+        left[own] = self.arrays[f"m{level}.code"][parent[own]]
+        begin, end, base = (np.zeros(len(context), dtype=np.int64) for _ in range(3))
+        begin[own], end[own] = pointers.get(parent[own]), pointers.get(parent[own] + 1)
+        own = own[begin[own] > 0]
+        base[own] = grams.get(begin[own] - 1)
+        asked = np.flatnonzero((parent[which] >= 0) & (word >= 0))
+        asked = asked[_may_hold(self.arrays[f"f{level}"], (parent[which[asked]].astype(np.uint64) << np.uint64(32)) | word[asked].astype(np.uint64))]
+        own = which[asked]
+        at = grams.find(word[asked] + base[own], begin[own], end[own])
+        a[asked[at >= 0]] = self.arrays[f"a{level}.code"][at[at >= 0]]
+        return a, left
+
+    def answer(self, words: np.ndarray, grams: dict[int, np.ndarray]) -> Answer:
         at = _placed(words[grams[1].astype(np.int64)], self.arrays["single"])
         counts = np.zeros(len(at), dtype=np.int64)
         counts[at >= 0] = self.arrays["counts"][at[at >= 0]]
         local = _placed(words, self.arrays["words"])
-        v, w = (local[c] for c in _split(grams[2], 2))
-        two = self.shares(2, v, w)
-        u, v, w = (local[c] for c in _split(grams[3], 3))
-        return [counts, *two, *self.shares(3, np.where((u >= 0) & (v >= 0), (u << 32) | v, -1), w)]
+        codes = []
+        for level in (2, 3):
+            begins, which = _contexts(grams[level])
+            *before, word = _split(grams[level], level)
+            before = [local[c[begins]] for c in before]
+            context = before[0] if level == 2 else np.where((before[0] >= 0) & (before[1] >= 0), (before[0] << 32) | before[1], -1)
+            codes += self.codes(level, context, which, local[word])
+        return Answer(counts, codes, [self.arrays[f"{name}.scale"].tolist() for name in ("a2", "m2", "a3", "m3")])
+
+
+def _contexts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each context of rising packed n-grams begins, and which each n-gram has."""
+    new = _changes([keys >> np.uint64(ID_BITS)])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+@dataclass(frozen=True)
+class Answer:
+    """Counts of single tokens; then a of bigrams, what their contexts leave, and both for
+    trigrams, as codes of the shard's scales, -1 for none. Contexts come once each."""
+
+    counts: np.ndarray
+    codes: list[np.ndarray]
+    scales: list[list[float]]
+
+    def values(self) -> list[np.ndarray]:
+        tables = [np.append(10.0 ** (low + step * np.arange(256)), none) for (low, step), none in zip(self.scales, (0, 1, 0, 1))]
+        return [self.counts, *[table[code] for table, code in zip(tables, self.codes)]]
+
+    def to_bytes(self, packer) -> bytes:
+        parts = [np.array([len(a) for a in (self.counts, *self.codes)], dtype="<i8").tobytes(), np.array(self.scales, dtype="<f8").tobytes()]
+        parts.append(self.counts.astype("<i8").tobytes())
+        for code in self.codes:
+            parts += [np.packbits(code >= 0).tobytes(), code[code >= 0].astype(np.uint8).tobytes()]
+        return packer.compress(b"".join(parts))
+
+    @classmethod
+    def of(cls, raw: bytes) -> Answer:
+        data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
+        sizes, scales, data = data[:40].view("<i8").tolist(), data[40:104].view("<f8").reshape(4, 2).tolist(), data[104:]
+        counts, data, codes = data[: 8 * sizes[0]].view("<i8"), data[8 * sizes[0] :], []
+        for size in sizes[1:]:
+            there, data = np.unpackbits(data[: (size + 7) // 8], count=size).view(bool), data[(size + 7) // 8 :]
+            code, found = np.full(size, -1, dtype=np.int16), int(there.sum())
+            code[there], data = data[:found], data[found:]
+            codes.append(code)
+        return cls(counts, codes, scales)
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of 44 bits at most in order, and where among them each is."""
+    places = np.arange(len(keys), dtype=np.uint64)
+    both = np.sort((keys << np.uint64(PLACE_BITS)) | places)
+    own, at = both >> np.uint64(PLACE_BITS), (both & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    new = _changes([own])
+    rank = np.empty(len(keys), dtype=np.int64)
+    rank[at] = np.cumsum(new) - 1
+    return own[new], rank
 
 
 class _Probes:
@@ -548,14 +664,15 @@ class _Probes:
         self.places = {2: two, 3: three}
         single = np.flatnonzero(words >= HASHED)
         self.keys, self.inverse = {1: single.astype(np.uint64)}, {}
-        for length, own in self.places.items():
-            self.keys[length], self.inverse[length] = np.unique(_packed([at[own - k] for k in reversed(range(length))]), return_inverse=True)
+        # Pairs by number, so that a trigram and its place fit in 64 bits and sort without an index.
+        pairs, pair = _ranked(_packed([at[:-1], at[1:]]))
+        for length, own, first in ((2, two, 0), (3, three, 1)):
+            keys, self.inverse[length] = _ranked((pair[own - 1 - first].astype(np.uint64) << np.uint64(ID_BITS * first)) | (at[own].astype(np.uint64) if first else np.uint64(0)))
+            self.keys[length] = (pairs[(keys >> np.uint64(ID_BITS)).astype(np.int64)] << np.uint64(ID_BITS)) | (keys & MASK) if first else pairs[keys.astype(np.int64)]
         first, (second, third) = words[_split(self.keys[2], 2)[0]], (words[c] for c in _split(self.keys[3], 3)[:2])
         self.order, self.bounds = {}, {}
         for length, spot in {1: _one_spot(words[single]), 2: _one_spot(first), 3: _two_spot(second, third)}.items():
-            shard = (spot * shards) >> 32
-            self.order[length] = np.argsort(shard, kind="stable")
-            self.bounds[length] = np.searchsorted(shard[self.order[length]], np.arange(shards + 1))
+            self.order[length], self.bounds[length] = _grouped((spot * shards) >> 32, shards)
 
     def _at(self, length: int, shard: int) -> np.ndarray:
         return self.order[length][self.bounds[length][shard] : self.bounds[length][shard + 1]]
@@ -568,8 +685,10 @@ class _Probes:
         every word the count that a shard has of it. `answers`: shards and what they said."""
         counts, a2, m1, a3, m2 = (np.full(len(self.keys[k]), fill) for k, fill in ((1, 0), (2, 0.0), (2, 1.0), (3, 0.0), (3, 1.0)))
         for shard, answer in answers:
-            for length, out, values in zip((1, 2, 2, 3, 3), (counts, a2, m1, a3, m2), answer):
-                out[self._at(length, shard)] = values
+            counts[self._at(1, shard)] = answer[0]
+            for length, a, m, (own, left) in ((2, a2, m1, answer[1:3]), (3, a3, m2, answer[3:])):
+                at = self._at(length, shard)
+                a[at], m[at] = own, left[_contexts(self.keys[length][at])[1]]
         whole = []
         for length, values, fill in ((2, a2, 0.0), (2, m1, 1.0), (3, a3, 0.0), (3, m2, 1.0)):
             out = np.full(self.size, fill)
@@ -582,32 +701,14 @@ class _Probes:
 
 def _lookups(shards: list[Shard], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every place of a stream: a and mass left from its bigram, then from its trigram."""
-    words, at = np.unique(n, return_inverse=True)
+    words, at = _distinct(n)
     probes = _Probes(words, at, 0, shards[0].number if shards else 1)
-    return probes.filled((s.place, s.answer(words, probes.of(s.place))) for s in shards)[:4]
-
-
-def _answered(answer: list[np.ndarray], packer) -> bytes:
-    parts = [np.array([len(a) for a in answer], dtype="<i8").tobytes(), answer[0].astype("<i8").tobytes()]
-    for values, none in zip(answer[1:], (0, 1, 0, 1)):
-        code = np.minimum(1 + np.rint(-np.log10(np.maximum(values, 1e-12)) / STEP), 65_535)
-        parts.append(np.where(values == none, 0, code).astype("<u2").tobytes())
-    return packer.compress(b"".join(parts))
-
-
-def _read_answer(raw: bytes) -> list[np.ndarray]:
-    data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
-    sizes, data = data[:40].view("<i8").tolist(), data[40:]
-    out, data = [data[: 8 * sizes[0]].view("<i8")], data[8 * sizes[0] :]
-    for size, none in zip(sizes[1:], (0.0, 1.0, 0.0, 1.0)):
-        code, data = data[: 2 * size].view("<u2").astype(np.float64), data[2 * size :]
-        out.append(np.where(code == 0, none, 10.0 ** ((1 - code) * STEP)))
-    return out
+    return probes.filled((s.place, s.answer(words, probes.of(s.place)).values()) for s in shards)[:4]
 
 
 def _run_block(n: np.ndarray, first_row: int, skip: int, packer) -> bytes:
     """A run of texts, or of a part of one, as distinct tokens and places among them."""
-    words, at = np.unique(n, return_inverse=True)
+    words, at = _distinct(n)
     planes = np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes()
     return packer.compress(np.array([len(words), len(n), first_row, skip], dtype="<i8").tobytes() + _planes(words + 1) + planes)
 
@@ -773,14 +874,14 @@ def _trie_scores(runs: DataFrame, model: Trained) -> DataFrame:
 
     def answered(key, group):
         place = key[0].as_py()
-        shard = Shard(place, number, _mapped(folder, files[place]))
+        shard = Shard(place, number, _mapped(folder, files[place])).prepared()
         packer = zstandard.ZstdCompressor(level=1)
-        out = [_answered(shard.answer(*_unblock(raw.as_py())[:2]), packer) for raw in group["block"]]
+        out = [shard.answer(*_unblock(raw.as_py())[:2]).to_bytes(packer) for raw in group["block"]]
         return pa.table({"run": group["run"], "shard": group["shard"], "answer": pa.array(out, pa.binary())})
 
     def finished(left, right):
         by_rank = _mapped(folder, head)["by_rank"]
-        answers = [(s, _read_answer(raw.as_py())) for s, raw in zip(right["shard"].to_pylist(), right["answer"])]
+        answers = [(s, Answer.of(raw.as_py()).values()) for s, raw in zip(right["shard"].to_pylist(), right["answer"])]
         words, at, first_row, skip = _read_run(left["block"][0].as_py())
         a2, m1, a3, m2, far = _Probes(words, at, skip, number).filled(answers)
         # -1 and tokens that no shard counts enter as a factor.
@@ -798,9 +899,12 @@ def _trie_scores(runs: DataFrame, model: Trained) -> DataFrame:
         return pa.table({"row": rows + first_row, "score": np.bincount(local, logs[own], len(rows)).astype(np.float64)})
 
     requests = runs.mapInArrow(asked, "shard int, run long, block binary")
-    # No more than some hundred runs meet a shard in one task, however frequent a context is.
-    slices = max(1, runs.count() // 128)
+    # A task takes the shard's part of as many runs as make it worth to prepare the shard, and no
+    # more than some hundred, however frequent a context is.
+    slices = -(-runs.count() // min(4 * number, 512)) or 1
     answers = requests.groupBy("shard", F.pmod(F.xxhash64("run"), F.lit(slices)).alias("slice")).applyInArrow(answered, "run long, shard int, answer binary")
+    with shuffles_removed(runs.sparkSession):
+        answers = written(answers)
     return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(finished, "row long, score double")
 
 

@@ -38,6 +38,7 @@ class EliasFano:
         self.size, self.low_bits = size, low_bits
         self.low, self.high, self.ones = low, high, ones
         self._zeros = 64 * np.arange(len(ones), dtype=np.int64) - ones
+        self._places: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -53,6 +54,23 @@ class EliasFano:
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1]
         return cls(size, low_bits, _packed(low.ravel()), words, ones.astype(np.int64))
 
+    def prepared(self) -> EliasFano:
+        """The same sequence with the place of every one and zero of the high bits at hand, 4 bytes
+        each: for more queries than it has values."""
+        bits = np.unpackbits(self.high.view(np.uint8), bitorder="little").view(bool)
+        kind = np.int32 if len(bits) < 1 << 31 else np.int64
+        self._places = np.flatnonzero(bits).astype(kind), np.flatnonzero(~bits).astype(kind)
+        return self
+
+    def _select(self, at: np.ndarray, one: bool) -> np.ndarray:
+        """Place of each one, or zero, of the high bits by its number."""
+        if self._places is not None:
+            return self._places[0 if one else 1][at].astype(np.int64)
+        ranks = self.ones if one else self._zeros
+        # Words without ones repeat a rank; the last of them holds the one looked for.
+        word = np.searchsorted(ranks, at, side="right") - 1
+        return 64 * word + select_in_words(self.high[word] if one else ~self.high[word], at - ranks[word])
+
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(at), dtype=np.int64)
@@ -64,17 +82,12 @@ class EliasFano:
         return (value & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, at, side="right") - 1
-        # Words without ones repeat a rank; the last of them holds the one looked for.
-        place = 64 * word + select_in_words(self.high[word], at - self.ones[word])
-        return ((place - at) << self.low_bits) | self._low(at)
+        return ((self._select(at, True) - at) << self.low_bits) | self._low(at)
 
     def _below(self, high: np.ndarray) -> np.ndarray:
         """How many values have a high part below."""
         zero = np.maximum(high - 1, 0)
-        word = np.searchsorted(self._zeros, zero, side="right") - 1
-        place = 64 * word + select_in_words(~self.high[word], zero - self._zeros[word])
-        return np.where(high > 0, place - zero, 0)
+        return np.where(high > 0, self._select(zero, False) - zero, 0)
 
     def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Successor search: where in [begin, end) each value is, or -1."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from salesmart.llm import decontamination, lm_scoring, packing, quality_rules, token_files
 from salesmart.llm.storage import SHUFFLES_GO, removed, written
+from salesmart.llm.succinct import EliasFano
 from salesmart.llm.tokens import Encoder
 from salesmart.llm.texts import pieces
 
@@ -312,6 +313,57 @@ def test_merging_takes_a_few_words_of_memory_an_ngram():
     assert peak < 45 * len(total)
 
 
+def test_what_shards_are_asked_and_say_takes_few_bytes(spark):
+    """Scoring moves n-grams to shards and answers back: that was most of its disk."""
+    draw, packer = np.random.default_rng(7), zstandard.ZstdCompressor(level=1)
+    texts = [(k, " ".join(f"w{w}" for w in draw.zipf(1.3, 400) % 5000)) for k in range(100)]
+    model = lm_scoring.train(spark.createDataFrame(texts, "doc_id long, text string"), settings=lm_scoring.LmSettings(shard_grams=1500))
+    own = lm_scoring._Head(lm_scoring._mapped(model.folder, model.head))
+    n = np.concatenate([lm_scoring._Stream(p, own).gram for p in pieces(pa.array([t for _, t in texts]))])
+    words, at = np.unique(n, return_inverse=True)
+    probes = lm_scoring._Probes(words, at, 0, len(model.shards))
+    assert [words[c].tolist() for c in lm_scoring._split(probes.keys[3], 3)] == list(map(list, zip(*sorted({g for g in zip(n.tolist(), n[1:].tolist(), n[2:].tolist()) if g[0] >= 0 and g[1] > 0 and g[2] != 0}))))
+    asked = said = 0
+    for place, number, path in model.shards:
+        arrays, grams = lm_scoring._mapped(model.folder, path), probes.of(place)
+        block = lm_scoring._block(words, grams, packer)
+        held, found, _ = lm_scoring._unblock(block)
+        for length in (1, 2, 3):
+            assert [held[c].tolist() for c in lm_scoring._split(found[length], length)] == [words[c].tolist() for c in lm_scoring._split(grams[length], length)]
+        plain = lm_scoring.Shard(place, number, arrays).answer(held, found)
+        raw = lm_scoring.Shard(place, number, arrays).prepared().answer(held, found).to_bytes(packer)
+        for one, other in zip(plain.values(), lm_scoring.Answer.of(raw).values()):
+            assert one.tolist() == other.tolist()
+        assert len(plain.codes[3]) == len(np.unique(found[3] >> np.uint64(lm_scoring.ID_BITS)))  # a context is told once
+        asked, said = asked + len(block), said + len(raw)
+    total = len(probes.keys[2]) + len(probes.keys[3])
+    assert len(model.shards) > 3 and asked < 1.6 * total and said < 0.35 * total, (asked / total, said / total)
+
+
+@pytest.mark.parametrize("most", [3, 1 << 8, 1 << 40])
+@pytest.mark.parametrize("size", [0, 1, 1000])
+def test_prepared_sequences_find_alike(most, size):
+    draw = np.random.default_rng(size)
+    values = np.sort(draw.integers(0, most, size))
+    begin, end = np.sort(draw.integers(0, size + 1, (2, 500)), axis=0)
+    asked = np.concatenate([draw.choice(values, 250) if size else np.zeros(250, np.int64), draw.integers(0, most, 250)])
+    for own in (EliasFano.of(values), EliasFano.of(values).prepared()):
+        assert own.get(np.arange(size)).tolist() == values.tolist()
+        want = [b + int(np.searchsorted(values[b:e], x)) for x, b, e in zip(asked, begin, end)]
+        want = [k if k < e and values[k] == x else -1 for k, e, x in zip(want, end, asked)]
+        assert own.find(asked, begin, end).tolist() == want
+
+
+def test_scoring_keeps_no_shuffle_of_what_it_asked(spark):
+    documents = spark.createDataFrame([(k, f"a b c d{k % 7}") for k in range(50)], "doc_id long, text string")
+    model = lm_scoring.train(documents)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = manager.shuffleStatuses().size()
+    scored = lm_scoring.score(documents, model, ["doc_id"])
+    assert "asked" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert manager.shuffleStatuses().size() <= before + 1 and scored.count() == 50
+
+
 def test_rows_meet_their_shard_in_blocks(spark):
     draw = random.Random(5)
     rows = [(k % 3 + 1, draw.randrange(1 << 32), *[draw.randrange(1 << 62) for _ in range(5)]) for k in range(500)]
