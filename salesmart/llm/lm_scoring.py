@@ -292,9 +292,12 @@ def _columns_out(values: np.ndarray, size: int) -> bytes:
 
 
 def _columns_in(data: np.ndarray, size: int, count: int) -> np.ndarray:
-    wide = np.zeros((count, 4), dtype=np.uint8)
-    wide[:, :size] = data[: size * count].reshape(size, count).T
-    return wide.view("<u4").ravel()
+    out = data[:count].astype(np.uint32)
+    for k in range(1, size):
+        plane = data[k * count : (k + 1) * count]
+        if plane.any():
+            out |= plane.astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def _changes(columns: list[np.ndarray]) -> np.ndarray:
@@ -309,7 +312,7 @@ def _block(words: np.ndarray, grams: dict[int, np.ndarray], packer, counts: dict
     """Rising packed n-grams by length, with the words that they hold, and their counts.
 
     A word of an n-gram is told as its step from the one above, where what stands before it
-    is the same, in planes of bytes.
+    is the same, in planes of bytes. Bigrams are compressed with the trigrams that they begin.
     """
     split = {length: _split(keys, length) for length, keys in grams.items()}
     every = np.concatenate([c for columns in split.values() for c in columns])
@@ -338,20 +341,31 @@ def _restored(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
     return sums - np.repeat(sums[begins] - steps[begins], np.diff(np.append(begins, len(steps))))
 
 
-def _unblock(raw: bytes, counted: bool = False) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
+def _opened(raw: bytes) -> tuple[list[int], np.ndarray]:
+    """How many words and n-grams of each length a block has, and what follows."""
     data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
-    sizes = data[:32].view("<i8").tolist()
-    words, data = _from_planes(data[32:], sizes[0]).astype(np.int64) - 1, data[32 + 8 * sizes[0] :]
-    grams, counts = {}, {}
-    for length in (1, 2, 3):
-        columns, size = [], sizes[length]
-        for k in range(length):
-            steps, data = _columns_in(data, 3, size), data[3 * size :]
-            columns.append(_restored(steps, _changes(columns)) if k else np.cumsum(steps, dtype=np.int64))
-        grams[length] = _packed(columns)
-    for length in (1, 2, 3) if counted else ():
-        counts[length], data = _columns_in(data, 4, sizes[length]).astype(np.int64), data[4 * sizes[length] :]
-    return words, grams, counts
+    return data[:32].view("<i8").tolist(), data[32:]
+
+
+def _words_of(opened: tuple[list[int], np.ndarray]) -> np.ndarray:
+    sizes, data = opened
+    return _from_planes(data, sizes[0]).astype(np.int64) - 1
+
+
+def _grams_of(opened: tuple[list[int], np.ndarray], length: int, counted: bool = False) -> tuple[list[np.ndarray], np.ndarray | None]:
+    """N-grams as columns of places among the words, and their counts if the block has them."""
+    sizes, data = opened
+    size, columns = sizes[length], []
+    begins = 8 * sizes[0] + 3 * np.cumsum([0, 0, sizes[1], 2 * sizes[2], 3 * sizes[3]])
+    for k in range(length):
+        steps = _columns_in(data[begins[length] + 3 * k * size :], 3, size)
+        columns.append(_restored(steps, _changes(columns)) if k else np.cumsum(steps, dtype=np.int64))
+    return columns, _columns_in(data[begins[4] + 4 * sum(sizes[1:length]) :], 4, size) if counted else None
+
+
+def _unblock(raw: bytes) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    opened = _opened(raw)
+    return _words_of(opened), {length: _packed(_grams_of(opened, length)[0]) for length in (1, 2, 3)}
 
 
 def _runs(n: np.ndarray, limit: int):
@@ -419,12 +433,6 @@ def _code(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     return {f"{name}.code": np.rint((logs - low) / step).astype(np.uint8), f"{name}.scale": np.array([low, step])}
 
 
-def _words(raw: bytes) -> np.ndarray:
-    """The words alone of a block."""
-    data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
-    return _from_planes(data[32:], int(data[:8].view("<i8")[0])).astype(np.int64) - 1
-
-
 def _frequent(keys: np.ndarray, counts: np.ndarray, lowest: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys whose counts add up to enough, in order, and the sums."""
     order = np.argsort(keys)
@@ -443,14 +451,16 @@ def _merged(blocks: list[bytes], lowest: int) -> dict[int, tuple]:
     Blocks are read once for each length, one at a time. A trigram is no more frequent than its
     context, so those of other contexts than the frequent ones are left out as they are read.
     """
-    words = np.unique(np.concatenate([_words(raw) for raw in blocks]))
+    words = np.sort(np.concatenate([_words_of(_opened(raw)) for raw in blocks]))
+    words = words[_changes([words])]
 
     def read(length):
         for raw in blocks:
-            own, grams, counts = _unblock(raw, counted=True)
-            at = np.searchsorted(words, own)
-            first, second, *third = (at[c] for c in _split(grams[length], length))
-            yield (first << 32) | second, third, counts[length].astype(np.uint32)
+            opened = _opened(raw)
+            at = np.searchsorted(words, _words_of(opened))
+            columns, counts = _grams_of(opened, length, counted=True)
+            first, second, *third = (at[c] for c in columns)
+            yield (first << 32) | second, third, counts
 
     pairs, counts = zip(*[(pair, count) for pair, _, count in read(2)])
     pairs, counts = np.concatenate(pairs), np.concatenate(counts)
@@ -531,7 +541,7 @@ def build_shard(rows: dict[int, list[np.ndarray]], counts_of, discount: float) -
     out |= EliasFano.of(contexts).arrays("c2")
     out |= _level("2", key, counts, np.maximum(counts_of(words[contexts]), 1), discount)
     first, second, third, counts, context_counts = rows.pop(3)
-    pairs = (np.searchsorted(words, first) << 32) | np.searchsorted(words, second)
+    pairs = np.searchsorted(words, first) * len(words) + np.searchsorted(words, second)
     del first, second
     contexts, at, parent = np.unique(pairs, return_index=True, return_inverse=True)
     del pairs
@@ -591,7 +601,7 @@ class Shard:
             begins, which = _contexts(grams[level])
             *before, word = _split(grams[level], level)
             before = [local[c[begins]] for c in before]
-            context = before[0] if level == 2 else np.where((before[0] >= 0) & (before[1] >= 0), (before[0] << 32) | before[1], -1)
+            context = before[0] if level == 2 else np.where((before[0] >= 0) & (before[1] >= 0), before[0] * len(self.arrays["words"]) + before[1], -1)
             codes += self.codes(level, context, which, local[word])
         return Answer(counts, codes, [self.arrays[f"{name}.scale"].tolist() for name in ("a2", "m2", "a3", "m3")])
 
@@ -876,7 +886,7 @@ def _trie_scores(runs: DataFrame, model: Trained) -> DataFrame:
         place = key[0].as_py()
         shard = Shard(place, number, _mapped(folder, files[place])).prepared()
         packer = zstandard.ZstdCompressor(level=1)
-        out = [shard.answer(*_unblock(raw.as_py())[:2]).to_bytes(packer) for raw in group["block"]]
+        out = [shard.answer(*_unblock(raw.as_py())).to_bytes(packer) for raw in group["block"]]
         return pa.table({"run": group["run"], "shard": group["shard"], "answer": pa.array(out, pa.binary())})
 
     def finished(left, right):
