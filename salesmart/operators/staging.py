@@ -101,17 +101,18 @@ def first_purchases(invoice: DataFrame) -> DataFrame:
     return invoice.groupBy("customer_id").agg(F.min("dt").alias("first_date"))
 
 
-def sold_tracks(model: SalesModel, invoices: DataFrame, *keys: str) -> DataFrame:
+def sold_tracks(model: SalesModel, invoices: DataFrame, *keys: str, labels: tuple[str, ...] = ()) -> DataFrame:
     """Distinct tracks on the given invoices, per extra invoice column in ``keys``.
 
     An invoice may hold a large share of the lines: made distinct first, it leaves no more
-    than one row per track of the catalog to the join.
+    than one row per track of the catalog to the join. ``labels`` are columns of the item,
+    where lines carry them.
     """
     return (
-        model.line.select("invoice_id", "track_id")
+        model.line.select("invoice_id", "track_id", *labels)
         .distinct()
         .join(invoices.select("invoice_id", *keys), "invoice_id")
-        .select("track_id", *keys)
+        .select("track_id", *keys, *labels)
         .distinct()
     )
 

@@ -14,12 +14,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from salesmart.functions.key_filter import told_bytes
 from salesmart.sources.model import SalesModel
+from salesmart.sources.shared import removed
 
 BUCKETED = ("invoice", "line")
 LABELS = ("genre_id", "genre", "artist_id", "artist")
@@ -63,19 +68,55 @@ def read_layout(spark: SparkSession, folder: str) -> SalesModel:
     return SalesModel(**frames, labelled=True)
 
 
-def _read(spark: SparkSession, folder: str, name: str, schema: str, buckets: int) -> DataFrame:
-    from pyspark.sql.types import StructType
+@contextmanager
+def sold_by_invoice(model: SalesModel, invoices: DataFrame, folder: str) -> Iterator[tuple[SalesModel, DataFrame]]:
+    """What is on some invoices, for as long as it takes to ask for all of it.
+
+    Written into a new folder, in buckets by invoice: the invoices with their customer and
+    day, and the items on lines, once per invoice and track, with genre and artist but
+    without what they sold for. Lines of other invoices may be among them. When the results
+    are written, the folder goes.
+    """
+    spark, folder, buckets = model.line.sparkSession, folder.rstrip("/"), buckets_for(model)
+    # Joined first, the rows of an invoice are made distinct where those of a track lie.
+    sold = model.line.select("invoice_id", "track_id").where("invoice_id IS NOT NULL")
+    sold = sold.join(model.item.select("track_id", "genre", "artist"), "track_id").distinct()
+    try:
+        held = _dealt(invoices.select("invoice_id", *model.customer_keys, "dt"), folder, "invoice", buckets)
+        line = model.line
+        if not model.labelled:
+            line = _dealt(sold, folder, "line", buckets)
+            line = line.withColumns({"quantity": F.lit(None).cast("double"), "amount": F.lit(None).cast("long")})
+        yield replace(model, line=line, labelled=True), held
+    finally:
+        for name in BUCKETED:
+            spark.sql(f"DROP TABLE IF EXISTS {_table(folder, name)}")
+        removed(spark, folder)
+
+
+def _dealt(df: DataFrame, folder: str, name: str, buckets: int) -> DataFrame:
+    """Rows as a table in buckets by invoice."""
+    table = _bucketed(df.sparkSession, folder, name, df.schema, buckets)
+    df.repartition(buckets, "invoice_id").write.insertInto(table)
+    return df.sparkSession.table(table)
+
 
+def _read(spark: SparkSession, folder: str, name: str, schema: str, buckets: int) -> DataFrame:
     kind = StructType.fromJson(json.loads(schema))
     if name not in BUCKETED:
         return spark.read.schema(kind).parquet(f"{folder}/{name}")
+    return spark.table(_bucketed(spark, folder, name, kind, buckets))
+
+
+def _bucketed(spark: SparkSession, folder: str, name: str, kind: StructType, buckets: int) -> str:
+    """The name of a table in buckets by invoice, registered if it is not."""
     table = _table(folder, name)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
         f"CLUSTERED BY (invoice_id) SORTED BY (invoice_id) INTO {buckets} BUCKETS LOCATION '{folder}/{name}'"
     )
-    return spark.table(table)
+    return table
 
 
 def _table(folder: str, name: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Take a folder that nothing reads any more off the disk."""
+    where, system = _located(spark, path)
+    system.delete(where, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, chosen: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while; what its owner has set is put back."""
+    before = {key: spark.conf.get(key, None) for key in chosen}
+    try:
+        for key, value in chosen.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def input_files(df: DataFrame) -> list[str]:
     """Path, length and time of change of every file a frame reads, in order.
 

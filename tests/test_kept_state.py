@@ -12,7 +12,7 @@ from conftest import YEAR, rows
 from plan_metrics import nodes
 from pyspark.sql import functions as F
 
-from salesmart import DateRange, SalesFilter, SalesMart
+from salesmart import DateRange, SalesFilter, SalesMart, SalesModel
 from salesmart.functions.id_tree import differing_ids, plain_digest, tree_digest
 from salesmart.operators import retention
 from salesmart.plans.customers import CustomerDays
@@ -73,6 +73,69 @@ def test_sets_of_nothing(spark, empty_mart, tmp_path):
     assert rows(kept.counts(spark, "genre", YEAR)) == []
 
 
+def far_apart(spark, days, per_day):
+    """A model of customers and tracks whose ids hardly ever share a bucket."""
+    rows = spark.range(days * per_day).select(
+        F.col("id").alias("invoice_id"),
+        (F.col("id") * 1_000_003 % 100_000_007 * 17).alias("customer_id"),
+        F.date_add(F.lit("2010-01-20"), (F.col("id") % days).cast("int")).alias("dt"),
+    )
+    line = rows.select("invoice_id", F.col("customer_id").alias("track_id"), F.lit(1).cast("long").alias("quantity"), F.lit(1).cast("long").alias("amount"))
+    item = line.select("track_id", F.lit("Rock").alias("genre_id"), F.lit("Rock").alias("genre"), F.lit("X").alias("artist_id"), F.lit("X").alias("artist"))
+    return SalesModel(rows.withColumns({"country": F.lit("USA"), "invoice_date": F.col("dt"), "total": F.lit(1)}), line, item, item.select(F.col("genre").alias("name")), item.select(F.col("artist").alias("name")))
+
+
+def test_sets_take_room_by_the_ids_they_hold(spark, tmp_path):
+    folder, days, per_day = tmp_path / "sparse", 40, 250
+    kept = DistinctSets(str(folder))
+    kept.write(SalesMart(far_apart(spark, days, per_day)))
+    size = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    # Five sets of days and of months hold every id once.
+    assert size < 10 * days * per_day * 8
+    assert rows(kept.counts(spark, "genre")) == [("Rock", days * per_day, days * per_day)]
+    assert rows(kept.counts(spark, "country", DateRange.of("2010-01-25", "2010-02-10"))) == [("USA", 17 * per_day)]
+
+
+def test_writing_sets_leaves_no_shuffle_table_or_setting_behind(spark, model, tmp_path):
+    from salesmart.plans.distinct import WRITING
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(b.toString().startswith("shuffle_") and b.toString().endswith(".data") for b in (root.getAllBlocks().apply(k) for k in range(root.getAllBlocks().size())))
+    before, chosen = held(), {key: spark.conf.get(key, None) for key in WRITING}
+    tables = spark.catalog.listTables()
+    kept = DistinctSets(str(tmp_path / "sets"))
+    kept.write(SalesMart(model))
+    assert held() <= before
+    assert spark.catalog.listTables() == tables
+    assert {key: spark.conf.get(key, None) for key in WRITING} == chosen
+    assert sorted(os.listdir(kept.folder)) == ["day_words", "month_words"]
+
+
+def test_full_thin_odd_and_missing_ids_are_counted(spark, tmp_path):
+    """Ids of whole buckets, far ones, negative ones and none, on days that may be missing."""
+    ids = [*range(1, 40_001), *range(-3, 1), 1 << 40, (1 << 62) + 5, None]
+    people = spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "invoice_id long, customer_id long")
+    day = F.when(F.col("invoice_id") % 7 < 6, F.date_add(F.lit("2010-01-30"), (F.col("invoice_id") % 7).cast("int")))
+    invoice = people.withColumn("dt", day).withColumn("country", F.when(F.col("invoice_id") % 11 > 0, "USA"))
+    invoice = invoice.unionByName(invoice.where("invoice_id % 5 = 0")).withColumns({"invoice_date": F.col("dt"), "total": F.lit(1)})
+    line = invoice.select("invoice_id", F.col("customer_id").alias("track_id"), F.lit(1).cast("long").alias("quantity"), F.lit(1).cast("long").alias("amount"))
+    line = line.unionByName(line.limit(100).withColumn("invoice_id", F.lit(None).cast("long")))
+    genre = F.when(F.col("track_id") % 3 == 0, "Rock").when(F.col("track_id") % 3 == 1, "Jazz")
+    item = line.select("track_id", F.lit(1).alias("genre_id"), genre.alias("genre"), F.lit(1).alias("artist_id"), F.lit("X").alias("artist")).distinct()
+    model = SalesModel(invoice, line, item, item.select(F.col("genre").alias("name")), item.select(F.col("artist").alias("name")))
+    kept = DistinctSets(str(tmp_path / "odd"))
+    kept.write(SalesMart(model))
+    bought = SalesMart(model).invoices
+    sold = bought.join(line, "invoice_id").join(item, "track_id")
+    for rng in (None, DateRange.of("2010-01-31", "2010-02-02"), DateRange.of("2010-02-01", "2010-02-28")):
+        within = F.lit(True) if rng is None else rng.contains("dt")
+        for by in ("genre", "artist"):
+            wanted = sold.where(within).where(F.col(by).isNotNull()).groupBy(by).agg(F.count_distinct("customer_id"), F.count_distinct("track_id"))
+            assert sorted(rows(kept.counts(spark, by, rng))) == sorted(rows(wanted))
+        wanted = bought.where(within).groupBy("country").agg(F.count_distinct("customer_id"))
+        assert sorted(rows(kept.counts(spark, "country", rng)), key=str) == sorted(rows(wanted), key=str)
+
+
 def test_customer_days_of_batches_are_those_of_all(spark, model, tmp_path):
     invoices = SalesMart(model).invoices
     days = CustomerDays(str(tmp_path / "days"))
